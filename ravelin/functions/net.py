@@ -1,4 +1,4 @@
-"""IP address columns: strict parsing, canonical 128-bit form, private and loopback tests. No UDF."""
+"""IP address columns: strict parsing, private and loopback tests. No UDF."""
 
 from __future__ import annotations
 
@@ -24,7 +24,16 @@ def _ipv6_pattern() -> str:
 
 IPV4_PATTERN = rf"\A{_IPV4}\z"
 IPV6_PATTERN = rf"\A{_ipv6_pattern()}\z"
-_MAPPED = "00000000000000000000ffff"
+
+# Private and loopback networks, as prefixes of a dotted quad and of its two hex groups.
+_QUAD_LOCAL = r"(?:10|127|192\.168|172\.(?:1[6-9]|2[0-9]|3[01]))\."
+_HEX_LOCAL = r"(?:0?a[0-9a-f]{2}|7f[0-9a-f]{2}|c0a8|ac1[0-9a-f]):"
+IPV4_LOCAL = rf"\A{_QUAD_LOCAL}"
+IPV6_LOCAL = (
+    r"(?i)\A(?:f[cd][0-9a-f]{2}:"
+    r"|[0:]+:(?:0{0,3}1|0\.0\.0\.1)\z"
+    rf"|[0:]+:ffff:(?:{_QUAD_LOCAL}[0-9.]+|{_HEX_LOCAL}[0-9a-f]+)\z)"
+)
 
 
 def ipv4_number(ip: Column) -> Column:
@@ -36,55 +45,6 @@ def ipv4_number(ip: Column) -> Column:
     return F.when(ip.rlike(IPV4_PATTERN), number)
 
 
-def _quad_hex(quad: Column) -> Column:
-    return F.lower(F.lpad(F.hex(ipv4_number(quad)), 8, "0"))
-
-
-def _ipv6_hex(ip: Column) -> Column:
-    quad = F.regexp_extract(ip, rf"({_IPV4})\z", 1)
-    hexed = _quad_hex(quad)
-    plain = F.when(quad == "", ip).otherwise(
-        F.concat(
-            F.substring(ip, F.lit(1), F.length(ip) - F.length(quad)),
-            F.substring(hexed, 1, 4),
-            F.lit(":"),
-            F.substring(hexed, 5, 4),
-        )
-    )
-    sides = F.split(plain, "::")
-    groups = lambda side: F.filter(F.split(side, ":"), lambda g: g != "")
-    left = groups(sides[0])
-    right = groups(F.coalesce(F.try_element_at(sides, F.lit(2)), F.lit("")))
-    filled = F.concat(
-        left,
-        F.array_repeat(F.lit("0"), F.lit(8) - F.size(left) - F.size(right)),
-        right,
-    )
-    return F.lower(F.array_join(F.transform(filled, lambda g: F.lpad(g, 4, "0")), ""))
-
-
-def ip_hex(ip: Column) -> Column:
-    """32 hex digits of a valid address (IPv4 in its mapped form), null when the text is no address."""
-    return F.when(ip.rlike(IPV4_PATTERN), F.concat(F.lit(_MAPPED), _quad_hex(ip))).when(
-        ip.rlike(IPV6_PATTERN), _ipv6_hex(ip)
-    )
-
-
 def is_private_or_loopback(ip: Column) -> Column:
-    """True / false for a valid address, null for anything else."""
-    quad_local = (
-        ip.startswith("10.")
-        | ip.startswith("192.168.")
-        | ip.startswith("127.")
-        | ip.rlike(r"\A172\.(?:1[6-9]|2[0-9]|3[01])\.")
-    )
-    digits = _ipv6_hex(ip)
-    mapped = digits.startswith(_MAPPED)
-    low = F.substring(digits, 25, 8)
-    mapped_local = (
-        low.startswith("0a") | low.startswith("7f") | low.startswith("c0a8") | low.rlike(r"\Aac1[0-9a-f]")
-    )
-    six_local = digits.rlike(r"\Af[cd]") | (digits == "0" * 31 + "1")
-    return F.when(ip.rlike(IPV4_PATTERN), quad_local).when(
-        ip.rlike(IPV6_PATTERN), F.when(mapped, mapped_local).otherwise(six_local)
-    )
+    """True / false for a valid address, null for anything else. Mapped IPv4 counts as IPv4."""
+    return F.when(ip.rlike(IPV4_PATTERN), ip.rlike(IPV4_LOCAL)).when(ip.rlike(IPV6_PATTERN), ip.rlike(IPV6_LOCAL))

@@ -40,19 +40,21 @@ def lookup_side(dim: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def put_metadata(df: DataFrame, pairs: dict[str, Column]) -> DataFrame:
     """Write the pairs whose value is not null over the metadata; a null map counts as empty."""
-    return df.withColumn("metadata", upsert(F.coalesce(F.col("metadata"), empty_map()), from_pairs(pairs)))
+    staged = df.withColumn("new_metadata", from_pairs(pairs))
+    merged = upsert(F.coalesce(F.col("metadata"), empty_map()), F.col("new_metadata"))
+    return staged.withColumn("metadata", merged).drop("new_metadata")
 
 
 def geo_enrich(df: DataFrame) -> DataFrame:
     """``geo_is_private`` and ``geo_country`` for a source ip that parses; nothing otherwise."""
-    local = is_private_or_loopback(F.col("source_ip"))
+    local = F.col("is_local")
     return put_metadata(
-        df,
+        df.withColumn("is_local", is_private_or_loopback(F.col("source_ip"))),
         {
             "geo_is_private": F.when(local, "true").when(~local, "false"),
             "geo_country": F.when(local, "PRIVATE").when(~local, "UNKNOWN"),
         },
-    )
+    ).drop("is_local")
 
 
 def threat_enrich(df: DataFrame, threats: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:

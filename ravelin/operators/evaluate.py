@@ -110,8 +110,13 @@ def _tight(rules: dict[int, R.Rule], lagged) -> Column:
     return test
 
 
-def _ordinary(matched: DataFrame, rules: dict[int, R.Rule]) -> DataFrame:
+def _ordinary(matched: DataFrame, rules: dict[int, R.Rule], dedup: bool) -> DataFrame:
+    """Every window and the ordered pass share one exchange and one sort."""
     along = Window.partitionBy(*KEYS).orderBy(*ORDER)
+    if dedup:
+        here, before = F.struct(*ORDER), F.lag(F.struct(*ORDER)).over(along)
+        repeated = matched.withColumn("repeated", F.coalesce(here == before, F.lit(False)))
+        matched = repeated.filter(~F.col("repeated")).drop("repeated")
     numbered = matched.withColumn("rn", F.row_number().over(along).cast("bigint")).withColumn(
         "tight", _tight(rules, lambda back: F.lag("ts", back).over(along))
     )
@@ -212,13 +217,16 @@ def evaluate(
     carried: Sequence[str] = CARRIED,
     hot_rows: int | None = HOT_ROWS,
     chunk_rows: int = CHUNK_ROWS,
+    dedup: bool = False,
 ) -> DataFrame:
     """All enabled rules over canonical events.
 
     Result: ``rule_ix, rule_id, rule_name, rule_severity, severity, tags, group_key, event_count,
     event_id, event_ids`` and the ``carried`` columns of the firing event. Events count in
     ``(timestamp, event_id)`` order; sequences run on event time. A threshold window restarts when it
-    fires. Groups are global, wherever their events were seen.
+    fires. Groups are global, wherever their events were seen. With ``dedup`` a redelivered event
+    (same id and time) counts once; the copies are neighbours in the sort, so this adds no shuffle for
+    stateful rules.
     """
     rules = R.check_distinct_ids(list(rules))
     live = [(i, r) for i, r in enumerate(rules) if r.enabled]
@@ -226,16 +234,18 @@ def evaluate(
     stateful = {i: r for i, r in live if r.type != R.SINGLE}
     fired = []
     if singles:
-        fired.append(match(df, singles, carried).drop("ts", "steps"))
+        ones = match(df, singles, carried).drop("ts", "steps")
+        fired.append(ones.dropDuplicates(["rule_ix", "event_id"]) if dedup else ones)
     if stateful:
         matched = match(df, list(stateful.items()), carried)
         hot = hot_keys(matched, KEYS, "ts", hot_rows)
         cold = matched
         if hot is not None:
             cold, warm = split_hot(matched, KEYS, hot)
+            warm = warm.dropDuplicates([*KEYS, *ORDER]) if dedup else warm
             hot_fires = _hot(warm, stateful, hot, hot_rows, chunk_rows)
             fired.append(hot_fires.drop("ts", "steps"))
-        fired.append(_ordinary(cold, stateful).drop("ts", "steps", "rn"))
+        fired.append(_ordinary(cold, stateful, dedup).drop("ts", "steps", "rn"))
     if not fired:
         fired.append(match(df, [(0, NO_RULE)], carried).drop("ts", "steps"))
     results = reduce(DataFrame.unionByName, fired)
