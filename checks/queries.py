@@ -15,7 +15,7 @@ from ravelin.operators import alerts as A
 from ravelin.operators import analytics, delivery, metrics, persist
 from ravelin.operators.batches import assign_batches, event_batches
 from ravelin.operators.conditions import condition_column, conditions_column, field, group_key
-from ravelin.operators.enrich import enrich, geo_enrich, guarded, ip_range_enrich, put_metadata, threat_enrich
+from ravelin.operators.enrich import enrich, geo_enrich, guarded, ip_range_enrich, put_metadata, text_map, threat_enrich
 from ravelin.operators.evaluate import evaluate
 from ravelin.operators.ingest import reject_reason, summarise
 from ravelin.operators.logs import parse_log_lines
@@ -343,7 +343,9 @@ def geo_enrichment(spark, sf_dir):
 def threat_enrichment(spark, sf_dir):
     """A producer-supplied category stays on a miss and is replaced on a hit."""
     events = security_events(spark, sf_dir)
-    supplied = put_metadata(events, {"threat_category": F.when(F.col("source_port") % 7 == 0, "vendor")})
+    supplied = put_metadata(
+        events, F.when(F.col("source_port") % 7 == 0, text_map(threat_category="vendor")), ["threat_category"]
+    )
     out = threat_enrich(supplied, threats(spark, sf_dir))
     return out.select("event_id", field("threat_known").alias("threat_known"), field("threat_category").alias("threat_category"), field("k").alias("kept"))
 

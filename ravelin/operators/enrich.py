@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,23 +39,30 @@ def lookup_side(dim: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(dim) if dim.limit(max_rows + 1).count() <= max_rows else dim
 
 
-def put_metadata(df: DataFrame, pairs: dict[str, Column]) -> DataFrame:
-    """Write the pairs whose value is not null over the metadata; a null map counts as empty."""
-    staged = df.withColumn("new_metadata", from_pairs(pairs))
-    merged = upsert(F.coalesce(F.col("metadata"), empty_map()), F.col("new_metadata"))
+def put_metadata(df: DataFrame, entries: Column, keys: Sequence[str]) -> DataFrame:
+    """Write the map column ``entries``, whose keys are among ``keys``, over the metadata.
+
+    A null map counts as empty on either side. Only rows that already have one of the keys pay for
+    the removal of old entries.
+    """
+    staged = df.withColumn("new_metadata", F.coalesce(entries, empty_map()))
+    old, new = F.coalesce(F.col("metadata"), empty_map()), F.col("new_metadata")
+    clash = reduce(Column.__or__, [F.map_contains_key(old, key) for key in keys])
+    merged = F.when(clash, upsert(old, new)).otherwise(F.map_concat(old, new))
     return staged.withColumn("metadata", merged).drop("new_metadata")
 
 
+def text_map(**pairs: str | Column) -> Column:
+    return F.create_map(*[part if isinstance(part, Column) else F.lit(part) for pair in pairs.items() for part in pair])
+
+
 def geo_enrich(df: DataFrame) -> DataFrame:
     """``geo_is_private`` and ``geo_country`` for a source ip that parses; nothing otherwise."""
-    local = F.col("is_local")
-    return put_metadata(
-        df.withColumn("is_local", is_private_or_loopback(F.col("source_ip"))),
-        {
-            "geo_is_private": F.when(local, "true").when(~local, "false"),
-            "geo_country": F.when(local, "PRIVATE").when(~local, "UNKNOWN"),
-        },
-    ).drop("is_local")
+    entries = F.when(F.col("is_local"), text_map(geo_is_private="true", geo_country="PRIVATE")).when(
+        ~F.col("is_local"), text_map(geo_is_private="false", geo_country="UNKNOWN")
+    )
+    tested = df.withColumn("is_local", is_private_or_loopback(F.col("source_ip")))
+    return put_metadata(tested, entries, ["geo_is_private", "geo_country"]).drop("is_local")
 
 
 def threat_enrich(df: DataFrame, threats: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -63,14 +71,10 @@ def threat_enrich(df: DataFrame, threats: DataFrame, max_rows: int = BROADCAST_R
     joined = df.join(lookup_side(dim, max_rows), "source_ip", "left")
     named = F.col("source_ip") != ""
     hit = named & F.col("threat_hit").isNotNull()
-    out = put_metadata(
-        joined,
-        {
-            "threat_known": F.when(hit, "true").when(named, "false"),
-            "threat_category": F.when(hit, F.col("threat_hit")),
-        },
+    entries = F.when(hit, text_map(threat_known="true", threat_category=F.col("threat_hit"))).when(
+        named, text_map(threat_known="false")
     )
-    return out.select(*df.columns)
+    return put_metadata(joined, entries, ["threat_known", "threat_category"]).select(*df.columns)
 
 
 def ip_range_enrich(df: DataFrame, ranges: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -96,11 +100,9 @@ def ip_range_enrich(df: DataFrame, ranges: DataFrame, max_rows: int = BROADCAST_
         "left",
     )
     filled = found.select("e.*", "r.country", "r.city", "r.asn")
-    out = put_metadata(
-        filled,
-        {"geo_country": F.col("country"), "geo_city": F.col("city"), "geo_asn": F.col("asn").cast("string")},
-    )
-    return out.select(*df.columns)
+    pairs = {"geo_country": F.col("country"), "geo_city": F.col("city"), "geo_asn": F.col("asn").cast("string")}
+    entries = F.when(F.col("country").isNotNull(), from_pairs(pairs))
+    return put_metadata(filled, entries, list(pairs)).select(*df.columns)
 
 
 def guarded(name: str, keys: dict[str, Column], failure: Column) -> Enricher:
@@ -110,7 +112,7 @@ def guarded(name: str, keys: dict[str, Column], failure: Column) -> Enricher:
     def apply(df: DataFrame) -> DataFrame:
         errors = F.col(ERRORS) if ERRORS in df.columns else F.array().cast("array<string>")
         message = F.when(failure.isNotNull(), F.concat(F.lit(f"{name}: "), failure.cast("string")))
-        out = put_metadata(df, {k: F.when(failure.isNull(), v) for k, v in keys.items()})
+        out = put_metadata(df, F.when(failure.isNull(), from_pairs(keys)), list(keys))
         return out.withColumn(ERRORS, F.concat(errors, F.array_compact(F.array(message))))
 
     return apply

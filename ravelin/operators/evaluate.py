@@ -31,6 +31,7 @@ from ravelin.operators.ordered import (
 KEYS = ["rule_ix", "group_key"]
 ORDER = ["ts", "event_id"]
 MATCHES_PER_PROJECTION = 200
+STORED_FIELDS = ["type", "event_type", "hostname", "source_ip", "destination_ip", "user", "process", "service", "agent_id"]
 CARRIED = ("timestamp", "metadata")
 NO_RULE = R.Rule("none", "none", R.SINGLE)
 
@@ -42,8 +43,29 @@ def _step_mask(rule: R.Rule) -> Column:
     return reduce(Column.__add__, bits).cast("bigint")
 
 
+def _needed(rules: Sequence[tuple[int, R.Rule]]) -> Column | None:
+    """A test on stored columns that every match passes. It reaches below enrichment to the scan; tests on
+    metadata are left to the match itself."""
+    alternatives = []
+    for _, rule in rules:
+        for part in [s.conditions for s in rule.steps] if rule.type == R.SEQUENCE else [rule.conditions]:
+            tests = [
+                F.col("type" if c.field == "event_type" else c.field) == c.value
+                for c in part
+                if c.op == "eq" and c.value and c.field in STORED_FIELDS
+            ]
+            if not part:
+                continue
+            if not tests:
+                return None
+            alternatives.append(reduce(Column.__and__, tests))
+    return reduce(Column.__or__, alternatives) if alternatives else None
+
+
 def match(df: DataFrame, rules: Sequence[tuple[int, R.Rule]], carried: Sequence[str]) -> DataFrame:
     """One row per (event, rule) whose conditions, or any step's conditions, hold."""
+    needed = _needed(rules)
+    df = df if needed is None else df.filter(needed)
     slices = []
     for at in range(0, len(rules), MATCHES_PER_PROJECTION):
         hits = []
@@ -194,9 +216,9 @@ def _hot(matched: DataFrame, rules: dict[int, R.Rule], hot: DataFrame, hot_rows:
     return reduce(DataFrame.unionByName, parts).select(*matched.columns)
 
 
-def _constants(rules: Sequence[R.Rule]) -> Column:
-    """The fixed text of each rule, by its position."""
-    found = F.lit(None)
+def constants(results: DataFrame, rules: Sequence[R.Rule]) -> DataFrame:
+    """Adds ``rule``, the fixed text of each rule, by its position."""
+    rules, found = list(rules) or [NO_RULE], F.lit(None)
     for index, rule in enumerate(rules):
         count = len(rule.steps) if rule.type == R.SEQUENCE else max(rule.threshold, 1)
         fixed = F.struct(
@@ -208,7 +230,7 @@ def _constants(rules: Sequence[R.Rule]) -> Column:
             F.array(*[F.lit(t) for t in rule.tags]).cast("array<string>").alias("tags"),
         )
         found = F.when(F.col("rule_ix") == index, fixed).otherwise(found) if index else fixed
-    return found
+    return results.withColumn("rule", found)
 
 
 def evaluate(
@@ -249,8 +271,7 @@ def evaluate(
     if not fired:
         fired.append(match(df, [(0, NO_RULE)], carried).drop("ts", "steps"))
     results = reduce(DataFrame.unionByName, fired)
-    fixed = results.withColumn("rule", _constants(rules or [NO_RULE]))
-    return fixed.select(
+    return constants(results, rules).select(
         "rule_ix",
         "rule.*",
         "group_key",

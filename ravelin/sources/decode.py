@@ -166,10 +166,8 @@ def decode(df: DataFrame, payload: str = "value", message: str = "SecurityEvent"
     """Decoded rows next to the malformed ones. Other columns of ``df`` go along."""
     schema = MESSAGES[message][0]
     if encoding == "json":
-        text = F.col(payload).cast("string")
-        rows = df.withColumn("decoded", F.from_json(text, schema, {"mode": "PERMISSIVE", **JSON_TIMES}))
-        marker = F.col("decoded." + schema.names[0])
-        rows = rows.withColumn("decoded", F.when(marker.isNotNull(), F.col("decoded")))
+        parsed = F.from_json(F.col(payload).cast("string"), schema, {"mode": "PERMISSIVE", **JSON_TIMES})
+        rows = df.withColumn("decoded", F.get(F.filter(F.array(parsed), lambda d: d[schema.names[0]].isNotNull()), 0))
     elif has_protobuf_package(df):
         from pyspark.sql.protobuf.functions import from_protobuf
 
@@ -185,7 +183,8 @@ def decode(df: DataFrame, payload: str = "value", message: str = "SecurityEvent"
     else:
         rows = _decode_python(df, payload, message)
     others = [c for c in df.columns if c != payload]
-    good = rows.filter("decoded IS NOT NULL").select(*others, "decoded.*")
+    # The generator keeps the optimizer from decoding once per column.
+    good = rows.select(*others, F.inline(F.filter(F.array("decoded"), lambda d: d.isNotNull())))
     return Decoded(good, rows.filter("decoded IS NULL").select(*others, payload))
 
 

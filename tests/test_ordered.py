@@ -10,7 +10,8 @@ from ravelin.schema import normalise_events
 from tests import brute
 
 KINDS = ["EVENT_TYPE_AUTH_FAILURE", "EVENT_TYPE_AUTH_SUCCESS", "EVENT_TYPE_PRIVILEGE_ESCALATION", "EVENT_TYPE_FILE_MODIFY"]
-LIMITS = [(None, 100), (60, 7), (20, 3), (15, 40)]
+# (hot_rows, chunk_rows): no split, one level of chunks, several levels.
+LIMITS = [(None, 100), (60, 20), (25, 4)]
 
 
 def is_kind(*kinds):
@@ -37,21 +38,28 @@ def events(spark, rows):
     )
 
 
+def marked(spark, rows, window, inclusive, hot_rows, chunk):
+    df = spark.createDataFrame(rows, "k string, ts bigint, id string, kind int")
+    out = first_per_window(df, ["k"], "ts", ["id"], window * 1_000_000, inclusive, "kept", hot_rows, chunk).cache()
+    assert out.count() == len(rows)
+    got = sorted(r.id for r in out.filter("kept").collect())
+    assert got == brute.first_per_window([r[:3] for r in rows], window * 1_000_000, inclusive)
+
+
 @pytest.mark.parametrize("hot_rows,chunk", LIMITS)
-@pytest.mark.parametrize("inclusive", [True, False])
-def test_first_per_window(spark, hot_rows, chunk, inclusive):
-    for seed, window, periodic in [(1, 20, False), (2, 300, False), (3, 35, True), (4, 5000, False)]:
-        rows = random_rows(seed, periodic=periodic)
-        df = spark.createDataFrame(rows, "k string, ts bigint, id string, kind int")
-        out = first_per_window(df, ["k"], "ts", ["id"], window * 1_000_000, inclusive, "kept", hot_rows, chunk)
-        assert out.count() == len(rows)
-        got = sorted(r.id for r in out.filter("kept").collect())
-        assert got == brute.first_per_window([r[:3] for r in rows], window * 1_000_000, inclusive)
+def test_first_per_window(spark, hot_rows, chunk):
+    marked(spark, random_rows(1), 20, True, hot_rows, chunk)
+    marked(spark, random_rows(3, periodic=True), 35, False, hot_rows, chunk)
+
+
+def test_a_window_wider_than_any_chunk_is_solved_in_rounds(spark):
+    marked(spark, random_rows(4), 700, True, 15, 40)
+    marked(spark, random_rows(4), 5000, False, 15, 40)
 
 
 @pytest.mark.parametrize("hot_rows,chunk", LIMITS)
 def test_rules_match_a_plain_loop(spark, hot_rows, chunk):
-    for seed, window, periodic in [(1, 30, False), (2, 400, False), (3, 49, True)]:
+    for seed, window, periodic in [(1, 30, False), (3, 49, True)]:
         rows = random_rows(seed, periodic=periodic)
         us = window * 1_000_000
         steps = [((0,), 2), ((0, 1), 1), ((2,), 1)]
