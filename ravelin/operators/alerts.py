@@ -94,10 +94,8 @@ def token_bucket(
     keys = list(keys) or ["bucket"]
     keyed = df if "bucket" not in keys else df.withColumn("bucket", F.lit(0))
     origins = keyed.groupBy(*keys).agg(F.min(ts).alias("origin"))
-    if keys == ["bucket"]:
-        ticked = keyed.crossJoin(F.broadcast(origins.select("origin")))  # one row
-    else:
-        ticked = keyed.join(origins, keys)
+    # The global bucket has one origin; per-key origins join adaptively, where hot partitions are split.
+    ticked = keyed.join(F.broadcast(origins) if keys == ["bucket"] else origins, keys)
     ticked = ticked.withColumn(
         "tick", F.floor((F.col(ts) - F.col("origin")) / F.lit(interval_micros)).cast("bigint")
     ).drop("origin")

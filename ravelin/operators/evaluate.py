@@ -21,10 +21,12 @@ from ravelin.operators.ordered import (
     CHUNK_ROWS,
     FAR,
     HOT_ROWS,
+    SEED,
     hot_keys,
     pick_hot,
     pick_in_order,
     rank_hot,
+    sample_fraction,
     split_hot,
 )
 
@@ -122,13 +124,21 @@ def _pass(rules: dict[int, R.Rule]):
     return picker
 
 
+def _per_rule(values: dict[int, int]) -> Column:
+    """The value of the row's rule, looked up by position in a literal array."""
+    return F.get(F.array(*[F.lit(values.get(i, 0)).cast("bigint") for i in range(max(values) + 1)]), F.col("rule_ix"))
+
+
 def _tight(rules: dict[int, R.Rule], lagged) -> Column:
-    """The row ``threshold - 1`` places earlier is strictly inside the window."""
-    test = F.lit(True)
-    for index, rule in rules.items():
-        if rule.type == R.THRESHOLD and rule.threshold > 1:
-            earlier = lagged(rule.threshold - 1)
-            test = F.when(F.col("rule_ix") == index, F.col("ts") - earlier < rule.window_micros).otherwise(test)
+    """The row ``threshold - 1`` places earlier is strictly inside the window; true for other rules."""
+    wanted = {i: r.threshold for i, r in rules.items() if r.type == R.THRESHOLD}
+    if not wanted:
+        return F.lit(True)
+    window = _per_rule({i: r.window_micros for i, r in rules.items()})
+    wanted_here, test = F.coalesce(_per_rule(wanted), F.lit(0)), F.lit(True)
+    for count in sorted(set(wanted.values()) - {1}):
+        inside = F.coalesce(F.col("ts") - lagged(count - 1) < window, F.lit(False))
+        test = F.when(wanted_here == count, inside).otherwise(test)
     return test
 
 
@@ -217,20 +227,21 @@ def _hot(matched: DataFrame, rules: dict[int, R.Rule], hot: DataFrame, hot_rows:
 
 
 def constants(results: DataFrame, rules: Sequence[R.Rule]) -> DataFrame:
-    """Adds ``rule``, the fixed text of each rule, by its position."""
-    rules, found = list(rules) or [NO_RULE], F.lit(None)
-    for index, rule in enumerate(rules):
-        count = len(rule.steps) if rule.type == R.SEQUENCE else max(rule.threshold, 1)
-        fixed = F.struct(
-            F.lit(rule.id).alias("rule_id"),
-            F.lit(rule.name).alias("rule_name"),
-            F.lit(rule.severity).alias("rule_severity"),
-            F.lit(rule.severity_name).alias("severity"),
-            F.lit(1 if rule.type == R.SINGLE else count).cast("bigint").alias("event_count"),
-            F.array(*[F.lit(t) for t in rule.tags]).cast("array<string>").alias("tags"),
+    """Adds ``rule``, the fixed text of each rule, from a literal array indexed by position."""
+    fixed = []
+    for rule in list(rules) or [NO_RULE]:
+        count = {R.SINGLE: 1, R.THRESHOLD: rule.threshold}.get(rule.type, len(rule.steps))
+        fixed.append(
+            F.struct(
+                F.lit(rule.id).alias("rule_id"),
+                F.lit(rule.name).alias("rule_name"),
+                F.lit(rule.severity).alias("rule_severity"),
+                F.lit(rule.severity_name).alias("severity"),
+                F.lit(count).cast("bigint").alias("event_count"),
+                F.array(*[F.lit(t) for t in rule.tags]).cast("array<string>").alias("tags"),
+            )
         )
-        found = F.when(F.col("rule_ix") == index, fixed).otherwise(found) if index else fixed
-    return results.withColumn("rule", found)
+    return results.withColumn("rule", F.get(F.array(*fixed), F.col("rule_ix")))
 
 
 def evaluate(
@@ -260,7 +271,9 @@ def evaluate(
         fired.append(ones.dropDuplicates(["rule_ix", "event_id"]) if dedup else ones)
     if stateful:
         matched = match(df, list(stateful.items()), carried)
-        hot = hot_keys(matched, KEYS, "ts", hot_rows)
+        part = df.sample(sample_fraction(hot_rows), SEED) if hot_rows else df
+        sample = match(part, list(stateful.items()), carried)
+        hot = hot_keys(matched, KEYS, "ts", hot_rows, sample)
         cold = matched
         if hot is not None:
             cold, warm = split_hot(matched, KEYS, hot)

@@ -26,6 +26,8 @@ from ravelin.session import materialise
 HOT_ROWS = 2_000_000
 CHUNK_ROWS = 200_000
 FAN = 16
+SAMPLED_ROWS = 20_000
+SEED = 7
 FAR = 2**62
 START, REACH = ("start_a", "start_b"), ("reach_a", "reach_b")
 
@@ -87,20 +89,38 @@ def interval_picker() -> Callable[..., bool]:
     return decide
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], ts: str, hot_rows: int | None) -> DataFrame | None:
+def sample_fraction(hot_rows: int) -> float:
+    """A key at the limit shows about ``SAMPLED_ROWS`` times in the sample, so half of that is a safe test."""
+    return min(1.0, SAMPLED_ROWS / hot_rows)
+
+
+def hot_keys(
+    df: DataFrame, keys: Sequence[str], ts: str, hot_rows: int | None, sample: DataFrame | None = None
+) -> DataFrame | None:
     """Keys with more than ``hot_rows`` rows, with their count and time span, or ``None``.
 
-    The count combines before its shuffle. There are at most ``rows / hot_rows`` such keys, which bounds
-    every broadcast of this table.
+    Candidates come from a sample (``sample`` when the caller can take it earlier), so keys that are nearly
+    unique cause no second full shuffle; only candidates are counted in full. The answer decides how a key
+    is computed, never what comes out. There are at most ``rows / hot_rows`` hot keys and twice as many
+    candidates, which bounds every broadcast of them.
     """
     if hot_rows is None:
         return None
+    fraction = sample_fraction(hot_rows)
+    looked = sample if sample is not None else (df.sample(fraction, SEED) if fraction < 1 else df)
+    floor = hot_rows * fraction / 2 if fraction < 1 else hot_rows
+    counted = F.count(F.lit(1)).alias("hot_n")
+    candidates = looked.groupBy(*keys).agg(counted).filter(F.col("hot_n") > floor).select(*keys)
+    if candidates.isEmpty():
+        return None
     hot = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("hot_n"), F.min(ts).alias("hot_lo"), F.max(ts).alias("hot_hi"))
+        df.join(F.broadcast(candidates), list(keys), "left_semi")
+        .groupBy(*keys)
+        .agg(counted, F.min(ts).alias("hot_lo"), F.max(ts).alias("hot_hi"))
         .filter(F.col("hot_n") > hot_rows)
     )
-    return None if hot.isEmpty() else materialise(hot)
+    hot = materialise(hot)
+    return None if hot.isEmpty() else hot
 
 
 def split_hot(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> tuple[DataFrame, DataFrame]:

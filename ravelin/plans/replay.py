@@ -52,8 +52,11 @@ def replay(
         F.col(record_time).alias("record_time"),
         "event_id",
     )
-    totals = (
-        ranged.agg(F.count(F.lit(1)).alias("total_events"))
-        .crossJoin(matches.agg(F.count(F.lit(1)).alias("total_matches")))  # one row each
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    marks = ranged.select(one.alias("event"), zero.alias("match")).unionByName(
+        matches.select(zero.alias("event"), one.alias("match"))
+    )
+    totals = marks.agg(
+        F.coalesce(F.sum("event"), zero).alias("total_events"), F.coalesce(F.sum("match"), zero).alias("total_matches")
     )
     return Replay(matches, totals)

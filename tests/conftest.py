@@ -10,7 +10,7 @@ from ravelin.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("4", 4, spark__default__parallelism="4")
+    session = local_session("8", 2, spark__default__parallelism="2")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
