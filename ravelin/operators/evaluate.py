@@ -38,11 +38,32 @@ CARRIED = ("timestamp", "metadata")
 NO_RULE = R.Rule("none", "none", R.SINGLE)
 
 
-def _step_mask(rule: R.Rule) -> Column:
-    """Bit ``s`` is set when the event satisfies step ``s``; conditions rules use bit 0."""
-    parts = [step.conditions for step in rule.steps] if rule.type == R.SEQUENCE else [rule.conditions]
-    bits = [F.when(conditions_column(p), F.lit(1 << s)).otherwise(F.lit(0)) for s, p in enumerate(parts)]
-    return reduce(Column.__add__, bits).cast("bigint")
+def _hit(index: int, rule: R.Rule) -> Column:
+    """``(rule_ix, steps)`` when the rule matches, else null. Bit ``s`` of ``steps`` stands for step ``s``."""
+    head = F.lit(index).alias("rule_ix")
+    if rule.type != R.SEQUENCE:
+        return F.when(conditions_column(rule.conditions), F.struct(head, F.lit(1).cast("bigint").alias("steps")))
+    tests = [conditions_column(step.conditions) for step in rule.steps]
+    bits = [F.when(test, F.lit(1 << s)).otherwise(F.lit(0)).cast("bigint") for s, test in enumerate(tests)]
+    steps = reduce(Column.__add__, bits).alias("steps")
+    return F.when(reduce(Column.__or__, tests), F.struct(head, steps))
+
+
+def _group_keys(rules: Sequence[tuple[int, R.Rule]]) -> Column:
+    """The group key of the row's rule; rules with the same fields share one expression."""
+    specs = list(dict.fromkeys(rule.group_by for _, rule in rules))
+    if len(specs) == 1:
+        return group_key(specs[0])
+    place = per_rule({index: specs.index(rule.group_by) for index, rule in rules})
+    key = group_key(specs[0])
+    for number, spec in enumerate(specs[1:], 1):
+        key = F.when(place == number, group_key(spec)).otherwise(key)
+    return key
+
+
+def per_rule(values: dict[int, int]) -> Column:
+    """The value of the row's rule, looked up by position in a literal array."""
+    return F.get(F.array(*[F.lit(values.get(i, 0)).cast("bigint") for i in range(max(values) + 1)]), F.col("rule_ix"))
 
 
 def _needed(rules: Sequence[tuple[int, R.Rule]]) -> Column | None:
@@ -70,17 +91,17 @@ def match(df: DataFrame, rules: Sequence[tuple[int, R.Rule]], carried: Sequence[
     df = df if needed is None else df.filter(needed)
     slices = []
     for at in range(0, len(rules), MATCHES_PER_PROJECTION):
-        hits = []
-        for index, rule in rules[at : at + MATCHES_PER_PROJECTION]:
-            mask = _step_mask(rule)
-            hit = F.struct(
-                F.lit(index).alias("rule_ix"), group_key(rule.group_by).alias("group_key"), mask.alias("steps")
-            )
-            hits.append(F.when(mask > 0, hit))
-        found = F.filter(F.array(*hits), lambda h: h.isNotNull())
+        some = rules[at : at + MATCHES_PER_PROJECTION]
+        found = F.filter(F.array(*[_hit(index, rule) for index, rule in some]), lambda h: h.isNotNull())
+        hits = df.select("*", F.inline(found))
         slices.append(
-            df.select(
-                F.inline(found), micros(F.col("timestamp")).alias("ts"), "event_id", *carried
+            hits.select(
+                "rule_ix",
+                _group_keys(some).alias("group_key"),
+                "steps",
+                micros(F.col("timestamp")).alias("ts"),
+                "event_id",
+                *carried,
             )
         )
     return reduce(DataFrame.unionByName, slices)
@@ -124,18 +145,13 @@ def _pass(rules: dict[int, R.Rule]):
     return picker
 
 
-def _per_rule(values: dict[int, int]) -> Column:
-    """The value of the row's rule, looked up by position in a literal array."""
-    return F.get(F.array(*[F.lit(values.get(i, 0)).cast("bigint") for i in range(max(values) + 1)]), F.col("rule_ix"))
-
-
 def _tight(rules: dict[int, R.Rule], lagged) -> Column:
     """The row ``threshold - 1`` places earlier is strictly inside the window; true for other rules."""
     wanted = {i: r.threshold for i, r in rules.items() if r.type == R.THRESHOLD}
     if not wanted:
         return F.lit(True)
-    window = _per_rule({i: r.window_micros for i, r in rules.items()})
-    wanted_here, test = F.coalesce(_per_rule(wanted), F.lit(0)), F.lit(True)
+    window = per_rule({i: r.window_micros for i, r in rules.items()})
+    wanted_here, test = F.coalesce(per_rule(wanted), F.lit(0)), F.lit(True)
     for count in sorted(set(wanted.values()) - {1}):
         inside = F.coalesce(F.col("ts") - lagged(count - 1) < window, F.lit(False))
         test = F.when(wanted_here == count, inside).otherwise(test)
