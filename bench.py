@@ -8,11 +8,9 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks.fixture import DAY, security_events, threats
@@ -47,18 +45,28 @@ def timed(spark, name: str, sf_dir: str) -> float:
 
 
 def alerts_at(spark, sf_dir: str, copies: int) -> float:
-    """The alert path over the table and copies of it, each thirty-one days later than the one before."""
-    events = security_events(spark, sf_dir)
-    shifted = [
-        events.withColumn("event_id", F.concat("event_id", F.lit(f"-{c}"))).withColumn(
-            "timestamp", F.timestamp_micros(F.unix_micros("timestamp") + c * 31 * DAY)
-        )
-        for c in range(copies)
-    ]
-    every = reduce(DataFrame.unionByName, shifted)
-    begun = time.perf_counter()
-    run_pipeline(every, example_rules(spark), threats(spark, sf_dir)).alerts.write.format("noop").mode("overwrite").save()
-    return time.perf_counter() - begun
+    """The alert path over a stored canonical table: the events and copies of them, each thirty-one days
+    later than the one before."""
+    folder = tempfile.mkdtemp(prefix="ravelin-bench-")
+    copy = F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))
+    (
+        security_events(spark, sf_dir)
+        .withColumn("copy", copy)
+        .withColumn("event_id", F.concat("event_id", F.lit("-"), "copy"))
+        .withColumn("timestamp", F.timestamp_micros(F.unix_micros("timestamp") + F.col("copy") * (31 * DAY)))
+        .repartition(16)
+        .drop("copy")
+        .write.mode("overwrite")
+        .parquet(f"{folder}/events")
+    )
+    stored = spark.read.parquet(f"{folder}/events")
+    times = []
+    for _ in range(2):
+        begun = time.perf_counter()
+        out = run_pipeline(stored, example_rules(spark), threats(spark, sf_dir))
+        out.alerts.write.format("noop").mode("overwrite").save()
+        times.append(time.perf_counter() - begun)
+    return min(times)
 
 
 def main() -> None:

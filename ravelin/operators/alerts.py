@@ -13,7 +13,7 @@ from ravelin.functions.durations import duration_micros
 from ravelin.functions.jsontext import canonical_json
 from ravelin.functions.maps import sorted_map
 from ravelin.functions.times import micros, rfc3339
-from ravelin.operators.ordered import HOT_ROWS, first_per_window
+from ravelin.operators.ordered import HOT_ROWS, first_per_window, in_order
 from ravelin.schema import ALERT_SCHEMA, empty_map, severity_rank
 
 SENT, SUPPRESSED, RATE_LIMITED = "sent", "suppressed", "rate_limited"
@@ -162,22 +162,21 @@ def _chunk_entries(summed: DataFrame, keys: list[str], capacity: int, ticks_per_
     schema = T.StructType([summed.schema[k] for k in names] + [summed.schema["chunk"], T.StructField("entry", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        previous, tokens, at = None, capacity, 0
+        tokens, at = capacity, 0
         for batch in batches:
-            key_rows = zip(*[batch.column(n).to_pylist() for n in names])
-            parts = zip(*[batch.column(n).to_pylist() for n in ("chunk", "tick", "lo", "hi", "d")])
+            parts = zip(*[batch.column(n).to_pylist() for n in ("place", "chunk", "tick", "lo", "hi", "d")])
             entries = []
-            for key, (chunk, tick, low, high, shift) in zip(key_rows, parts):
+            for place, chunk, tick, low, high, shift in parts:
                 begins = chunk * ticks_per_chunk
-                if key != previous:
-                    previous, tokens, at = key, capacity, begins
+                if place == 1:
+                    tokens, at = capacity, begins
                 tokens = min(capacity, tokens + begins - at)
                 entries.append(tokens)
                 tokens, at = min(high, max(low, tokens + shift)), tick
             columns = [batch.column(n) for n in (*names, "chunk")] + [pa.array(entries, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, [*names, "chunk", "entry"])
 
-    return summed.repartition(*names).sortWithinPartitions(*names, "chunk").mapInArrow(run, schema)
+    return in_order(summed, names, ["chunk"]).mapInArrow(run, schema)
 
 
 def decide(

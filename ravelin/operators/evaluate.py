@@ -169,7 +169,7 @@ def _ordinary(matched: DataFrame, rules: dict[int, R.Rule], dedup: bool) -> Data
         "tight", _tight(rules, lambda back: F.lag("ts", back).over(along))
     )
     live = numbered.filter("tight").drop("tight")
-    return pick_in_order(live, KEYS, ORDER, ["rule_ix", "ts", "steps", "rn"], _pass(rules), clustered=True)
+    return pick_in_order(live, KEYS, ORDER, ["rule_ix", "ts", "steps", "rn"], _pass(rules))
 
 
 def _hot_threshold(ranked: DataFrame, index: int, rule: R.Rule, hot_rows: int, chunk_rows: int) -> DataFrame:

@@ -32,6 +32,16 @@ FAR = 2**62
 START, REACH = ("start_a", "start_b"), ("reach_a", "reach_b")
 
 
+def in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Each key in one partition and in order, with ``place`` counting from 1.
+
+    A window asks for the placement, so adaptive execution keeps it. A bare ``repartition`` may be merged
+    with the exchange of a join below it, which can then be read map by map once the join broadcasts.
+    """
+    along = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("place", F.row_number().over(along))
+
+
 def pick_in_order(
     df: DataFrame,
     keys: Sequence[str],
@@ -39,38 +49,29 @@ def pick_in_order(
     inputs: Sequence[str],
     picker: Callable[[], Callable[..., bool]],
     flag: str | None = None,
-    clustered: bool = False,
 ) -> DataFrame:
     """Run ``picker()`` over each key's rows in order and keep the rows for which it says yes.
 
     ``picker`` makes a function of ``(new_key, *input values)``. With ``flag`` all rows are kept and the
-    answer becomes a boolean column. ``clustered`` says that the input already comes from an operator
-    that placed each key in one partition, so only the order is asked for.
+    answer becomes a boolean column.
     """
-    placed = df if clustered else df.repartition(*keys)
-    placed = placed.sortWithinPartitions(*keys, *order)
-    key_names, input_names = list(keys), list(inputs)
-    schema = T.StructType(list(df.schema.fields) + ([T.StructField(flag, T.BooleanType())] if flag else []))
-    keep_all = flag is not None
+    names, input_names, keep_all = df.columns, list(inputs), flag is not None
+    schema = T.StructType(list(df.schema.fields) + ([T.StructField(flag, T.BooleanType())] if keep_all else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decide, previous = picker(), None
+        decide = picker()
         for batch in batches:
-            key_rows = zip(*[batch.column(name).to_pylist() for name in key_names])
-            value_rows = zip(*[batch.column(name).to_pylist() for name in input_names])
-            answers = []
-            for key, values in zip(key_rows, value_rows):
-                answers.append(decide(key != previous, *values))
-                previous = key
-            mask = pa.array(answers, pa.bool_())
+            values = zip(*[batch.column(name).to_pylist() for name in ("place", *input_names)])
+            mask = pa.array([decide(place == 1, *row) for place, *row in values], pa.bool_())
+            columns = [batch.column(name) for name in names]
             if keep_all:
-                yield pa.RecordBatch.from_arrays([*batch.columns, mask], [*batch.schema.names, flag])
+                yield pa.RecordBatch.from_arrays([*columns, mask], [*names, flag])
             else:
-                kept = batch.filter(mask)
+                kept = pa.RecordBatch.from_arrays(columns, names).filter(mask)
                 if kept.num_rows:
                     yield kept
 
-    return placed.mapInArrow(run, schema)
+    return in_order(df, keys, order).mapInArrow(run, schema)
 
 
 def interval_picker() -> Callable[..., bool]:
@@ -180,7 +181,9 @@ def _contract(nodes: DataFrame, keys: Sequence[str], chunk: str) -> DataFrame:
     """Each chunk as the intervals an outside reach can meet.
 
     From a row of the chunk the greedy path leaves the chunk with some final reach. Rows with the same
-    final reach fold into one interval, whose start is the last of them.
+    final reach fold into one interval, whose start is the last of them. Reaches grow along the order, so
+    the path enters at the latest with the first row beyond the reach of the chunk's first row; rows after
+    that one are no entries.
     """
     group = [*keys, chunk]
     fields = [nodes.schema[c] for c in group] + [T.StructField(c, T.LongType()) for c in (*START, *REACH)]
@@ -195,8 +198,9 @@ def _contract(nodes: DataFrame, keys: Sequence[str], chunk: str) -> DataFrame:
             while following > i + 1 and rows[following - 1][:2] > reach:
                 following -= 1
             finals[i] = reach if following == len(rows) else finals[following]
+        entries = min(following + 1, len(rows))
         return [
-            (*rows[i][:2], *finals[i]) for i in range(len(rows)) if i + 1 == len(rows) or finals[i] != finals[i + 1]
+            (*rows[i][:2], *finals[i]) for i in range(entries) if i + 1 == entries or finals[i] != finals[i + 1]
         ]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,10 +214,11 @@ def _contract(nodes: DataFrame, keys: Sequence[str], chunk: str) -> DataFrame:
 
         for batch in batches:
             arrow_types = [batch.schema.field(name).type for name in arrow_names]
+            places = batch.column("place").to_pylist()
             group_rows = zip(*[batch.column(name).to_pylist() for name in group])
             value_rows = zip(*[batch.column(name).to_pylist() for name in (*START, *REACH)])
-            for group_row, values in zip(group_rows, value_rows):
-                if group_row != current:
+            for place, group_row, values in zip(places, group_rows, value_rows):
+                if place == 1:
                     if rows:
                         yield flush()
                     current, rows = group_row, []
@@ -221,8 +226,7 @@ def _contract(nodes: DataFrame, keys: Sequence[str], chunk: str) -> DataFrame:
         if rows:
             yield flush()
 
-    placed = nodes.select(*group, *START, *REACH).repartition(*group).sortWithinPartitions(*group, *START)
-    return placed.mapInArrow(run, schema)
+    return in_order(nodes.select(*group, *START, *REACH), group, START).mapInArrow(run, schema)
 
 
 def _jump(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
