@@ -84,3 +84,12 @@ def test_rules_match_a_plain_loop(spark, hot_rows, chunk):
         assert got["seq"] == brute.sequence(rows, us, steps)
         assert got["one"] == sorted(r[2] for r in rows if r[3] == 3)
         assert got["off"] == []
+
+
+def test_ordered_passes_sit_on_windows(spark):
+    """A bare repartition below the pass could be merged into a join that is later read map by map."""
+    df = spark.createDataFrame(random_rows(2, n=120), "k string, ts bigint, id string, kind int")
+    out = first_per_window(df, ["k"], "ts", ["id"], 20_000_000, True, "kept", 30, 10)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 3 and plan.count("row_number()") == 3
+    assert "REPARTITION_BY_COL" not in plan
