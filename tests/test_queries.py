@@ -6,9 +6,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from checks import queries as checked
 from checks.compare import rows_of
 
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
+QUERIES, ORACLES = checked.QUERIES, checked.ORACLES
 
 
 @pytest.fixture(scope="module")
