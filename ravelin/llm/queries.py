@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ravelin.llm import hostrules, secretscan
+from ravelin.llm import bpecodec, hostrules, secretscan
 from ravelin.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,3 +86,9 @@ FROM d LEFT JOIN f ON d.doc_id = f.doc_id GROUP BY d.doc_id"""
 @query("op4_secret_automaton", _secrets_sql())
 def op4_secret_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.digest_columns(secretscan.find_secrets(table(spark, sf_dir, "documents")))
+
+
+@query("op8_backtracking_bpe")
+def op8_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = bpecodec.load(public_tokenizers.path("byte_bpe_50k.json"))
+    return bpecodec.round_trip(table(spark, sf_dir, "documents"), packed)
