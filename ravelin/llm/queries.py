@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ravelin.llm import bpecodec, hostrules, secretscan
+from ravelin.llm import bpecodec, fmquality, hostrules, secretscan
 from ravelin.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,3 +92,8 @@ def op4_secret_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = bpecodec.load(public_tokenizers.path("byte_bpe_50k.json"))
     return bpecodec.round_trip(table(spark, sf_dir, "documents"), packed)
+
+
+@query("op7_factorisation_machine")
+def op7_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fmquality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
