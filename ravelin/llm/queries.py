@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ravelin.llm import bpecodec, fmquality, hostrules, secretscan
+from ravelin.llm import bpecodec, fmquality, hostrules, secretscan, windowdedup
 from ravelin.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,3 +97,18 @@ def op8_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_factorisation_machine")
 def op7_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fmquality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+SUBSTRING_SQL = rf"""WITH d AS (SELECT doc_id, {WORDS_SQL} AS ws FROM documents
+), s AS (SELECT doc_id, ws, unnest(range(1, len(ws) - {windowdedup.WINDOW} + 2)) AS i FROM d
+), k AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(ws[i:i + {windowdedup.WINDOW - 1}], ' ') ORDER BY doc_id, i) AS r FROM s
+), gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + {windowdedup.WINDOW})) AS p FROM k WHERE r > 1
+), w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM d
+), left_over AS (SELECT w.doc_id, count(*) AS n, string_agg(w, ' ' ORDER BY w.p) AS kept FROM w ANTI JOIN gone ON w.doc_id = gone.doc_id AND w.p = gone.p GROUP BY w.doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN left_over ON d.doc_id = left_over.doc_id"""
+
+
+@query("op5_count_min_substrings", SUBSTRING_SQL)
+def op5_count_min_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windowdedup.removal_digests(table(spark, sf_dir, "documents"))
