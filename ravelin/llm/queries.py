@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ravelin.llm import bpecodec, fmquality, hostrules, secretscan, windowdedup
+from ravelin.llm import bpecodec, fmquality, hostrules, secretscan, sigjoin, windowdedup
 from ravelin.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,3 +112,8 @@ FROM d LEFT JOIN left_over ON d.doc_id = left_over.doc_id"""
 @query("op5_count_min_substrings", SUBSTRING_SQL)
 def op5_count_min_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windowdedup.removal_digests(table(spark, sf_dir, "documents"))
+
+
+@query("op6_signature_join")
+def op6_signature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sigjoin.near_duplicates(table(spark, sf_dir, "documents"))
