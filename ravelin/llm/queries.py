@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ravelin.llm import bpecodec, fmquality, hostrules, secretscan, sigjoin, windowdedup
+from ravelin.llm import bpecodec, fmquality, graphann, hostrules, revisits, secretscan, sigjoin, windowdedup
 from ravelin.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,3 +118,59 @@ def op5_count_min_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_signature_join")
 def op6_signature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sigjoin.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op3_pruned_graph_neighbours")
+def op3_pruned_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return graphann.nearest(vectors, vectors.filter("vec_id % 50 = 0"), 5)
+
+
+# Crawl records of every page: one full response, and up to two revisits at other times, whose validators agree,
+# disagree, are weak or are missing, by the page's number. Pages of one canonical URL answer for each other.
+RECORD_COLUMNS = {
+    "record_id": "page_id * 4 + n",
+    "url": "url",
+    "kind": "CASE WHEN n = 0 THEN 'response' ELSE 'revisit' END",
+    "fetched_at": "CASE WHEN n = 0 THEN (page_id * 7919) % 86400 ELSE (page_id * 104729 + n * 40000) % 172800 END",
+    "etag": """CASE WHEN n > 0 AND page_id % 7 = 0 THEN NULL WHEN n > 0 AND page_id % 5 = 0 THEN '"other"'
+ WHEN n > 0 AND page_id % 3 = 2 THEN 'W/"' || substr(md5(html), 1, 8) || '"' ELSE '"' || substr(md5(html), 1, 8) || '"' END""",
+    "last_modified": "CASE WHEN page_id % 11 = 0 THEN NULL WHEN n > 0 AND page_id % 13 = 0 THEN 'later' ELSE substr(md5(url), 1, 6) END",
+    "payload": "CASE WHEN n = 0 THEN md5(html) END",
+}
+RECORDS_SQL = "SELECT " + ", ".join(f"{sql} AS {name}" for name, sql in RECORD_COLUMNS.items()) + " FROM (SELECT page_id, url, html, unnest([0, 1, 2]) AS n FROM pages) WHERE n <= page_id % 3"
+
+_CANONICAL_SQL = r"""CASE WHEN regexp_matches(u, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN
+ regexp_replace(lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1)), ':(80|443)$', '')
+ || CASE WHEN regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)', 1) = '' THEN '/' ELSE regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)', 1) END
+ || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END ELSE u END"""
+
+REVISITS_SQL = f"""WITH r AS ({RECORDS_SQL}
+), c AS (SELECT *, regexp_replace(trim(url), '#[^\n]*$', '') AS u FROM r
+), p AS (SELECT *, list_sort(list_filter(string_split(regexp_extract(u, '[?](.*)$', 1), '&'), lambda x: x <> '' AND NOT starts_with(x, 'utm_'))) AS q FROM c
+), k AS (SELECT *, {_CANONICAL_SQL} AS canonical FROM p
+), a AS (
+ SELECT v.record_id, v.canonical AS canonical_url, v.etag, v.last_modified, v.fetched_at, max(struct_pack(t := f.fetched_at, i := f.record_id, e := f.etag, m := f.last_modified, d := f.payload)) AS f
+ FROM k v LEFT JOIN k f ON v.canonical = f.canonical AND f.kind = 'response' AND f.fetched_at < v.fetched_at WHERE v.kind = 'revisit'
+ GROUP BY v.record_id, v.canonical, v.etag, v.last_modified, v.fetched_at
+), o AS (
+ SELECT *, CASE WHEN f.i IS NULL THEN 'orphan' WHEN etag IS NOT NULL AND f.e IS NOT NULL THEN
+ CASE WHEN regexp_replace(etag, '^W/', '') = regexp_replace(f.e, '^W/', '') THEN 'resolved' ELSE 'mismatch' END
+ WHEN last_modified IS NOT NULL AND f.m IS NOT NULL THEN CASE WHEN last_modified = f.m THEN 'resolved' ELSE 'mismatch' END ELSE 'unverified' END AS outcome FROM a)
+SELECT record_id, canonical_url, outcome, f.i AS response_id, CASE WHEN outcome = 'resolved' THEN f.d END AS payload,
+ CASE WHEN outcome = 'resolved' THEN concat_ws(';', 'content-type=text/html', 'date=' || fetched_at, 'etag=' || coalesce(etag, f.e), CASE WHEN coalesce(last_modified, f.m) IS NOT NULL THEN 'last-modified=' || coalesce(last_modified, f.m) END) END AS headers
+FROM o"""
+
+
+def crawl_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    visits = table(spark, sf_dir, "pages").selectExpr("page_id", "url", "html", "explode(array(0, 1, 2)) AS n").filter("n <= page_id % 3")
+    records = visits.selectExpr("n", *(f"{sql} AS {name}" for name, sql in RECORD_COLUMNS.items()))
+    headers = F.create_map(F.lit("content-type"), F.when(F.col("n") == 0, "text/html"), F.lit("date"), F.col("fetched_at").cast("string"), F.lit("etag"), F.col("etag"), F.lit("last-modified"), F.col("last_modified"))
+    return records.withColumn("headers", F.map_filter(headers, lambda k, v: v.isNotNull())).drop("n")
+
+
+@query("op2_revisit_resolution", REVISITS_SQL)
+def op2_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = revisits.resolve_revisits(crawl_records(spark, sf_dir))
+    listed = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
+    return found.select("record_id", "canonical_url", "outcome", "response_id", "payload", listed.alias("headers"))
