@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,9 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravelin.session import materialise
+from ravelin.session import ensure_checkpoint_dir, materialise
 
-__all__ = ["WORD", "WORD_CACHE", "batches", "block_count", "materialise", "sha256", "table", "text_rows", "word_ids", "words_of"]
+__all__ = ["WORD", "WORD_CACHE", "batches", "block_count", "fresh_path", "materialise", "sha256", "table", "text_rows", "word_ids", "words_of"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_CACHE = 200_000  # distinct words a task remembers before it starts its dictionary anew
@@ -46,6 +47,11 @@ def text_rows(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def block_count(docs: DataFrame, per_block: int, column: str = "text") -> int:
     """Blocks of about ``per_block`` bytes for all texts: one pass that returns a single number."""
     total = docs.select(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0

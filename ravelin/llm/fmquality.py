@@ -180,8 +180,8 @@ def fit_on(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Mode
     return fit([sample[k] for k in sorted(sample)])
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
-    """All rows and columns of ``docs`` with ``quality_score``, added in one pass without a shuffle. A null or empty
+def score(docs: DataFrame, model: Model, text: str = "text", n_chars: str = "n_chars", into: str = "quality_score") -> DataFrame:
+    """All rows and columns of ``docs`` with the score as ``into`` (a new name), added in one pass without a shuffle. A null or empty
     text is scored on its statistics alone; a null length counts as the text's own."""
     at, long_at = docs.columns.index(text), docs.columns.index(n_chars)
 
@@ -189,12 +189,12 @@ def score(docs: DataFrame, model: Model, text: str = "text", n_chars: str = "n_c
         features = Features()
         for part in parts:
             lengths = part.column(long_at).to_pylist()
-            told = [model.score(*features(t.as_py(), n)) for t, n in zip(part.column(at), lengths)]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(told, pa.float64())], [*part.schema.names, "quality_score"])
+            told = [model.score(*features(t.as_py(), None if n is None else int(n))) for t, n in zip(part.column(at), lengths)]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(told, pa.float64())], [*part.schema.names, into])
 
-    if "quality_score" in docs.columns:
-        raise ValueError("docs has a column quality_score already")
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("quality_score", DoubleType())]))
+    if into in docs.columns:
+        raise ValueError(f"docs has a column {into} already")
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(into, DoubleType())]))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:

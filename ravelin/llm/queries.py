@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravelin.llm import bpecodec, fmquality, graphann, hostrules, revisits, secretscan, sigjoin, windowdedup
-from ravelin.llm.common import table
+from ravelin.llm import bestfit, bpecodec, fmquality, graphann, hostrules, rangecoder, revisits, secretscan, sigjoin, windowdedup
+from ravelin.llm.common import fresh_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -174,3 +174,15 @@ def op2_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = revisits.resolve_revisits(crawl_records(spark, sf_dir))
     listed = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
     return found.select("record_id", "canonical_url", "outcome", "response_id", "payload", listed.alias("headers"))
+
+
+@query("op9_conflict_packing")
+def op9_conflict_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bestfit.pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op10_context_mixing_ids")
+def op10_context_mixing_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "ids")
+    rangecoder.write_ids(table(spark, sf_dir, "documents"), bpecodec.load(public_tokenizers.path("byte_bpe_50k.json")), path)
+    return rangecoder.read_ids(spark, path).drop("ids")
