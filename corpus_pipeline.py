@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ravelin.llm.stages import mask_secrets, written
+from ravelin.llm import stages
 
 STAGES = [
-    ("secret_scans", mask_secrets),
+    ("quality_classifier", stages.keep_quality),
+    ("near_duplicates", stages.drop_near_duplicates),
+    ("substring_dedup", stages.strip_repeated_passages),
+    ("secret_scans", stages.mask_secrets),
+    ("best_fit_packing", stages.pack_bins),
 ]
 
-ORACLE_SQL = None
+ORACLE_SQL = None  # SQL cannot express the fitted classifier and the packing; a test has a brute-force version
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs = stages.written(stage(spark, docs, sf_dir), name)
     return docs
