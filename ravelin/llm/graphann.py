@@ -120,6 +120,8 @@ def _add_reverse(points: np.ndarray, graph: np.ndarray, nodes: np.ndarray, alpha
     to = graph[nodes].reshape(-1).astype(np.int64)
     source = np.repeat(nodes, degree)[to >= 0]
     to = to[to >= 0]
+    if not len(to):  # a single node
+        return
     order = np.argsort(to, kind="stable")
     to, source = to[order], source[order]
     targets, starts, counts = np.unique(to, return_index=True, return_counts=True)
