@@ -529,6 +529,51 @@ def hot_group_rules(spark, sf_dir):
     return out.select("rule_id", "event_id")
 
 
+# Nearly all rows of a group fall into one minute, a few are spread over the month, some have no time.
+BURST_SQL = "CASE WHEN k % 17 = 0 THEN 0 WHEN k % 20 <> 0 THEN 1704844800000000 + ts_us % 60000000 ELSE ts_us END"
+
+
+@query(
+    "bursty_group_rules",
+    with_events(
+        "SELECT 't' AS rule_id, id AS event_id FROM walk WHERE fired UNION ALL SELECT 's', id FROM walk2 WHERE fired",
+        sqltext.threshold(f"SELECT agent_id AS key, {BURST_SQL} AS ts, event_id AS id FROM ev WHERE type = '{FAILURE}'", 2_000_000, 4)
+        + ", "
+        + sqltext.sequence(SEQ_SQL.replace("source_ip AS key", "agent_id AS key").replace("ts_us AS ts", f"{BURST_SQL} AS ts"), 1_000_000, [2, 1, 1]).replace("walk", "walk2").replace("num ", "num2 "),
+    ),
+)
+def bursty_group_rules(spark, sf_dir):
+    steps = (Step(kind_is("AUTH_FAILURE"), 2), Step(kind_is("AUTH_SUCCESS")), Step(kind_is("PRIVILEGE_ESCALATION")))
+    rules = [
+        Rule("t", "t", "threshold", conditions=kind_is("AUTH_FAILURE"), group_by=("agent_id",), threshold=4, window_micros=2_000_000),
+        Rule("s", "s", "sequence", group_by=("agent_id",), window_micros=1_000_000, steps=steps),
+    ]
+    events = security_events(spark, sf_dir)
+    k = F.col("metadata")["k"].cast("bigint")
+    burst = F.timestamp_micros(1704844800000000 + us("timestamp") % 60000000)
+    moved = events.withColumn("timestamp", F.when(k % 17 == 0, F.lit(None).cast("timestamp")).when(k % 20 != 0, burst).otherwise(F.col("timestamp")))
+    return evaluate(moved, rules, hot_rows=200, chunk_rows=80).select("rule_id", "event_id")
+
+
+@query(
+    "rules_over_copies",
+    with_events(
+        f"""SELECT key, id AS event_id, ts AS ts_us, CASE WHEN id = '' THEN count(*) ELSE 1 END AS fires FROM (
+ SELECT source_ip AS key, CASE WHEN k % 4 = 0 THEN '' ELSE event_id END AS id, ts_us + c.n * CASE WHEN k % 5 = 0 THEN 1000000 ELSE 0 END AS ts
+ FROM ev CROSS JOIN (VALUES (0), (1)) c(n) WHERE type = '{FAILURE}') GROUP BY ALL"""
+    ),
+)
+def rules_over_copies(spark, sf_dir):
+    """Every event comes twice: at once or a second later, some without an id."""
+    rule = Rule("failure", "failure", "single", conditions=kind_is("AUTH_FAILURE"), group_by=("source_ip",))
+    k = F.col("metadata")["k"].cast("bigint")
+    twice = security_events(spark, sf_dir).withColumn("n", F.explode(F.array(F.lit(0), F.lit(1))))
+    twice = twice.withColumn("timestamp", F.timestamp_micros(us("timestamp") + F.when(k % 5 == 0, F.col("n") * 1_000_000).otherwise(0)))
+    twice = twice.withColumn("event_id", F.when(k % 4 == 0, "").otherwise(F.col("event_id"))).drop("n")
+    fired = evaluate(twice, [rule], dedup=True)
+    return fired.groupBy(F.col("group_key").alias("key"), "event_id", us("timestamp").alias("ts_us")).agg(F.count(F.lit(1)).alias("fires"))
+
+
 # ---- the whole path ------------------------------------------------------------------------------------
 
 ERROR_BURST = sqltext.threshold(ERRORS_SQL, 3 * DAY, 3)
@@ -978,6 +1023,33 @@ def latency_quantiles(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+SIX_HOURS = 6 * HOUR
+RATE_BUCKETS_SQL = f"""slot AS (SELECT type, ts_us // {SIX_HOURS} AS slot, value / 20 AS seconds FROM ev), held AS (
+ SELECT type, slot, b.le::DOUBLE AS le, count(*) FILTER (seconds <= b.le::DOUBLE) AS n FROM slot CROSS JOIN {BOUNDS_SQL} GROUP BY ALL
+), grown AS (SELECT type, le, slot * {SIX_HOURS} AS ts, sum(n) OVER (PARTITION BY type, le ORDER BY slot)::DOUBLE AS value FROM held
+), steps AS (SELECT *, coalesce(value - lag(value) OVER (PARTITION BY type, le ORDER BY ts), 0) AS step FROM grown
+), bkt AS (SELECT type, ts AS ts_us, le, (sum(step) OVER w - first_value(step) OVER w) / 86400.0::DOUBLE AS count FROM steps
+ WINDOW w AS (PARTITION BY type, le ORDER BY ts RANGE BETWEEN {24 * HOUR - 1} PRECEDING AND CURRENT ROW))"""
+
+
+@query(
+    "latency_quantiles_of_rate",
+    with_events(
+        " UNION ALL ".join(_quantile_sql(q).replace("SELECT type,", "SELECT type, ts_us,", 1).replace("PARTITION BY type", "PARTITION BY type, ts_us") for q in (0.5, 0.99)),
+        RATE_BUCKETS_SQL,
+    ),
+)
+def latency_quantiles_of_rate(spark, sf_dir):
+    """Bucket counters are sampled every six hours; quantiles of what came in during a day."""
+    from pyspark.sql import Window
+
+    observed = spark_events(spark, sf_dir).select("type", F.floor(F.col("ts_us") / SIX_HOURS).cast("bigint").alias("slot"), (F.col("value") / 20).alias("seconds"))
+    counts = metrics.bucketize(observed, ["type", "slot"], "seconds")
+    grown = F.sum("count").over(Window.partitionBy("type", "le").orderBy("slot")).cast("double")
+    samples = counts.select("type", "le", (F.col("slot") * SIX_HOURS).alias("ts_us"), grown.alias("value"))
+    return metrics.quantile_of_rate(samples, ["type"], [0.5, 0.99], window="24h").filter("quantile IS NOT NULL")
+
+
 @query("gauge_latest", with_events("SELECT hostname, service, arg_max(k, ts_us)::DOUBLE AS value, max(ts_us) AS ts_us FROM ev GROUP BY ALL"))
 def gauge_latest(spark, sf_dir):
     samples = spark_events(spark, sf_dir).select("hostname", "service", "ts_us", F.col("k").cast("double").alias("value"))
@@ -991,8 +1063,9 @@ def gauge_latest(spark, sf_dir):
     "baseline_anomalies",
     with_events(
         """SELECT hostname, bucket, events, mean, deviation, (events - mean) / deviation AS score FROM (
- SELECT *, s / 12.0::DOUBLE AS mean, sqrt((s2 - s * s / 12.0::DOUBLE) / 11.0::DOUBLE) AS deviation FROM (
-  SELECT *, coalesce(sum(events) OVER w, 0)::DOUBLE AS s, coalesce(sum(events * events) OVER w, 0)::DOUBLE AS s2, min(bucket) OVER (PARTITION BY hostname) AS first FROM hr
+ SELECT *, c + s / 12.0::DOUBLE AS mean, sqrt(greatest(s2 - s * s / 12.0::DOUBLE, 0) / 11.0::DOUBLE) AS deviation FROM (
+  SELECT *, coalesce(sum(events - c) OVER w, 0)::DOUBLE - (12 - count(*) OVER w) * c AS s, coalesce(sum((events - c) * (events - c)) OVER w, 0)::DOUBLE + (12 - count(*) OVER w) * c * c AS s2,
+  min(bucket) OVER (PARTITION BY hostname) AS first FROM (SELECT *, floor(avg(events) OVER (PARTITION BY hostname)) AS c FROM hr)
   WINDOW w AS (PARTITION BY hostname ORDER BY bucket RANGE BETWEEN 12 PRECEDING AND 1 PRECEDING)))
  WHERE bucket >= first + 12 AND deviation > 0 AND (events - mean) / deviation > 1.5""",
         f"hr AS (SELECT hostname, ts_us // {2 * HOUR} AS bucket, count(*) AS events FROM ev GROUP BY ALL)",
@@ -1033,9 +1106,10 @@ def alert_page(spark, sf_dir):
 @query(
     "sla_compliance",
     with_events(
-        """SELECT severity, count(*) AS deliveries, count(*) FILTER (delay <= target) AS within_target, count(*) FILTER (delay <= target)::DOUBLE / count(*)::DOUBLE AS compliance
+        """SELECT severity, count(*) AS deliveries, CASE WHEN max(target) IS NOT NULL THEN count(*) FILTER (delay <= target) END AS within_target,
+ CASE WHEN max(target) IS NOT NULL THEN count(*) FILTER (delay <= target)::DOUBLE / count(*)::DOUBLE END AS compliance
  FROM (SELECT severity, k * 1000000 AS delay, CASE severity WHEN 'SEVERITY_CRITICAL' THEN 30000000 WHEN 'SEVERITY_HIGH' THEN 60000000 WHEN 'SEVERITY_MEDIUM' THEN 90000000 END AS target FROM alr)
- WHERE target IS NOT NULL GROUP BY ALL""",
+ GROUP BY severity""",
         FIRED_SQL,
     ),
 )
@@ -1047,13 +1121,12 @@ def sla_compliance_query(spark, sf_dir):
 @query(
     "alerts_by_priority",
     with_events(
-        """SELECT alert_id, severity, ts_us AS created_us FROM alr ORDER BY CASE severity WHEN 'SEVERITY_CRITICAL' THEN 0 WHEN 'SEVERITY_HIGH' THEN 1 WHEN 'SEVERITY_MEDIUM' THEN 2 ELSE 3 END, ts_us, alert_id LIMIT 100""",
+        """SELECT alert_id, severity, ts_us AS created_us, row_number() OVER (ORDER BY CASE severity WHEN 'SEVERITY_CRITICAL' THEN 0 WHEN 'SEVERITY_HIGH' THEN 1 WHEN 'SEVERITY_MEDIUM' THEN 2 ELSE 3 END, ts_us, alert_id) AS place FROM alr""",
         FIRED_SQL,
     ),
 )
 def alerts_by_priority(spark, sf_dir):
-    """The next hundred alerts to send."""
-    return A.by_priority(all_alerts(spark, sf_dir)).limit(100).select("alert_id", "severity", us("created_at").alias("created_us"))
+    return A.by_priority(all_alerts(spark, sf_dir)).select("alert_id", "severity", us("created_at").alias("created_us"), "place")
 
 
 @query("alert_times", with_events(f"SELECT alert_id, {STAMP_SQL} AS created_at FROM alr", FIRED_SQL))

@@ -14,15 +14,19 @@ from ravelin.functions.jsontext import canonical_json
 from ravelin.functions.maps import sorted_map
 from ravelin.functions.times import micros, rfc3339
 from ravelin.operators.ordered import HOT_ROWS, first_per_window, in_order
+from ravelin.session import materialise
 from ravelin.schema import ALERT_SCHEMA, empty_map, severity_rank
 
 SENT, SUPPRESSED, RATE_LIMITED = "sent", "suppressed", "rate_limited"
+# Fixed value: the subject of all alerts.
 DISPATCH_SUBJECT = "alerts.dispatch"
 TICKS_PER_CHUNK = 512
+ONE_BUCKET = "one_bucket"
 
 
 def to_alerts(results: DataFrame) -> DataFrame:
     """Rule results to alerts; the id is a hash, so a rerun gives the same alert."""
+    # Fixed value: the text of an alert.
     described = F.format_string(
         "Rule '%s' fired for group '%s' (%d events)", "rule_name", "group_key", "event_count"
     )
@@ -89,13 +93,15 @@ def token_bucket(
 
     ``keys=[]`` is one global bucket. Rows are counted per refill tick first. What a run of ticks does to
     the token count has the form ``min(hi, max(lo, x + d))``, which is closed under composition, so chunks
-    of ticks are summed up in parallel; the ordered pass sees one row per chunk.
+    of ticks are summed up in parallel; the ordered pass sees one row per chunk, for the global bucket in
+    one task (a row per ``ticks_per_chunk`` busy ticks).
     """
-    keys = list(keys) or ["bucket"]
-    keyed = df if "bucket" not in keys else df.withColumn("bucket", F.lit(0))
+    one = not keys
+    keys = list(keys) or [ONE_BUCKET]
+    keyed = df.withColumn(ONE_BUCKET, F.lit(0)) if one else df
     origins = keyed.groupBy(*keys).agg(F.min(ts).alias("origin"))
     # The global bucket has one origin; per-key origins join adaptively, where hot partitions are split.
-    ticked = keyed.join(F.broadcast(origins) if keys == ["bucket"] else origins, keys)
+    ticked = keyed.join(F.broadcast(origins) if one else origins, keys)
     ticked = ticked.withColumn(
         "tick", F.floor((F.col(ts) - F.col("origin")) / F.lit(interval_micros)).cast("bigint")
     ).drop("origin")
@@ -239,9 +245,14 @@ def route(alerts: DataFrame, by_severity: bool = False) -> DataFrame:
 
 
 def by_priority(alerts: DataFrame) -> DataFrame:
-    """Most severe first, oldest first among equals: a range-partitioned sort."""
-    rank = severity_rank(F.col("severity"))
-    return alerts.orderBy(rank.desc(), F.col("created_at"), F.col("alert_id"))
+    """Adds ``place`` from 1: most severe first, oldest first among equals. Alerts are cut by ranges of that
+    order and numbered inside each range; only the ranges' sizes meet."""
+    order = [severity_rank(F.col("severity")).desc(), F.col("created_at"), F.col("alert_id")]
+    ranged = materialise(alerts.repartitionByRange(*order).withColumn("slab", F.spark_partition_id()))
+    before = Window.orderBy("slab").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    sizes = ranged.groupBy("slab").agg(F.count(F.lit(1)).alias("n")).select("slab", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
+    placed = ranged.withColumn("place", F.row_number().over(Window.partitionBy("slab").orderBy(*order)))
+    return placed.join(F.broadcast(sizes), "slab").withColumn("place", F.col("place") + F.col("shift")).drop("slab", "shift")
 
 
 def page(alerts: DataFrame, size: int, after: tuple[Column, Column] | None = None) -> DataFrame:

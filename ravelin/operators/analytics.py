@@ -26,13 +26,19 @@ def baseline_anomalies(
     along = Window.partitionBy(*keys).orderBy("bucket")
     past = along.rangeBetween(-history, -1)
     n = F.lit(float(history))
-    total = F.coalesce(F.sum("events").over(past), F.lit(0)).cast("double")
-    squares = F.coalesce(F.sum(F.col("events") * F.col("events")).over(past), F.lit(0)).cast("double")
+    # Counts are taken around a whole number near the key's mean, as doubles: sums of squares stay small and exact.
+    centre = F.floor(F.avg("events").over(Window.partitionBy(*keys))).cast("double")
+    apart = F.col("events").cast("double") - F.col("centre")
+    absent = n - F.count(F.lit(1)).over(past)
+    total = F.coalesce(F.sum(apart).over(past), F.lit(0.0)) - absent * F.col("centre")
+    squares = F.coalesce(F.sum(apart * apart).over(past), F.lit(0.0)) + absent * F.col("centre") * F.col("centre")
+    variance = F.greatest(squares - total * total / n, F.lit(0.0)) / (n - 1)
     scored = (
-        counts.withColumn("first_bucket", F.min("bucket").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("mean", total / n)
-        .withColumn("deviation", F.sqrt((squares - total * total / n) / (n - 1)))
-        .filter((F.col("bucket") >= F.col("first_bucket") + history) & (F.col("deviation") > 0))
+        counts.withColumn("centre", centre)
+        .withColumn("first_bucket", F.min("bucket").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("mean", F.col("centre") + total / n)
+        .withColumn("deviation", F.sqrt(variance))
+        .filter((F.col("bucket") >= F.col("first_bucket") + history) & (F.col("deviation") > 0) & ~F.isnan("deviation"))
         .withColumn("score", (F.col("events") - F.col("mean")) / F.col("deviation"))
     )
     return scored.filter(F.col("score") > limit).select(*keys, "bucket", "events", "mean", "deviation", "score")
@@ -50,17 +56,18 @@ def delivery_analytics(receipts: DataFrame, day: Column) -> DataFrame:
 
 
 def sla_compliance(deliveries: DataFrame, targets_micros: dict[str, int], delay: str = "delay_us") -> DataFrame:
-    """Share of deliveries within the target of their severity."""
+    """Share of deliveries within the target of their severity; null for a severity without a target."""
     target = F.lit(None).cast("bigint")
     for severity, micros in targets_micros.items():
         target = F.when(F.col("severity") == severity, F.lit(micros)).otherwise(target)
     met = F.col(delay) <= target
     return (
-        deliveries.filter(target.isNotNull())
-        .groupBy("severity")
-        .agg(
-            F.count(F.lit(1)).alias("deliveries"),
-            F.count_if(met).alias("within_target"),
-            (F.count_if(met) / F.count(F.lit(1))).alias("compliance"),
+        deliveries.groupBy("severity")
+        .agg(F.count(F.lit(1)).alias("deliveries"), F.count_if(met).alias("met"), F.max(target).isNotNull().alias("known"))
+        .select(
+            "severity",
+            "deliveries",
+            F.when(F.col("known"), F.col("met")).alias("within_target"),
+            F.when(F.col("known"), F.col("met") / F.col("deliveries")).alias("compliance"),
         )
     )

@@ -78,10 +78,11 @@ def threat_enrich(df: DataFrame, threats: DataFrame, max_rows: int = BROADCAST_R
 
 
 def ip_range_enrich(df: DataFrame, ranges: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Country, city and network of an IPv4 source from disjoint ranges.
+    """Country, city and network of an IPv4 source; of ranges that overlap the narrowest counts.
 
     ``ranges`` has ``first_ip, last_ip`` (dotted) and ``country, city, asn``. A range is spread over the
-    /16 prefixes it touches, so the join is an equality on the prefix with a range check on the rest.
+    /16 prefixes it touches, so the join is an equality on the prefix; all ranges of a prefix are one row,
+    narrowest first, so no event is multiplied.
     """
     block = 1 << (32 - PREFIX_BITS)
     low, high = ipv4_number(F.col("first_ip")), ipv4_number(F.col("last_ip"))
@@ -91,15 +92,14 @@ def ip_range_enrich(df: DataFrame, ranges: DataFrame, max_rows: int = BROADCAST_
         "prefix",
         F.explode(F.sequence(F.floor(F.col("range_low") / block), F.floor(F.col("range_high") / block))),
     )
+    order = F.struct((F.col("range_high") - F.col("range_low")).alias("width"), "range_low", "range_high", "country", "city", "asn")
+    spread = spread.groupBy("prefix").agg(F.array_sort(F.collect_set(order)).alias("held"))
     number = ipv4_number(F.col("source_ip"))
     keyed = df.withColumn("ip_number", number).withColumn("prefix", F.floor(F.col("ip_number") / block))
     side = lookup_side(spread, max_rows).alias("r")
-    found = keyed.alias("e").join(
-        side,
-        (F.col("e.prefix") == F.col("r.prefix")) & F.col("e.ip_number").between(F.col("r.range_low"), F.col("r.range_high")),
-        "left",
-    )
-    filled = found.select("e.*", "r.country", "r.city", "r.asn")
+    found = keyed.alias("e").join(side, F.col("e.prefix") == F.col("r.prefix"), "left")
+    inside = F.filter("r.held", lambda x: F.col("e.ip_number").between(x["range_low"], x["range_high"]))
+    filled = found.select("e.*", F.get(inside, 0).alias("hit")).select("*", "hit.country", "hit.city", "hit.asn")
     pairs = {"geo_country": F.col("country"), "geo_city": F.col("city"), "geo_asn": F.col("asn").cast("string")}
     entries = F.when(F.col("country").isNotNull(), from_pairs(pairs))
     return put_metadata(filled, entries, list(pairs)).select(*df.columns)

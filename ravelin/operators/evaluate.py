@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ravelin.functions.times import micros
 from ravelin.operators import rules as R
 from ravelin.operators.conditions import conditions_column, group_key
+from ravelin.session import materialise
 from ravelin.operators.ordered import (
     CHUNK_ROWS,
     FAR,
@@ -32,21 +33,26 @@ from ravelin.operators.ordered import (
 
 KEYS = ["rule_ix", "group_key"]
 ORDER = ["ts", "event_id"]
-MATCHES_PER_PROJECTION = 200
 STORED_FIELDS = ["type", "event_type", "hostname", "source_ip", "destination_ip", "user", "process", "service", "agent_id"]
 CARRIED = ("timestamp", "metadata")
 NO_RULE = R.Rule("none", "none", R.SINGLE)
 
 
-def _hit(index: int, rule: R.Rule) -> Column:
-    """``(rule_ix, steps)`` when the rule matches, else null. Bit ``s`` of ``steps`` stands for step ``s``."""
-    head = F.lit(index).alias("rule_ix")
+def _step_bits(rules: Sequence[tuple[int, R.Rule]]) -> int:
+    bits = max([len(r.steps) for _, r in rules if r.type == R.SEQUENCE] + [1])
+    if max(i for i, _ in rules).bit_length() + bits > 62:
+        raise ValueError("too many rules and steps for one number")
+    return bits
+
+
+def _hit(index: int, rule: R.Rule, bits: int) -> Column:
+    """The rule's index and its matched steps in one number, else null. Bit ``s`` stands for step ``s``."""
+    base = index << bits
     if rule.type != R.SEQUENCE:
-        return F.when(conditions_column(rule.conditions), F.struct(head, F.lit(1).cast("bigint").alias("steps")))
+        return F.when(conditions_column(rule.conditions), F.lit(base | 1).cast("bigint"))
     tests = [conditions_column(step.conditions) for step in rule.steps]
-    bits = [F.when(test, F.lit(1 << s)).otherwise(F.lit(0)).cast("bigint") for s, test in enumerate(tests)]
-    steps = reduce(Column.__add__, bits).alias("steps")
-    return F.when(reduce(Column.__or__, tests), F.struct(head, steps))
+    flags = [F.when(test, F.lit(1 << s)).otherwise(F.lit(0)).cast("bigint") for s, test in enumerate(tests)]
+    return F.when(reduce(Column.__or__, tests), F.lit(base).cast("bigint") + reduce(Column.__add__, flags))
 
 
 def _group_keys(rules: Sequence[tuple[int, R.Rule]]) -> Column:
@@ -86,25 +92,21 @@ def _needed(rules: Sequence[tuple[int, R.Rule]]) -> Column | None:
 
 
 def match(df: DataFrame, rules: Sequence[tuple[int, R.Rule]], carried: Sequence[str]) -> DataFrame:
-    """One row per (event, rule) whose conditions, or any step's conditions, hold."""
+    """One row per (event, rule) whose conditions, or any step's conditions, hold. All rules are one compiled
+    projection: a number per rule, nulls removed, exploded. An event without time counts as at time zero."""
     needed = _needed(rules)
     df = df if needed is None else df.filter(needed)
-    slices = []
-    for at in range(0, len(rules), MATCHES_PER_PROJECTION):
-        some = rules[at : at + MATCHES_PER_PROJECTION]
-        found = F.filter(F.array(*[_hit(index, rule) for index, rule in some]), lambda h: h.isNotNull())
-        hits = df.select("*", F.inline(found))
-        slices.append(
-            hits.select(
-                "rule_ix",
-                _group_keys(some).alias("group_key"),
-                "steps",
-                micros(F.col("timestamp")).alias("ts"),
-                "event_id",
-                *carried,
-            )
-        )
-    return reduce(DataFrame.unionByName, slices)
+    bits = _step_bits(rules)
+    found = F.array_except(F.array(*[_hit(index, rule, bits) for index, rule in rules]), F.array(F.lit(None).cast("bigint")))
+    hits = df.withColumn("hit", F.explode(found)).withColumn("rule_ix", F.shiftright("hit", bits).cast("int"))
+    return hits.select(
+        "rule_ix",
+        _group_keys(rules).alias("group_key"),
+        F.col("hit").bitwiseAND(F.lit((1 << bits) - 1).cast("bigint")).alias("steps"),
+        F.coalesce(micros(F.col("timestamp")), F.lit(0)).alias("ts"),
+        "event_id",
+        *carried,
+    )
 
 
 def _pass(rules: dict[int, R.Rule]):
@@ -124,6 +126,8 @@ def _pass(rules: dict[int, R.Rule]):
                     return False
                 covered = rn + thresholds[rule_ix] - 1
                 return True
+            if rule_ix not in sequences:
+                return True
             needed, window = sequences[rule_ix]
             if began is not None and ts - began > window:
                 step, count, began = 0, 0, None
@@ -163,7 +167,7 @@ def _ordinary(matched: DataFrame, rules: dict[int, R.Rule], dedup: bool) -> Data
     along = Window.partitionBy(*KEYS).orderBy(*ORDER)
     if dedup:
         here, before = F.struct(*ORDER), F.lag(F.struct(*ORDER)).over(along)
-        repeated = matched.withColumn("repeated", F.coalesce(here == before, F.lit(False)))
+        repeated = matched.withColumn("repeated", F.coalesce(here == before, F.lit(False)) & (F.col("event_id") != ""))
         matched = repeated.filter(~F.col("repeated")).drop("repeated")
     numbered = matched.withColumn("rn", F.row_number().over(along).cast("bigint")).withColumn(
         "tight", _tight(rules, lambda back: F.lag("ts", back).over(along))
@@ -172,23 +176,26 @@ def _ordinary(matched: DataFrame, rules: dict[int, R.Rule], dedup: bool) -> Data
     return pick_in_order(live, KEYS, ORDER, ["rule_ix", "ts", "steps", "rn"], _pass(rules))
 
 
-def _hot_threshold(ranked: DataFrame, index: int, rule: R.Rule, hot_rows: int, chunk_rows: int) -> DataFrame:
-    rows = ranked.filter(F.col("rule_ix") == index)
-    back = rule.threshold - 1
-    if back:
-        earlier = rows.select(*KEYS, (F.col("rn") + back).alias("rn"), F.col("ts").alias("earlier"))
-        rows = rows.join(earlier, [*KEYS, "rn"]).filter(F.col("ts") - F.col("earlier") < rule.window_micros)
-    nodes = rows.select(
-        *ranked.columns,
-        F.lit(0).cast("bigint").alias("start_a"),
+def _hot_thresholds(ranked: DataFrame, rules: dict[int, R.Rule]) -> DataFrame:
+    """Each row of a threshold rule that can fire, as an interval over the rows it would use up."""
+    wanted = {i: r.threshold for i, r in rules.items() if r.type == R.THRESHOLD}
+    rows = ranked.filter(F.col("rule_ix").isin(*wanted)).withColumn("back", per_rule(wanted) - 1)
+    earlier = rows.select(*KEYS, (F.col("rn") + F.col("back")).alias("rn"), F.col("ts").alias("earlier"))
+    window = per_rule({i: rules[i].window_micros for i in wanted})
+    full = rows.join(earlier, [*KEYS, "rn"]).filter((F.col("back") == 0) | (F.col("ts") - F.col("earlier") < window))
+    zero = F.lit(0).cast("bigint")
+    return full.select(
+        *KEYS,
+        "rn",
+        F.col("rn").alias("fired_rn"),
+        zero.alias("start_a"),
         F.col("rn").alias("start_b"),
-        F.lit(0).cast("bigint").alias("reach_a"),
-        (F.col("rn") + back).alias("reach_b"),
+        zero.alias("reach_a"),
+        (F.col("rn") + F.col("back")).alias("reach_b"),
     )
-    return pick_hot(nodes, KEYS, "rn", None, hot_rows, chunk_rows).select(*ranked.columns)
 
 
-def _hot_sequence(ranked: DataFrame, index: int, rule: R.Rule, hot_rows: int, chunk_rows: int) -> DataFrame:
+def _hot_sequence(ranked: DataFrame, index: int, rule: R.Rule) -> DataFrame:
     """Each row of step 0 is a possible start. Its end follows from running counts per step by equality
     joins on ``(key, count)``, which spread a hot key evenly."""
     rows = ranked.filter(F.col("rule_ix") == index)
@@ -214,7 +221,7 @@ def _hot_sequence(ranked: DataFrame, index: int, rule: R.Rule, hot_rows: int, ch
     ends = ended.select(*KEYS, "first_rn", "end_rn", "end_ts")
     reached = starts.drop("seen").join(ends, [*KEYS, "first_rn"], "left")
     complete = F.col("end_rn").isNotNull()
-    nodes = reached.select(
+    return reached.select(
         *KEYS,
         F.col("first_rn").alias("rn"),
         F.when(complete, F.col("end_rn")).alias("fired_rn"),
@@ -223,25 +230,32 @@ def _hot_sequence(ranked: DataFrame, index: int, rule: R.Rule, hot_rows: int, ch
         F.when(complete, F.col("end_ts")).otherwise(F.col("first_ts") + rule.window_micros).alias("reach_a"),
         F.when(complete, F.col("end_rn")).otherwise(F.lit(FAR)).alias("reach_b"),
     )
-    taken = pick_hot(nodes, KEYS, "rn", None, hot_rows, chunk_rows).filter("fired_rn IS NOT NULL")
-    fired = taken.select(*KEYS, F.col("fired_rn").alias("rn"))
-    return rows.join(fired, [*KEYS, "rn"]).select(*ranked.columns)
 
 
 def _hot(matched: DataFrame, rules: dict[int, R.Rule], hot: DataFrame, hot_rows: int, chunk_rows: int) -> DataFrame:
+    """The fires of all hot groups: the intervals of all their rules are solved in one call."""
     deepest = max([len(r.steps) for r in rules.values()] + [0])
     names = [f"step_{s}" for s in range(deepest)]
-    flagged = matched.select("*", *[(F.shiftright("steps", s).bitwiseAND(1) == 1).alias(n) for s, n in enumerate(names)])
-    ranked = rank_hot(flagged, KEYS, "ts", ["event_id"], hot, hot_rows, names)
     present = {row.rule_ix for row in hot.select("rule_ix").distinct().collect()}
-    parts = []
-    for index, rule in rules.items():
-        if index in present:
-            branch = _hot_threshold if rule.type == R.THRESHOLD else _hot_sequence
-            parts.append(branch(ranked, index, rule, hot_rows, chunk_rows))
+    kinds = {kind: {i: r for i, r in rules.items() if i in present and r.type == kind} for kind in (R.SINGLE, R.THRESHOLD, R.SEQUENCE)}
+    parts = [matched.filter(F.col("rule_ix").isin(*kinds[R.SINGLE]))] if kinds[R.SINGLE] else []
+    if kinds[R.THRESHOLD] or kinds[R.SEQUENCE]:
+        ordered = matched.filter(F.col("rule_ix").isin(*kinds[R.THRESHOLD], *kinds[R.SEQUENCE]))
+        flagged = ordered.select("*", *[(F.shiftright("steps", s).bitwiseAND(1) == 1).alias(n) for s, n in enumerate(names)])
+        ranked = rank_hot(flagged, KEYS, "ts", ["event_id"], hot.filter(F.col("rule_ix").isin(*kinds[R.THRESHOLD], *kinds[R.SEQUENCE])), hot_rows, names)
+        nodes = [_hot_thresholds(ranked, kinds[R.THRESHOLD])] if kinds[R.THRESHOLD] else []
+        nodes += [_hot_sequence(ranked, index, rule) for index, rule in kinds[R.SEQUENCE].items()]
+        taken = pick_hot(materialise(reduce(DataFrame.unionByName, nodes)), KEYS, "rn", None, hot_rows, chunk_rows)
+        fired = taken.filter("fired_rn IS NOT NULL").select(*KEYS, F.col("fired_rn").alias("rn"))
+        parts.append(ranked.join(fired, [*KEYS, "rn"]).select(*matched.columns))
     return reduce(DataFrame.unionByName, parts).select(*matched.columns)
 
 
+def _once(matched: DataFrame) -> DataFrame:
+    """One of each group of copies; events without an id are all different."""
+    return matched.filter("event_id <> ''").dropDuplicates([*KEYS, *ORDER]).unionByName(matched.filter("event_id = ''"))
+
+
 def constants(results: DataFrame, rules: Sequence[R.Rule]) -> DataFrame:
     """Adds ``rule``, the fixed text of each rule, from a literal array indexed by position."""
     fixed = []
@@ -267,36 +281,38 @@ def evaluate(
     hot_rows: int | None = HOT_ROWS,
     chunk_rows: int = CHUNK_ROWS,
     dedup: bool = False,
+    hot_groups: DataFrame | None = None,
 ) -> DataFrame:
     """All enabled rules over canonical events.
 
     Result: ``rule_ix, rule_id, rule_name, rule_severity, severity, tags, group_key, event_count,
     event_id, event_ids`` and the ``carried`` columns of the firing event. Events count in
     ``(timestamp, event_id)`` order; sequences run on event time. A threshold window restarts when it
-    fires. Groups are global, wherever their events were seen. With ``dedup`` a redelivered event
-    (same id and time) counts once; the copies are neighbours in the sort, so this adds no shuffle for
-    stateful rules.
+    fires. Groups are global, wherever their events were seen. With ``dedup`` a redelivered event (same
+    rule, group, id and time) counts once, for all kinds of rules; events without an id are never copies
+    of each other. All rules then share one scan and one exchange. An event without time counts as at
+    time zero. ``hot_groups`` (``rule_ix, group_key, hot_n``), if the caller knows them, spares the
+    sampling pass.
     """
     rules = R.check_distinct_ids(list(rules))
     live = [(i, r) for i, r in enumerate(rules) if r.enabled]
-    singles = [(i, r) for i, r in live if r.type == R.SINGLE]
-    stateful = {i: r for i, r in live if r.type != R.SINGLE}
+    passing = [] if dedup else [(i, r) for i, r in live if r.type == R.SINGLE]
+    ordered = dict([x for x in live if x not in passing])
     fired = []
-    if singles:
-        ones = match(df, singles, carried).drop("ts", "steps")
-        fired.append(ones.dropDuplicates(["rule_ix", "event_id"]) if dedup else ones)
-    if stateful:
-        matched = match(df, list(stateful.items()), carried)
-        part = df.sample(sample_fraction(hot_rows), SEED) if hot_rows else df
-        sample = match(part, list(stateful.items()), carried)
-        hot = hot_keys(matched, KEYS, "ts", hot_rows, sample)
+    if passing:
+        fired.append(match(df, passing, carried).drop("ts", "steps"))
+    if ordered:
+        matched = match(df, list(ordered.items()), carried)
+        hot = hot_groups
+        if hot is None and hot_rows:
+            sample = match(df.sample(sample_fraction(hot_rows), SEED), list(ordered.items()), ())
+            hot = hot_keys(matched, KEYS, "ts", hot_rows, sample)
         cold = matched
         if hot is not None:
             cold, warm = split_hot(matched, KEYS, hot)
-            warm = warm.dropDuplicates([*KEYS, *ORDER]) if dedup else warm
-            hot_fires = _hot(warm, stateful, hot, hot_rows, chunk_rows)
+            hot_fires = _hot(_once(warm) if dedup else warm, ordered, hot, hot_rows or HOT_ROWS, chunk_rows)
             fired.append(hot_fires.drop("ts", "steps"))
-        fired.append(_ordinary(cold, stateful, dedup).drop("ts", "steps", "rn"))
+        fired.append(_ordinary(cold, ordered, dedup).drop("ts", "steps", "rn"))
     if not fired:
         fired.append(match(df, [(0, NO_RULE)], carried).drop("ts", "steps"))
     results = reduce(DataFrame.unionByName, fired)

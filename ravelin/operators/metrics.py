@@ -51,8 +51,10 @@ def bucketize(
 ) -> DataFrame:
     """Cumulative histogram ``(keys, le, count)`` with an infinite last bucket.
 
-    Each value goes to its own bucket first, so the shuffle carries one row per key and bucket.
+    Each value goes to its own bucket first, so the shuffle carries one row per key and bucket. Null values
+    are no observations.
     """
+    observations = observations.filter(F.col(column).isNotNull())
     limits = [*bounds, INFINITE]
     own = F.lit(INFINITE)
     for bound in reversed(bounds):
@@ -71,25 +73,40 @@ def bucketize(
 def histogram_quantile(buckets: DataFrame, keys: Sequence[str], q: float, le: str = "le", count: str = "count") -> DataFrame:
     """Linear interpolation inside the bucket that holds rank ``q``; one row per key set.
 
-    A rank in the infinite bucket gives the highest finite bound; an empty histogram gives null.
+    A rank in the infinite bucket gives the highest finite bound; an empty histogram gives null; rank zero
+    in an empty first bucket gives that bucket's lower end.
     """
     ladder = F.array_sort(F.collect_list(F.struct(F.col(le).alias("le"), F.col(count).cast("double").alias("n"))))
     rows = buckets.groupBy(*keys).agg(ladder.alias("ladder"))
+    return rows.select(*keys, _ladder_value(F.lit(q)).alias("quantile"))
+
+
+def _ladder_value(q: Column) -> Column:
+    """The quantile of the cumulative buckets in ``ladder``."""
     total = F.element_at("ladder", -1)["n"]
-    rank = F.lit(q) * total
+    rank = q * total
     place = F.array_position(F.transform("ladder", lambda b: b["n"] >= rank), F.lit(True)).cast("int")
     here = F.element_at("ladder", place)
     prior = F.try_element_at("ladder", F.when(place > 1, place - 1))
     low = F.when(place == 1, 0.0).otherwise(prior["le"])
     under = F.when(place == 1, 0.0).otherwise(prior["n"])
-    inside = low + (here["le"] - low) * ((rank - under) / (here["n"] - under))
+    inside = low + (here["le"] - low) * F.coalesce(F.try_divide(rank - under, here["n"] - under), F.lit(0.0))
     value = (
         F.when(here["le"] == INFINITE, low)
         .when((place == 1) & (here["le"] <= 0), here["le"])
         .otherwise(inside)
     )
-    prior_safe = F.when((total > 0) & (place > 0), value)
-    return rows.select(*keys, prior_safe.alias("quantile"))
+    return F.when((total > 0) & (place > 0), value)
+
+
+def quantile_of_rate(samples: DataFrame, keys: Sequence[str], q: Sequence[float], ts: str = "ts_us", le: str = "le", value: str = "value", window: str = "300s") -> DataFrame:
+    """Quantiles of what came in during the window before each sample: bucket counters ``(keys, le, ts, value)``
+    to rates, and the rates of one time to ``q`` and ``quantile``. One rate and one ladder serve all ``q``; buckets
+    are sampled at the same times. Rates are increases over the window, not drawn out to its edges."""
+    rated = counter_rate(samples, [*keys, le], ts, value, window)
+    ladder = F.array_sort(F.collect_list(F.struct(F.col(le).alias("le"), F.col("rate").alias("n"))))
+    rows = rated.groupBy(*keys, ts).agg(ladder.alias("ladder")).withColumn("q", F.explode(F.array(*[F.lit(float(x)) for x in q])))
+    return rows.select(*keys, ts, "q", _ladder_value(F.col("q")).alias("quantile"))
 
 
 def latest(samples: DataFrame, keys: Sequence[str], ts: str = "ts_us", value: str = "value") -> DataFrame:

@@ -14,7 +14,8 @@ skip all rows it covers, take the next, and so on. Two ways answer it:
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from functools import reduce
+
+import math
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -29,6 +30,7 @@ FAN = 16
 SAMPLED_ROWS = 20_000
 SEED = 7
 FAR = 2**62
+AT = "ordered_at"
 START, REACH = ("start_a", "start_b"), ("reach_a", "reach_b")
 
 
@@ -98,7 +100,7 @@ def sample_fraction(hot_rows: int) -> float:
 def hot_keys(
     df: DataFrame, keys: Sequence[str], ts: str, hot_rows: int | None, sample: DataFrame | None = None
 ) -> DataFrame | None:
-    """Keys with more than ``hot_rows`` rows, with their count and time span, or ``None``.
+    """Keys with more than ``hot_rows`` rows, with their count, or ``None``.
 
     Candidates come from a sample (``sample`` when the caller can take it earlier), so keys that are nearly
     unique cause no second full shuffle; only candidates are counted in full. The answer decides how a key
@@ -117,7 +119,7 @@ def hot_keys(
     hot = (
         df.join(F.broadcast(candidates), list(keys), "left_semi")
         .groupBy(*keys)
-        .agg(counted, F.min(ts).alias("hot_lo"), F.max(ts).alias("hot_hi"))
+        .agg(counted)
         .filter(F.col("hot_n") > hot_rows)
     )
     hot = materialise(hot)
@@ -141,18 +143,16 @@ def rank_hot(
 ) -> DataFrame:
     """``rn``, the row number inside each hot key, and a running count of each boolean in ``counted``.
 
-    The key's time span is cut into slabs of about ``hot_rows`` rows; rows are numbered inside a slab and
-    shifted by the sizes of the slabs before it. The offsets have at most one row per slab.
+    Rows are cut into slabs by ranges of their content, ``(key, ts, tie)`` and a hash, so a burst is split like an
+    even spread: a slab holds about half of ``hot_rows``. Rows are numbered inside a slab and shifted by the sizes
+    of the key's slabs before it. The offsets have at most one row per key and slab. The slabs are checkpointed, as
+    ranges are sampled and must not change. ``ts`` must not be null.
     """
     keys = list(keys)
-    width = F.greatest(
-        F.lit(1).cast("bigint"),
-        F.ceil((F.col("hot_hi") - F.col("hot_lo") + 1) * (F.lit(float(hot_rows)) / F.col("hot_n"))).cast("bigint"),
-    )
-    slabbed = df.join(F.broadcast(hot), keys).withColumn(
-        "slab", F.floor((F.col(ts) - F.col("hot_lo")) / width).cast("bigint")
-    )
-    slabbed = materialise(slabbed.drop("hot_n", "hot_lo", "hot_hi"))
+    parts = max(1, math.ceil(2 * hot.agg(F.sum("hot_n")).first()[0] / hot_rows))
+    plain = [c for c in df.columns if not isinstance(df.schema[c].dataType, T.MapType)]
+    spread = df.withColumn("spread", F.xxhash64(*plain)).repartitionByRange(parts, *keys, ts, *tie, "spread")
+    slabbed = materialise(spread.withColumn("slab", F.spark_partition_id().cast("bigint")))
     sizes = slabbed.groupBy(*keys, "slab").agg(
         F.count(F.lit(1)).alias("size_rn"),
         *[F.sum(F.col(c).cast("bigint")).alias(f"size_{c}") for c in counted],
@@ -162,7 +162,7 @@ def rank_hot(
     offsets = sizes.select(
         *keys, "slab", *[F.coalesce(F.sum(f"size_{m}").over(before), F.lit(0)).alias(f"offset_{m}") for m in measures]
     )
-    inside = Window.partitionBy(*keys, "slab").orderBy(ts, *tie)
+    inside = Window.partitionBy(*keys, "slab").orderBy(ts, *tie, "spread")
     running = inside.rowsBetween(Window.unboundedPreceding, 0)
     local = slabbed.withColumn("rn", F.row_number().over(inside).cast("bigint"))
     for name in counted:
@@ -170,11 +170,7 @@ def rank_hot(
     placed = local.join(F.broadcast(offsets), [*keys, "slab"]).withColumn("rn", F.col("rn") + F.col("offset_rn"))
     for name in counted:
         placed = placed.withColumn(f"n_{name}", F.col(f"n_{name}") + F.col(f"offset_{name}"))
-    return materialise(placed.drop("slab", *[f"offset_{m}" for m in measures]))
-
-
-def _after(left: Sequence[str], right: Sequence[str]) -> Column:
-    return F.struct(*[F.col(c) for c in left]) > F.struct(*[F.col(c) for c in right])
+    return materialise(placed.drop("slab", "spread", *[f"offset_{m}" for m in measures]))
 
 
 def _contract(nodes: DataFrame, keys: Sequence[str], chunk: str) -> DataFrame:
@@ -229,23 +225,45 @@ def _contract(nodes: DataFrame, keys: Sequence[str], chunk: str) -> DataFrame:
     return in_order(nodes.select(*group, *START, *REACH), group, START).mapInArrow(run, schema)
 
 
+def _following(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """For each interval the start of the first one beyond its reach, as ``next_a, next_b``; without one no row.
+
+    Starts and reaches are laid on one line that is cut by ranges; what lies beyond a range is carried over as
+    one row per key and range.
+    """
+    keys = list(keys)
+    own = F.struct(*[F.col(c) for c in START])
+    starts = nodes.select(*keys, F.col("start_a").alias("a"), F.col("start_b").alias("b"), F.lit(0).alias("side"), own.alias("own"))
+    reaches = nodes.select(*keys, F.col("reach_a").alias("a"), F.col("reach_b").alias("b"), F.lit(1).alias("side"), own.alias("own"))
+    line = starts.unionByName(reaches).repartitionByRange(*keys, "a", "b", "side")
+    line = materialise(line.withColumn("slab", F.spark_partition_id()).withColumn("start", F.when(F.col("side") == 0, F.col("own"))))
+    back = Window.partitionBy(*keys).orderBy(F.desc("slab")).rowsBetween(Window.unboundedPreceding, -1)
+    beyond = line.groupBy(*keys, "slab").agg(F.min("start").alias("first"))
+    beyond = beyond.select(*keys, "slab", F.last("first", ignorenulls=True).over(back).alias("beyond"))
+    inside = Window.partitionBy(*keys, "slab").orderBy(F.desc("a"), F.desc("b"), F.desc("side"))
+    seen = line.withColumn("near", F.last("start", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1)))
+    found = seen.filter("side = 1").join(beyond, [*keys, "slab"]).withColumn("to", F.coalesce("near", "beyond"))
+    found = found.filter("to IS NOT NULL")
+    return found.select(*keys, *[F.col(f"own.{c}") for c in START], F.col("to.start_a").alias("next_a"), F.col("to.start_b").alias("next_b"))
+
+
 def _jump(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One taken interval per key and round: the first that starts after the reach so far.
+    """The taken intervals by pointer doubling, for windows that cover so many rows that chunks do not contract.
 
-    Used where one window covers so many rows that chunks do not contract; then few intervals are taken.
-    Each round is a minimum that combines before its shuffle.
+    Every interval points to the next that would be taken after it. Each round follows the pointers of all taken
+    intervals and then doubles the pointers, so the rounds grow with the logarithm of the taken intervals.
     """
     keys = list(keys)
-    columns = [c for c in nodes.columns if c not in keys]
-    first = F.min(F.struct(*[F.col(c) for c in (*START, *REACH)], *[c for c in columns if c not in (*START, *REACH)]))
-    taken = materialise(nodes.groupBy(*keys).agg(first.alias("hit")).select(*keys, "hit.*"))
-    rounds = []
-    while not taken.isEmpty():
-        rounds.append(taken)
-        frontier = taken.select(*keys, F.col("reach_a").alias("at_a"), F.col("reach_b").alias("at_b"))
-        ahead = nodes.join(F.broadcast(frontier), keys).filter(_after(START, ("at_a", "at_b")))
-        taken = materialise(ahead.groupBy(*keys).agg(first.alias("hit")).select(*keys, "hit.*"))
-    return reduce(DataFrame.unionByName, rounds)
+    pointers = materialise(_following(nodes, keys))
+    first = F.min(F.struct(*[F.col(c) for c in START]))
+    taken = nodes.groupBy(*keys).agg(first.alias("at")).select(*keys, "at.*")
+    while True:
+        reached = materialise(taken.join(pointers, [*keys, *START]).select(*keys, *[F.col(f"next_{c[-1]}").alias(c) for c in START]))
+        if reached.isEmpty():
+            return nodes.join(taken, [*keys, *START], "left_semi")
+        taken = materialise(taken.unionByName(reached))
+        ahead = pointers.select(*keys, F.col("start_a").alias("next_a"), F.col("start_b").alias("next_b"), F.col("next_a").alias("far_a"), F.col("next_b").alias("far_b"))
+        pointers = materialise(pointers.join(ahead, [*keys, "next_a", "next_b"]).select(*keys, *START, F.col("far_a").alias("next_a"), F.col("far_b").alias("next_b")))
 
 
 def _with_entries(nodes: DataFrame, taken: DataFrame, keys: Sequence[str], chunk: str, keep_all: bool) -> DataFrame:
@@ -305,7 +323,7 @@ def first_per_window(
     """Mark the first row per key, and each next one once the window after the last marked row is over.
 
     ``ts`` is a bigint of microseconds. ``inclusive`` windows still cover a row exactly ``window`` later.
-    A covered row does not renew the window.
+    A covered row does not renew the window. A row without time counts as at time zero, on every path.
     """
     keys = list(keys)
     span = window_micros if inclusive else window_micros - 1
@@ -322,18 +340,32 @@ def first_per_window(
 
         return decide
 
-    hot = hot_keys(df, keys, ts, hot_rows)
+    columns = df.columns
+    df = df.withColumn(AT, F.coalesce(F.col(ts), F.lit(0)))
+    hot = hot_keys(df, keys, AT, hot_rows)
     if hot is None:
-        return pick_in_order(df, keys, [ts, *tie], [ts], picker, flag)
+        return _first_ordinary(df, keys, tie, span, picker, flag).select(*columns, flag)
     cold, warm = split_hot(df, keys, hot)
-    ranked = rank_hot(warm, keys, ts, tie, hot, hot_rows)
+    ranked = rank_hot(warm, keys, AT, tie, hot, hot_rows)
     nodes = ranked.select(
-        *df.columns,
+        *columns,
         "rn",
-        F.col(ts).alias("start_a"),
+        F.col(AT).alias("start_a"),
         F.col("rn").alias("start_b"),
-        (F.col(ts) + span).alias("reach_a"),
+        (F.col(AT) + span).alias("reach_a"),
         F.lit(FAR).alias("reach_b"),
     )
-    marked = pick_hot(nodes, keys, "rn", flag, hot_rows, chunk_rows).select(*df.columns, flag)
-    return pick_in_order(cold, keys, [ts, *tie], [ts], picker, flag).unionByName(marked)
+    marked = pick_hot(nodes, keys, "rn", flag, hot_rows, chunk_rows).select(*columns, flag)
+    return _first_ordinary(cold, keys, tie, span, picker, flag).select(*columns, flag).unionByName(marked)
+
+
+def _first_ordinary(df: DataFrame, keys: list[str], tie: Sequence[str], span: int, picker, flag: str) -> DataFrame:
+    """A row with no other within the window on either side is first by a lag and a lead alone; only the others
+    take the ordered pass. Both read one exchange."""
+    along = Window.partitionBy(*keys).orderBy(AT, *tie)
+    before, after = F.lag(AT).over(along), F.lead(AT).over(along)
+    apart = F.coalesce(F.col(AT) - before > span, F.lit(True)) & F.coalesce(after - F.col(AT) > span, F.lit(True))
+    seen = df.withColumn("alone", apart)
+    alone = seen.filter("alone").drop("alone").withColumn(flag, F.lit(True))
+    crowded = seen.filter("NOT alone").drop("alone")
+    return alone.unionByName(pick_in_order(crowded, keys, [AT, *tie], [AT], picker, flag))

@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from ravelin.functions.times import instant
 
@@ -31,9 +32,11 @@ def event_rows(df: DataFrame, raw: str | None = None) -> DataFrame:
 
 
 def first_by(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row per key. The minimum combines before the shuffle, so many copies of one key are cheap."""
+    """The first row per key; ties go by a hash of the row. The minimum combines before the shuffle, so many copies
+    of one key are cheap."""
     rest = [c for c in df.columns if c != key]
-    return df.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(order)).alias("row")).select(key, "row.*").select(*df.columns)
+    plain = [c for c in rest if not isinstance(df.schema[c].dataType, MapType)]
+    return df.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(order, F.xxhash64(*plain))).alias("row")).select(key, "row.*").select(*df.columns)
 
 
 def absent_rows(incoming: DataFrame, stored: DataFrame, key: str = "event_id", order: str = "timestamp") -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ravelin.schema import ALERT_SCHEMA, EVENT_SCHEMA, EVENT_TYPES, SEVERITIES
+from ravelin.schema import ALERT_SCHEMA, EVENT_SCHEMA, EVENT_TYPES, SEVERITIES, normalise_events
 
 # Field numbers of the encoded messages.
 EVENT_NUMBERS = {
@@ -51,6 +51,7 @@ ALERT_NUMBERS = {
 MESSAGES = {"SecurityEvent": (EVENT_SCHEMA, EVENT_NUMBERS), "Alert": (ALERT_SCHEMA, ALERT_NUMBERS)}
 ENUMS = {"type": ("EventType", EVENT_TYPES), "severity": ("Severity", SEVERITIES)}
 PACKAGE = "ravelin"
+CORRUPT = "_corrupt"
 JSON_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
 
@@ -163,11 +164,15 @@ def has_protobuf_package(df: DataFrame) -> bool:
 
 
 def decode(df: DataFrame, payload: str = "value", message: str = "SecurityEvent", encoding: str = "json") -> Decoded:
-    """Decoded rows next to the malformed ones. Other columns of ``df`` go along."""
+    """Decoded rows next to the malformed ones. Other columns of ``df`` go along. Events come out in canonical form,
+    so one that leaves out its id has an empty one and is ingest's to reject."""
     schema = MESSAGES[message][0]
     if encoding == "json":
-        parsed = F.from_json(F.col(payload).cast("string"), schema, {"mode": "PERMISSIVE", **JSON_TIMES})
-        rows = df.withColumn("decoded", F.get(F.filter(F.array(parsed), lambda d: d[schema.names[0]].isNotNull()), 0))
+        wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+        options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, **JSON_TIMES}
+        parsed = F.from_json(F.col(payload).cast("string"), wide, options)
+        sound = F.filter(F.array(parsed), lambda d: d[schema.names[0]].isNotNull() | (d.isNotNull() & d[CORRUPT].isNull()))
+        rows = df.withColumn("decoded", F.get(F.transform(sound, lambda d: d.dropFields(CORRUPT)), 0))
     elif has_protobuf_package(df):
         from pyspark.sql.protobuf.functions import from_protobuf
 
@@ -185,6 +190,8 @@ def decode(df: DataFrame, payload: str = "value", message: str = "SecurityEvent"
     others = [c for c in df.columns if c != payload]
     # The generator keeps the optimizer from decoding once per column.
     good = rows.select(*others, F.inline(F.filter(F.array("decoded"), lambda d: d.isNotNull())))
+    if message == "SecurityEvent":
+        good = normalise_events(good)
     return Decoded(good, rows.filter("decoded IS NULL").select(*others, payload))
 
 
@@ -193,21 +200,25 @@ def encode_json(df: DataFrame, schema: T.StructType = EVENT_SCHEMA, name: str =
 
 
 def encode_protobuf(df: DataFrame, message: str = "SecurityEvent", name: str = "value") -> DataFrame:
-    """Adds the encoded message as a binary column."""
+    """Adds the encoded message as a binary column. An enum text outside the list may be its number; other text has
+    no encoding, and its row gets a null."""
     schema, descriptors, enums = MESSAGES[message][0], descriptor_set(), ENUMS
     shape = T.StructType([*df.schema.fields, T.StructField(name, T.BinaryType())])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         make = message_class(descriptors, message)
 
-        def one(row) -> bytes:
+        def one(row) -> bytes | None:
             out = make()
             for column in schema:
                 value = row[column.name]
                 if value is None or value is pd.NaT:
                     continue
                 if column.name in enums:
-                    setattr(out, column.name, enums[column.name][1].index(value))
+                    names = enums[column.name][1]
+                    if value not in names and not str(value).lstrip("-").isdigit():
+                        return None  # split off when it is read
+                    setattr(out, column.name, names.index(value) if value in names else int(value))
                 elif isinstance(column.dataType, T.TimestampType):
                     getattr(out, column.name).FromNanoseconds(pd.Timestamp(value).value)
                 elif isinstance(column.dataType, T.MapType):
