@@ -20,6 +20,8 @@ WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 MAX_RATE = 0.5
+BROADCAST_HOSTS = 100_000  # rejected hosts are broadcast up to this number
+SALTS = 64  # beyond it, a host's documents are dealt into so many parts
 MIN_STRENGTH, MAX_STRENGTH = 1.0, 1e6  # bounds of the prior's weight in documents
 
 _OUT = "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
@@ -78,11 +80,18 @@ def host_verdicts(rules: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
     return hosts.withColumn("rate", shrunk).withColumn("host_failed", F.col("rate") > max_rate)
 
 
-def quality_rules(docs: DataFrame, host: str = "source", max_rate: float = MAX_RATE) -> DataFrame:
-    """Measures, base verdict, host verdict and ``kept`` per row. Only rejected hosts are joined back, so the busy
-    host of a sound corpus is never shuffled to one task; a document without a host has no host verdict. The
-    measures are checkpointed: texts are read and measured once for both uses."""
+def quality_rules(docs: DataFrame, host: str = "source", max_rate: float = MAX_RATE, broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
+    """Measures, base verdict, host verdict and ``kept`` per row. Only rejected hosts are joined back: broadcast while
+    their counted number allows, else with salted hosts, so that a busy host never goes to one task. A document
+    without a host has no host verdict. The measures are checkpointed: texts are read and measured once."""
     rules = materialise(document_rules(docs, host))
-    bad = host_verdicts(rules, max_rate).filter("host_failed").select(F.col("host").alias("bad_host"))
-    judged = rules.join(bad, F.col("host") == F.col("bad_host"), "left").withColumn("host_failed", F.col("bad_host").isNotNull())
+    bad = materialise(host_verdicts(rules, max_rate).filter("host_failed").select(F.col("host").alias("bad_host")))
+    if bad.count() <= broadcast_hosts:
+        judged = rules.join(F.broadcast(bad), F.col("host") == F.col("bad_host"), "left")
+    else:
+        salted = bad.withColumn("bad_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salt = F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)).cast("int")
+        rows = rules.withColumn("salt", salt)
+        judged = rows.join(salted, (F.col("host") == F.col("bad_host")) & (F.col("salt") == F.col("bad_salt")), "left").drop("salt", "bad_salt")
+    judged = judged.withColumn("host_failed", F.col("bad_host").isNotNull())
     return judged.withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed")).drop("bad_host")
