@@ -15,6 +15,7 @@ from ravelin.operators.alerts import notification_payload, suppression_key, to_a
 from ravelin.operators.delivery import Channel, deliver, delivery_tasks
 from ravelin.operators.evaluate import CARRIED, KEYS, NO_RULE, constants, match
 from ravelin.operators.persist import event_rows, insert_if_absent
+from ravelin.sources.decode import encode_json
 from ravelin.streaming.processors import Fold, OrderedProcessor, sequence_fold, threshold_fold, window_fold
 
 JSON_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
@@ -47,13 +48,13 @@ def _ordered(
 def stream_first_per_window(
     df: DataFrame, keys: Sequence[Column], ts: str, tie: str, window: str, inclusive: bool, delay: str, flag: str = "kept"
 ) -> DataFrame:
-    """All rows with ``flag``, emitted when the watermark passes them. ``ts`` is a timestamp column."""
+    """All rows with ``flag``, emitted when the watermark passes them; a late row, or one without time, is judged
+    when it comes. ``ts`` is a timestamp column."""
     fold = window_fold(duration_micros(window), inclusive)
     schema = df.schema
     rows = df.withWatermark(ts, delay).select(
         F.concat_ws("\u0001", *keys).alias("key"),
-        F.col(ts),
-        micros(F.col(ts)).alias("ts"),
+        F.coalesce(micros(F.col(ts)), F.lit(0)).alias("ts"),
         F.col(tie).cast("string").alias("id"),
         F.lit(0).cast("bigint").alias("steps"),
         F.to_json(F.struct(*df.columns), JSON_TIMES).alias("payload"),
@@ -98,7 +99,7 @@ def stream_evaluate(df: DataFrame, rules: Sequence[R.Rule], delay: str = "10 min
     if stateful:
         marked = df.withWatermark("timestamp", delay)
         rows = match(marked, list(stateful.items()), CARRIED).select(
-            *KEYS, "timestamp", "ts", F.col("event_id").alias("id"), "steps", F.to_json(F.struct(*CARRIED), JSON_TIMES).alias("payload")
+            *KEYS, "ts", F.col("event_id").alias("id"), "steps", F.to_json(F.struct(*CARRIED), JSON_TIMES).alias("payload")
         )
         folds = {i: _rule_fold(r) for i, r in stateful.items()}
         fields = {}
@@ -144,19 +145,21 @@ def stream_alerts(df: DataFrame, rules: Sequence[R.Rule], delay: str = "10 minut
 
 
 def persist_batches(path: str) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: insert-if-absent, so a repeated batch adds nothing."""
-    return lambda batch, _: insert_if_absent(event_rows(batch), path)
+    """For ``foreachBatch``: insert-if-absent with the encoded event, so a repeated batch adds nothing and the stored
+    table can be replayed."""
+    return lambda batch, _: insert_if_absent(event_rows(encode_json(batch, name="encoded"), "encoded"), path)
 
 
 def deliver_batches(
     channels: Sequence[Channel], send: Callable[[str, str, dict, str], int], receipts_path: str, letters_path: str
 ) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: send the alerts of a micro-batch, append receipts and dead letters."""
+    """For ``foreachBatch``: send the alerts of a micro-batch; its receipts and dead letters are a folder each, which
+    a repeated batch writes anew."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         done, letters = deliver(delivery_tasks(notification_payload(batch), channels), send)
         for frame, path in ((done, receipts_path), (letters, letters_path)):
-            frame.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(path)
+            frame.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
 
     return run
 

@@ -1,8 +1,8 @@
 """Stateful streaming forms of the ordered operators.
 
 Rows wait in list state until the watermark passes them, then they are folded in ``(ts, id)`` order, so a
-stream gives the rows a batch gives for everything that was not late. Late rows are dropped by the engine
-and counted in the query's progress (``numRowsDroppedByWatermark``).
+stream gives the rows a batch gives for everything that was not late. The rows do not carry the watermark
+column, so the engine drops none: a late row is folded when it comes, after what was folded before it.
 
 State is split by the grouping key. One micro-batch hands a key at most what the source's trigger limits
 let in, and rows stream through in Arrow batches.
