@@ -560,7 +560,7 @@ def bursty_group_rules(spark, sf_dir):
     with_events(
         f"""SELECT key, id AS event_id, ts AS ts_us, CASE WHEN id = '' THEN count(*) ELSE 1 END AS fires FROM (
  SELECT source_ip AS key, CASE WHEN k % 4 = 0 THEN '' ELSE event_id END AS id, ts_us + c.n * CASE WHEN k % 5 = 0 THEN 1000000 ELSE 0 END AS ts
- FROM ev CROSS JOIN (VALUES (0), (1)) c(n) WHERE type = '{FAILURE}') GROUP BY ALL"""
+ FROM ev CROSS JOIN (VALUES (0), (1)) c(n) WHERE type = '{FAILURE}') GROUP BY key, id, ts"""
     ),
 )
 def rules_over_copies(spark, sf_dir):

@@ -104,7 +104,8 @@ def token_bucket(
     ticked = keyed.join(F.broadcast(origins) if one else origins, keys)
     ticked = ticked.withColumn(
         "tick", F.floor((F.col(ts) - F.col("origin")) / F.lit(interval_micros)).cast("bigint")
-    ).drop("origin")
+    )
+    ticked = materialise(ticked.drop("origin"))  # read three times below, without what stands above it
     chunked = (
         ticked.groupBy(*keys, "tick")
         .agg(F.count(F.lit(1)).alias("arrivals"))
@@ -202,6 +203,7 @@ def decide(
     marked = suppress(alerts, window, "kept", hot_rows).withColumn(
         "created_us", F.coalesce(micros(F.col("created_at")), F.lit(0))
     )
+    marked = materialise(marked)  # one suppression pass for both kinds of rows
     survivors = marked.filter("kept").drop("kept")
     limited = token_bucket(
         survivors,
