@@ -13,8 +13,10 @@ from ravelin.functions.times import micros
 from ravelin.operators import rules as R
 from ravelin.operators.alerts import notification_payload, suppression_key, to_alerts
 from ravelin.operators.delivery import Channel, deliver, delivery_tasks
+from ravelin.operators.enrich import Enricher
 from ravelin.operators.evaluate import CARRIED, KEYS, NO_RULE, constants, match
 from ravelin.operators.persist import event_rows, insert_if_absent
+from ravelin.plans.pipeline import Outcome, enriched_events, standard_enrichers
 from ravelin.sources.decode import encode_json
 from ravelin.streaming.processors import Fold, OrderedProcessor, sequence_fold, threshold_fold, window_fold
 
@@ -144,6 +146,16 @@ def stream_alerts(df: DataFrame, rules: Sequence[R.Rule], delay: str = "10 minut
     return to_alerts(stream_evaluate(df, rules, delay))
 
 
+def stream_pipeline(
+    events: DataFrame, rules: Sequence[R.Rule], threats: DataFrame, enrichers: Sequence[Enricher] | None = None, delay: str = "10 minutes"
+) -> Outcome:
+    """The event path of the batch pipeline over a stream: enriched, classified events and the alerts they raise.
+    ``threats`` is a static table; start one query for each of the two results."""
+    steps = standard_enrichers(threats) if enrichers is None else list(enrichers)
+    ready = enriched_events(events, steps)
+    return Outcome(ready, stream_alerts(ready, rules, delay))
+
+
 def persist_batches(path: str) -> Callable[[DataFrame, int], None]:
     """For ``foreachBatch``: insert-if-absent with the encoded event, so a repeated batch adds nothing and the stored
     table can be replayed."""

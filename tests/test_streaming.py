@@ -9,7 +9,7 @@ from ravelin.operators.alerts import suppress
 from ravelin.operators.evaluate import evaluate
 from ravelin.operators.ingest import reject_reason
 from ravelin.operators.rules import load_rules
-from ravelin.plans.pipeline import enriched_events, standard_enrichers
+from ravelin.plans.pipeline import enriched_events, run_pipeline, standard_enrichers
 from ravelin.sources.decode import decode
 from ravelin.sources.files import stream_parquet
 from ravelin.streaming import jobs
@@ -120,3 +120,17 @@ def test_late_rows_and_rows_without_time_are_judged(spark, tmp_path):
     marked = jobs.stream_first_per_window(stream, [F.col("k")], "at", "id", "1m", True, "1 minute")
     got = [r["id"] for r in run_to_end(marked, tmp_path, "late_out").collect()]
     assert len(got) == len(set(got)) and {*(r[0] for r in days), *(r[0] for r in late)} <= set(got)
+
+
+def test_pipeline_stream_equals_batch(spark, sf_dir, tmp_path):
+    events, listed, rules = security_events(spark, sf_dir), threats(spark, sf_dir), load_rules(RULES_DIR)
+    stored = spark.read.parquet(as_files(events, tmp_path, "timestamp"))
+    stream = stream_parquet(spark, str(tmp_path / "in"), stored.schema, 1)
+    out = jobs.stream_pipeline(stream, rules, listed, delay="1 hour")
+    got = run_to_end(out.alerts, tmp_path, "pipeline_out")
+    mark = newest_passed(stored, "timestamp", 3_600_000_000) // 1000 * 1000
+    want = run_pipeline(stored, rules, listed).alerts.filter((F.unix_micros("created_at") <= mark) | F.col("rule_id").isin("listed-login", "root-shell"))
+    columns = ["alert_id", "rule_id", "severity", "description"]
+    assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
+    severities = run_to_end(out.events.select("event_id", "severity"), tmp_path, "events_out")
+    assert severities.count() == events.count()
