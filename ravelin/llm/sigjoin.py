@@ -5,7 +5,7 @@ that collide in ``MATCHES`` of ``COORDINATES`` places become candidates. Values
 others, ordered from rare to common, a class that shares m needs postings only under its first m - MATCHES + 1, as two
 classes with enough collisions share one of these (prefix filter). Each posting list is first joined with its most
 central class alone and the confirmed links are contracted; lists then inside one component are skipped, and in the
-rest only pairs across components are counted, in pieces. Every link is confirmed on the full shingle sets.
+rest only pairs across components are counted, in pieces, and compared by their lowest hashes. Every link is confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ SHINGLE = 5
 PERCENT = 85  # links have 100 * intersection >= PERCENT * union
 COORDINATES = 64
 MATCHES = 36  # a pair at the threshold collides in 54 places on average and in less than 36 about once in 10^8
+LOWEST = 192  # smallest hashes of a set that go along for a first comparison; all of a smaller set
+SLACK = 6.5  # standard deviations below the threshold at which a comparison of lowest hashes gives up
 PIECE = 1_000  # classes of one list that are compared at once
 SPOKES = 500  # texts checked against one copy of a hub's text
 
@@ -71,11 +73,12 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype(np.uint32)
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("signature", pa.list_(pa.int32()))])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("signature", pa.list_(pa.int32())), ("lowest", pa.list_(pa.int32()))])
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``set_key`` (a digest of the set) and ``signature``; null for an empty set."""
+    """``doc_id``, ``n_shingles``, ``set_key`` (a digest of the set), ``signature`` and ``lowest`` (the smallest hashes,
+    shortened); null for an empty set."""
 
     def run(parts):
         shingles = Shingles()
@@ -83,24 +86,25 @@ def signatures(docs: DataFrame) -> DataFrame:
         def each(row):
             found = shingles(row[1])
             if not len(found):
-                return [(row[0], 0, None, None)]
-            return [(row[0], len(found), hashlib.blake2b(found.tobytes(), digest_size=16).digest(), signature(found).view(np.int32))]
+                return [(row[0], 0, None, None, None)]
+            return [(row[0], len(found), hashlib.blake2b(found.tobytes(), digest_size=16).digest(), signature(found).view(np.int32), (found[:LOWEST] >> np.uint64(32)).astype(np.uint32).view(np.int32))]
 
         yield from batches(each, _SIGNED, "doc_id", "text")(parts)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, signature array<int>")
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, signature array<int>, lowest array<int>")
 
 
 def postings(classes: DataFrame) -> DataFrame:
-    """``token``, ``rep`` and ``centrality`` for the prefix of every class that shares at least MATCHES values.
+    """``token``, ``rep``, ``centrality`` and ``mask``, the coordinates of the prefix as bits, for the prefix of every class that shares at least MATCHES values.
     Arrays here have at most COORDINATES entries."""
     tokens = classes.select("rep", F.posexplode("signature").alias("place", "value"))
-    tokens = tokens.select("rep", (F.col("place").cast("long") * (1 << 32) + F.col("value")).alias("token"))
+    tokens = tokens.select("rep", (F.col("place").cast("long") * (1 << 32) + F.col("value").cast("long").bitwiseAND(0xFFFFFFFF)).alias("token"))
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumnRenamed("token", "shared")
     held = tokens.join(shared, F.col("token") == F.col("shared")).groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("held"), F.sum("n").alias("centrality"))
-    prefix = F.slice("held", 1, F.size("held") - MATCHES + 1)
-    return held.filter(F.size("held") >= MATCHES).select("rep", "centrality", F.explode(prefix).alias("post")).select(F.col("post.token").alias("token"), "rep", "centrality")
+    held = held.filter(F.size("held") >= MATCHES).withColumn("prefix", F.slice("held", 1, F.size("held") - MATCHES + 1))
+    mask = F.expr("aggregate(prefix, 0L, (m, p) -> m | shiftleft(1L, cast(shiftright(p.token, 32) AS int)))")
+    return held.select("rep", "centrality", mask.alias("mask"), F.explode("prefix").alias("post")).select(F.col("post.token").alias("token"), "rep", "centrality", "mask")
 
 
 def star_pairs(posted: DataFrame) -> DataFrame:
@@ -134,32 +138,59 @@ def runs(parts: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tup
         yield last, pa.Table.from_batches(held)
 
 
-def crossing_pairs(posted: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, hub): pairs of one list in different components that collide in MATCHES places, counted on one byte per
-    place (which may count more, never less). A list is cut into pieces; each pair of pieces is one small task."""
-    placed = posted.join(roots, F.col("rep") == F.col("vertex"), "left").select("token", "rep", F.coalesce("root", "rep").alias("root"))
+def may_link(a: frozenset, b: frozenset, percent: int) -> bool:
+    """False only if the sets of these lowest hashes cannot be linked, for whole sets up to a hash or two that were
+    shortened alike, else by SLACK standard deviations of the sample below the smaller of the two largest hashes."""
+    joint = a & b
+    partial = [max(x) for x in (a, b) if len(x) >= LOWEST]
+    if not partial:
+        return 100 * (len(joint) + 2) >= percent * (len(a) + len(b) - len(joint) - 2)
+    border, share = min(partial), percent / 100
+    n_joint = sum(x <= border for x in joint)
+    n_union = sum(x <= border for x in a) + sum(x <= border for x in b) - n_joint
+    return n_joint + 2 >= share * n_union - SLACK * (share * (1 - share) * n_union) ** 0.5
+
+
+def crossing_pairs(posted: DataFrame, classes: DataFrame, roots: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, hub): pairs of one list in different components that collide in MATCHES places and whose lowest hashes
+    allow a link. A list is cut into pieces; each pair of pieces is one small task. A pair is looked at once, in the
+    list of the first coordinate that both have in their prefix with the same value."""
+    placed = posted.join(roots, F.col("rep") == F.col("vertex"), "left").select("token", "rep", "mask", F.coalesce("root", "rep").alias("root"))
     mixed = placed.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
     mixed = mixed.select(F.col("token").alias("list"), F.ceil(F.col("size") / PIECE).cast("int").alias("pieces"))
-    bytes_of = classes.select(F.col("rep").alias("owner"), F.transform("signature", lambda v: v.bitwiseAND(255).cast("short")).alias("bytes"))
+    sketches = classes.select(F.col("rep").alias("owner"), "signature", "lowest")
     rows = placed.join(mixed, F.col("token") == F.col("list")).withColumn("piece", F.pmod(F.xxhash64("rep"), F.col("pieces")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
-    rows = rows.select("token", "rep", "root", "piece", other.alias("other")).join(bytes_of, F.col("rep") == F.col("owner"))
-    rows = rows.select("token", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"), "piece", "rep", "root", "bytes")
+    rows = rows.select("token", "rep", "mask", "root", "piece", other.alias("other")).join(sketches, F.col("rep") == F.col("owner"))
+    rows = rows.select("token", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"), "piece", "rep", "root", "mask", "signature", "lowest")
 
     def run(parts):
-        for (_, i, j), group in runs(parts, ["token", "i", "j"]):
+        bits = np.arange(COORDINATES, dtype=np.uint64)
+        for (token, i, j), group in runs(parts, ["token", "i", "j"]):
             rep, root, piece = (group[c].to_numpy() for c in ("rep", "root", "piece"))
-            values = group["bytes"].combine_chunks().values.to_numpy().astype(np.uint8).reshape(len(rep), -1)
+            values = group["signature"].combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
+            prefix = (group["mask"].to_numpy().view(np.uint64)[:, None] >> bits & np.uint64(1)).astype(bool)
+            lists, sets = group["lowest"], {}
+            place = int(token) >> 32
             left, right = np.flatnonzero(piece == i), np.flatnonzero(piece == j)
+            found = []
             for a in left.tolist():
                 rest = right[(root[right] != root[a]) & ((rep[right] < rep[a]) if i == j else True)]
-                if len(rest):
-                    hit = rest[(values[rest] == values[a]).sum(1) >= MATCHES]
-                    if len(hit):
-                        yield pa.record_batch([pa.array(np.full(len(hit), rep[a])), pa.array(rep[hit])], names=["a", "hub"])
+                if not len(rest):
+                    continue
+                same = values[rest] == values[a]
+                first = (same & prefix[rest] & prefix[a]).argmax(1)
+                for b in rest[(first == place) & (same.sum(1) >= MATCHES)].tolist():
+                    for x in (a, b):
+                        if x not in sets:
+                            sets[x] = frozenset(lists[x].values.to_numpy().view(np.uint32).tolist())
+                    if may_link(sets[a], sets[b], percent):
+                        found.append((max(rep[a], rep[b]), min(rep[a], rep[b])))
+            if found:
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "hub"])
 
     keys = ["token", "i", "j"]
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, hub long").select(F.greatest("a", "hub").alias("a"), F.least("a", "hub").alias("hub")).distinct()
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, hub long").distinct()
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -204,11 +235,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     checkpointed, so each text is read once for its signature and once per confirmation if it is a candidate."""
     signed = materialise(signatures(docs))
     whole = signed.filter("set_key IS NOT NULL AND doc_id IS NOT NULL")
-    classes = materialise(whole.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")))
+    classes = materialise(whole.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("lowest").alias("lowest")))
     posted = materialise(postings(classes))
     links = materialise(confirmed(materialise(star_pairs(posted)), docs, percent))
     roots = components(links)
-    more = materialise(crossing_pairs(posted, classes, roots))
+    more = materialise(crossing_pairs(posted, classes, roots, percent))
     if not more.isEmpty():
         links = materialise(links.union(confirmed(more, docs, percent)))
         roots = components(links)
