@@ -3,7 +3,7 @@
 A stream of ids is cut into blocks of equal length that are coded independently, each from a fresh model. Per block,
 an order-2 and an order-1 table remember the last id after a context and how often it held, and order-0 counts cover
 every id. The chances of both remembered ids are mixed from the three orders with weights that follow their success;
-one range-coder step tells which of them came, and if neither, another gives the id by its order-0 share. All numbers
+one step of the range coder tells which of them came or, if neither, gives the id by its order-0 share. All numbers
 are integers, so any machine decodes alike. Many blocks are coded side by side on arrays, one id of each at a time.
 """
 
@@ -24,16 +24,16 @@ from ravelin.llm.bpecodec import CHUNKS_KEPT, cut
 from ravelin.llm.common import block_count, text_rows
 
 BLOCK_IDS = 8_192
-LANES = 384  # blocks coded side by side
+LANES = 448  # blocks coded side by side, at most
 BASE, GAIN = 1, 16  # order-0 weight of an unseen id and of each occurrence
 RENEW = 1_024  # ids between renewals of the order-0 shares, after those at powers of two
 ONE = 1 << 16
 FLOOR = 64
-ORDER1_BITS, ORDER2_BITS = 12, 14
-TOP, BOTTOM = np.uint64(1 << 40), np.uint64(1 << 32)  # of 48-bit coder words
-FLUSH = 6
-_WORD = np.uint64((1 << 48) - 1)
-_8, _40 = np.uint64(8), np.uint64(40)
+ORDER1_BITS, ORDER2_BITS = 11, 13
+TOP, BOTTOM = np.uint64(1 << 48), np.uint64(1 << 40)  # of 56-bit coder words
+FLUSH = 7
+_WORD = np.uint64((1 << 56) - 1)
+_8, _48 = np.uint64(8), np.uint64(48)
 
 
 class Model:
@@ -115,74 +115,77 @@ def _renewals(step: int) -> bool:
     return step and (step % RENEW == 0 or (step >= 32 and step & (step - 1) == 0))
 
 
-class Encoder:
-    def __init__(self, lanes: int, room: int) -> None:
+class Coder:
+    """Intervals of many blocks; the first ``m`` blocks are running. ``low`` and ``range`` are 56-bit words."""
+
+    def __init__(self, lanes: int) -> None:
         self.low = np.zeros(lanes, np.uint64)
         self.range = np.full(lanes, _WORD, np.uint64)
-        self.out = np.zeros((lanes, room), np.uint8)
         self.used = np.zeros(lanes, np.int64)
 
-    def put(self, lane: np.ndarray, start: np.ndarray, width: np.ndarray, total) -> None:
-        low, span = self.low[lane], self.range[lane] // np.asarray(total, np.uint64)
-        low = low + start.astype(np.uint64) * span
-        span = span * width.astype(np.uint64)
-        self.low[lane], self.range[lane] = low & _WORD, span
-        todo = np.arange(len(lane))
+    def narrow(self, m: int, start: np.ndarray, width: np.ndarray) -> None:
+        """Takes the part of each interval; ``range`` holds its width over the total already."""
+        low, span = self.low[:m], self.range[:m]
+        low += start.astype(np.uint64) * span
+        low &= _WORD
+        span *= width.astype(np.uint64)
+        at = slice(0, m)
         while True:
-            low, span = self.low[lane[todo]], self.range[lane[todo]]
+            low, span = self.low[at], self.range[at]
             split, small = (low ^ (low + span)) >= TOP, span < BOTTOM
-            span = np.where(split & small, (BOTTOM - (low & (BOTTOM - np.uint64(1)))), span)
-            moves = ~split | small
-            if not moves.any():
+            moves = np.flatnonzero(~split | small)
+            if not len(moves):
                 return
-            todo, low, span = todo[moves], low[moves], span[moves]
-            at = lane[todo]
-            self.out[at, self.used[at]] = low >> _40
+            low, span = low[moves], span[moves]
+            cut = split[moves] & small[moves]
+            if cut.any():
+                span = np.where(cut, BOTTOM - (low & (BOTTOM - np.uint64(1))), span)
+            at = moves if isinstance(at, slice) else at[moves]
+            self.shift(at, low)
             self.used[at] += 1
             self.low[at], self.range[at] = low << _8 & _WORD, span << _8
 
+
+class Encoder(Coder):
+    def __init__(self, lanes: int, room: int) -> None:
+        super().__init__(lanes)
+        self.out = np.zeros((lanes, room), np.uint8)
+
+    def shift(self, at: np.ndarray, low: np.ndarray) -> None:
+        self.out[at, self.used[at]] = low >> _48
+
+    def put(self, m: int, start: np.ndarray, width: np.ndarray, total: np.ndarray) -> None:
+        self.range[:m] //= total.astype(np.uint64)
+        self.narrow(m, start, width)
+
     def close(self) -> list[bytes]:
+        every = np.arange(len(self.used))
         for _ in range(FLUSH):
-            self.out[np.arange(len(self.used)), self.used] = self.low >> _40
+            self.shift(every, self.low)
             self.used += 1
             self.low = self.low << _8 & _WORD
         return [row[:n].tobytes() for row, n in zip(self.out, self.used)]
 
 
-class Decoder:
+class Decoder(Coder):
     def __init__(self, blocks: list[bytes]) -> None:
-        lanes, room = len(blocks), max(map(len, blocks)) + 8
-        self.data = np.zeros((lanes, room), np.uint8)
+        super().__init__(len(blocks))
+        self.data = np.zeros((len(blocks), max(map(len, blocks)) + FLUSH + 1), np.uint8)
         for i, block in enumerate(blocks):
             self.data[i, : len(block)] = np.frombuffer(block, np.uint8)
-        self.low = np.zeros(lanes, np.uint64)
-        self.range = np.full(lanes, _WORD, np.uint64)
-        self.code = np.zeros(lanes, np.uint64)
-        self.used = np.full(lanes, FLUSH, np.int64)
-        for k in range(FLUSH):
-            self.code = self.code << _8 | self.data[:, k].astype(np.uint64)
-
-    def target(self, lane: np.ndarray, total) -> np.ndarray:
-        total = np.asarray(total, np.uint64)
-        self.step = self.range[lane] // total
-        return np.minimum((self.code[lane] - self.low[lane] & _WORD) // self.step, total - np.uint64(1)).astype(np.int64)
-
-    def take(self, lane: np.ndarray, start: np.ndarray, width: np.ndarray) -> None:
-        self.low[lane] = self.low[lane] + start.astype(np.uint64) * self.step & _WORD
-        self.range[lane] = self.step * width.astype(np.uint64)
-        todo = np.arange(len(lane))
-        while True:
-            low, span = self.low[lane[todo]], self.range[lane[todo]]
-            split, small = (low ^ (low + span)) >= TOP, span < BOTTOM
-            span = np.where(split & small, (BOTTOM - (low & (BOTTOM - np.uint64(1)))), span)
-            moves = ~split | small
-            if not moves.any():
-                return
-            todo, low, span = todo[moves], low[moves], span[moves]
-            at = lane[todo]
-            self.code[at] = (self.code[at] << _8 | self.data[at, np.minimum(self.used[at], self.data.shape[1] - 1)].astype(np.uint64)) & _WORD
-            self.used[at] += 1
-            self.low[at], self.range[at] = low << _8 & _WORD, span << _8
+        self.code = np.zeros(len(blocks), np.uint64)
+        for _ in range(FLUSH):
+            self.shift(np.arange(len(blocks)), None)
+            self.used += 1
+
+    def shift(self, at: np.ndarray, low) -> None:
+        place = np.minimum(self.used[at], self.data.shape[1] - 1)  # a damaged block may ask for more than there is
+        self.code[at] = (self.code[at] << _8 | self.data[at, place]) & _WORD
+
+    def target(self, m: int, total: np.ndarray) -> np.ndarray:
+        self.range[:m] //= total.astype(np.uint64)
+        away = (self.code[:m] - self.low[:m] & _WORD) // self.range[:m]
+        return np.minimum(away.astype(np.int64), total - 1)
 
 
 def _running(sizes: np.ndarray, step: int) -> int:
@@ -194,21 +197,25 @@ def _encode(blocks: list[np.ndarray], size: int) -> list[bytes]:
     ids = np.zeros((int(sizes[0]), len(blocks)), np.int64)
     for i, b in enumerate(blocks):
         ids[: len(b), i] = b
-    model, coder = Model(len(blocks), size), Encoder(len(blocks), 5 * int(sizes[0]) + 16)
+    model, coder = Model(len(blocks), size), Encoder(len(blocks), 6 * int(sizes[0]) + 16)
     for step in range(int(sizes[0])):
         m = _running(sizes, step)
         if _renewals(step):
             model.renew(m)
         id2, id1, wide2, wide1 = model.predict(m)
-        now, lane = ids[step, :m], model.lane[:m]
+        now, total = ids[step, :m], model.total[:m]
         hit2 = now == id2
         hit1 = (now == id1) & ~hit2
-        start = np.where(hit2, 0, np.where(hit1, wide2, wide2 + wide1))
-        coder.put(lane, start, np.where(hit2, wide2, np.where(hit1, wide1, ONE - wide2 - wide1)), ONE)
-        rest = lane[~(hit1 | hit2)]
+        known = wide2 + wide1
+        start = np.where(hit2, 0, np.where(hit1, wide2, known)) * total
+        width = np.where(hit2, wide2, wide1) * total
+        rest = np.flatnonzero(~(hit1 | hit2))
         if len(rest):
-            start, width = model.order0(rest, now[rest])
-            coder.put(rest, start, width, model.total[rest])
+            left = ONE - known[rest]
+            first, share = model.order0(rest, now[rest])
+            start[rest] += left * first
+            width[rest] = left * share
+        coder.put(m, start, width, total * ONE)
         model.update(m, now)
     return coder.close()
 
@@ -221,27 +228,35 @@ def _decode(blocks: list[bytes], sizes: np.ndarray, size: int) -> list[np.ndarra
         if _renewals(step):
             model.renew(m)
         id2, id1, wide2, wide1 = model.predict(m)
-        lane = model.lane[:m]
-        target = coder.target(lane, ONE)
-        hit2 = target < wide2
-        hit1 = (target < wide2 + wide1) & ~hit2
-        start = np.where(hit2, 0, np.where(hit1, wide2, wide2 + wide1))
-        coder.take(lane, start, np.where(hit2, wide2, np.where(hit1, wide1, ONE - wide2 - wide1)))
+        total = model.total[:m]
+        target = coder.target(m, total * ONE)
+        known = wide2 + wide1
+        hit2 = target < wide2 * total
+        hit1 = (target < known * total) & ~hit2
+        start = np.where(hit2, 0, np.where(hit1, wide2, known)) * total
+        width = np.where(hit2, wide2, wide1) * total
         now = np.where(hit2, id2, id1).astype(np.int64)
-        rest = lane[~(hit1 | hit2)]
+        rest = np.flatnonzero(~(hit1 | hit2))
         if len(rest):
-            target = coder.target(rest, model.total[rest])
-            flat = model.shares.reshape(-1)
-            found = np.searchsorted(flat, (target + rest * model.span).astype(np.uint32), "right") - 1
-            found -= rest * (size + 1)
+            left = ONE - known[rest]
+            place = np.minimum((target[rest] - start[rest]) // left, total[rest] - 1)
+            found = np.searchsorted(model.shares.reshape(-1), (place + rest * model.span).astype(np.uint32), "right") - 1 - rest * (size + 1)
             now[rest] = found
-            start, width = model.order0(rest, found)
-            coder.take(rest, start, width)
+            first, share = model.order0(rest, found)
+            start[rest] += left * first
+            width[rest] = left * share
+        coder.narrow(m, start, width)
         model.update(m, now)
         ids[step, :m] = now
     return [ids[:n, i].astype(np.uint32) for i, n in enumerate(sizes.tolist())]
 
 
+def groups(n: int) -> list[tuple[int, int]]:
+    """Even ranges of at most LANES blocks."""
+    count = -(-n // LANES)
+    return [(i * n // count, (i + 1) * n // count) for i in range(count)]
+
+
 HEAD = np.dtype([("magic", "S4"), ("ids", "<u4"), ("size", "<u4"), ("crc", "<u4")])
 MAGIC = b"RVB1"
 
@@ -250,8 +265,8 @@ def encode_stream(ids: np.ndarray, size: int, block_ids: int = BLOCK_IDS) -> lis
     """Blocks of ``block_ids`` ids below ``size``, each with a head: mark, number of ids, vocabulary, checksum."""
     cut = [ids[a : a + block_ids] for a in range(0, len(ids), block_ids)]
     out = []
-    for a in range(0, len(cut), LANES):
-        part = cut[a : a + LANES]
+    for a, b in groups(len(cut)):
+        part = cut[a:b]
         for block, data in zip(part, _encode(part, size)):
             head = np.array([(MAGIC, len(block), size, zlib.crc32(block.astype("<u4").tobytes()))], HEAD)
             out.append(head.tobytes() + data)
@@ -264,17 +279,15 @@ def decode_stream(blocks: list[bytes]) -> np.ndarray:
     if any(h is None or h["magic"] != MAGIC for h in heads):
         raise ValueError("not a block of ids")
     out: list = [np.zeros(0, np.uint32)] * len(blocks)
-    order = sorted(range(len(blocks)), key=lambda i: (int(heads[i]["size"]), -int(heads[i]["ids"])))
-    at = 0
-    while at < len(order):
-        size = heads[order[at]]["size"]
-        part = [i for i in order[at : at + LANES] if heads[i]["size"] == size]
-        sizes = np.array([int(heads[i]["ids"]) for i in part])
-        for i, got in zip(part, _decode([blocks[i][HEAD.itemsize :] for i in part], sizes, int(size))):
-            if zlib.crc32(got.astype("<u4").tobytes()) != heads[i]["crc"]:
-                raise ValueError("a block of ids is damaged")
-            out[i] = got
-        at += len(part)
+    for size in {int(h["size"]) for h in heads}:
+        order = sorted((i for i, h in enumerate(heads) if h["size"] == size), key=lambda i: -int(heads[i]["ids"]))
+        for a, b in groups(len(order)):
+            part = order[a:b]
+            sizes = np.array([int(heads[i]["ids"]) for i in part])
+            for i, got in zip(part, _decode([blocks[i][HEAD.itemsize :] for i in part], sizes, size)):
+                if zlib.crc32(got.astype("<u4").tobytes()) != heads[i]["crc"]:
+                    raise ValueError("a block of ids is damaged")
+                out[i] = got
     return np.concatenate([np.zeros(0, np.uint32), *out])
 
 
@@ -337,11 +350,11 @@ def write_ids(docs: DataFrame, packed: bytes, path: str, end_id: int = 0, part_b
                 yield pa.record_batch([pa.array([part] * n, pa.int64()), pa.array([DOC] * n, pa.int32()), pa.array(range(place, place + n), pa.int64()), some.column("doc_id"), sizes, pa.nulls(n, pa.binary())], schema=_KINDS)
                 place += n
                 size += sum(len(x) + 1 for x in ids)
-                if size >= LANES * BLOCK_IDS:  # enough to code side by side
+                whole = 4 * LANES * BLOCK_IDS
+                if size >= whole:  # a very large part is coded piece by piece
                     stream = np.concatenate(held)
-                    whole = LANES * BLOCK_IDS
                     yield blocks(part, block, encode_stream(stream[:whole], encode.size))
-                    block += LANES
+                    block += 4 * LANES
                     held, size = [stream[whole:]], len(stream) - whole
         if size:
             yield blocks(part, block, encode_stream(np.concatenate(held), encode.size))
