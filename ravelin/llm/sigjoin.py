@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import WORD_CACHE, batches, materialise
+from ravelin.llm.common import WORD_CACHE, batches, fresh_path, materialise
 from ravelin.llm.components import components
 
 SHINGLE = 5
@@ -92,7 +92,8 @@ def signatures(docs: DataFrame) -> DataFrame:
         yield from batches(each, _SIGNED, "doc_id", "text")(parts)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, signature array<int>, lowest array<int>")
+    signed = rows.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, signature array<int>, lowest array<int>")
+    return signed.withColumn("row", F.monotonically_increasing_id())
 
 
 def postings(classes: DataFrame) -> DataFrame:
@@ -151,17 +152,24 @@ def may_link(a: frozenset, b: frozenset, percent: int) -> bool:
     return n_joint + 2 >= share * n_union - SLACK * (share * (1 - share) * n_union) ** 0.5
 
 
-def crossing_pairs(posted: DataFrame, classes: DataFrame, roots: DataFrame, percent: int = PERCENT) -> DataFrame:
+def sketches(signed: DataFrame, classes: DataFrame, *columns: str) -> DataFrame:
+    """``rep`` and the named columns of the row that stands for each class."""
+    chosen = classes.select("rep", F.col("row").alias("chosen"))
+    return signed.select("row", *columns).join(chosen, F.col("row") == F.col("chosen")).select("rep", *columns)
+
+
+def crossing_pairs(posted: DataFrame, signed: DataFrame, classes: DataFrame, roots: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, hub): pairs of one list in different components that collide in MATCHES places and whose lowest hashes
     allow a link. A list is cut into pieces; each pair of pieces is one small task. A pair is looked at once, in the
     list of the first coordinate that both have in their prefix with the same value."""
     placed = posted.join(roots, F.col("rep") == F.col("vertex"), "left").select("token", "rep", "mask", F.coalesce("root", "rep").alias("root"))
     mixed = placed.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
     mixed = mixed.select(F.col("token").alias("list"), F.ceil(F.col("size") / PIECE).cast("int").alias("pieces"))
-    sketches = classes.select(F.col("rep").alias("owner"), "signature", "lowest")
     rows = placed.join(mixed, F.col("token") == F.col("list")).withColumn("piece", F.pmod(F.xxhash64("rep"), F.col("pieces")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
-    rows = rows.select("token", "rep", "mask", "root", "piece", other.alias("other")).join(sketches, F.col("rep") == F.col("owner"))
+    asked = classes.join(rows.select(F.col("rep").alias("asked")).distinct(), F.col("rep") == F.col("asked"), "left_semi")
+    held = sketches(signed, asked, "signature", "lowest").withColumnRenamed("rep", "owner")
+    rows = rows.select("token", "rep", "mask", "root", "piece", other.alias("other")).join(held, F.col("rep") == F.col("owner"))
     rows = rows.select("token", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"), "piece", "rep", "root", "mask", "signature", "lowest")
 
     def run(parts):
@@ -232,14 +240,18 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` per row of ``docs``. A row without words or without
     a doc_id is linked with nothing; its component is its own doc_id, and it is kept. Rows that share a doc_id are
     judged each by its text; repeated rows get equal results. Signatures, classes, postings and links are
-    checkpointed, so each text is read once for its signature and once per confirmation if it is a candidate."""
-    signed = materialise(signatures(docs))
+    checkpointed or written, so each text is read once for its signature and once per confirmation if it is a
+    candidate. Signatures lie in a table of columns, of which each step reads its own."""
+    path = fresh_path(docs.sparkSession, "signatures")
+    signatures(docs).write.parquet(path)
+    signed = docs.sparkSession.read.parquet(path)
     whole = signed.filter("set_key IS NOT NULL AND doc_id IS NOT NULL")
-    classes = materialise(whole.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("lowest").alias("lowest")))
-    posted = materialise(postings(classes))
+    first = F.min(F.struct("doc_id", "row"))
+    classes = materialise(whole.groupBy("set_key").agg(first.alias("first")).select("set_key", F.col("first.doc_id").alias("rep"), F.col("first.row").alias("row")))
+    posted = materialise(postings(sketches(signed, classes, "signature")))
     links = materialise(confirmed(materialise(star_pairs(posted)), docs, percent))
     roots = components(links)
-    more = materialise(crossing_pairs(posted, classes, roots, percent))
+    more = materialise(crossing_pairs(posted, signed, classes, roots, percent))
     if not more.isEmpty():
         links = materialise(links.union(confirmed(more, docs, percent)))
         roots = components(links)
