@@ -10,6 +10,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from ravelin.functions.signing import hmac_sha256
 from ravelin.operators.alerts import DISPATCH_SUBJECT
@@ -170,8 +171,12 @@ def format_error(topic: Column, error: Column, attempts: Column) -> Column:
     return F.format_string("topic=%s attempts=%d error=%s", topic, attempts, error)
 
 
-def keep_newest(letters: DataFrame, cap: int = DEAD_LETTER_CAP, order: Sequence[str] = ("failed_at", "error", "attempts", "value")) -> DataFrame:
-    """The newest ``cap`` dead letters, in a full order. A top-k: each task keeps at most ``cap`` rows before they meet."""
+def keep_newest(letters: DataFrame, cap: int = DEAD_LETTER_CAP, order: Sequence[str] | None = None) -> DataFrame:
+    """The newest ``cap`` dead letters. A top-k: each task keeps at most ``cap`` rows before they meet. Unless an order
+    is given, letters of one time go by their other columns, so the choice is always the same."""
+    if order is None:
+        plain = [f.name for f in letters.schema if not isinstance(f.dataType, MapType)]
+        order = ["failed_at", *(c for c in plain if c != "failed_at")]
     return letters.orderBy(*[F.col(c).desc() for c in order]).limit(cap)
 
 
