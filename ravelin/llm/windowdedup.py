@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from ravelin.llm.common import text_rows
 
 WINDOW = 20
-BLOCK_BYTES = 12 << 20  # text per block, and so per task
-FLUSH_BYTES = 24 << 20  # text a task gathers before it sends its blocks on
+BLOCK_BYTES = 8 << 20  # text per block, and so per task
+FLUSH_BYTES = 16 << 20  # text a task gathers before it sends its blocks on
 SPARE_BITS = 4  # cells per possible window, as a power of two
 LAST = np.iinfo(np.int64).max  # stands for a null doc_id: after all others
 
