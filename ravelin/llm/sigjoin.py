@@ -1,8 +1,8 @@
 """MinHash near-duplicates by an inverted join on signature coordinates.
 
 Equal shingle sets are one class. A class is posted under each pair of coordinate and value of its signature; pairs
-that collide in ``MATCHES`` of ``COORDINATES`` places become candidates. Values nobody shares cannot collide; of the
-others, ordered from rare to common, a class that shares m needs postings only under its first m - MATCHES + 1, as two
+that collide in ``matches`` of ``COORDINATES`` places become candidates, as many as the threshold allows. Values nobody
+shares cannot collide; of the others, ordered from rare to common, a class that shares m needs postings only under its first m - matches + 1, as two
 classes with enough collisions share one of these (prefix filter). Each posting list is first joined with its most
 central class alone and the confirmed links are contracted; lists then inside one component are skipped, and in the
 rest only pairs across components are counted, in pieces, and compared by their lowest hashes. Every link is confirmed on the full shingle sets.
@@ -11,6 +11,7 @@ rest only pairs across components are counted, in pieces, and compared by their
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from ravelin.llm.components import components
 SHINGLE = 5
 PERCENT = 85  # links have 100 * intersection >= PERCENT * union
 COORDINATES = 64
-MATCHES = 36  # a pair at the threshold collides in 54 places on average and in less than 36 about once in 10^8
+MISSED = 1e-8  # chance at most that a pair at the threshold collides in too few places
 LOWEST = 192  # smallest hashes of a set that go along for a first comparison; all of a smaller set
 SLACK = 6.5  # standard deviations below the threshold at which a comparison of lowest hashes gives up
 PIECE = 1_000  # classes of one list that are compared at once
@@ -36,6 +37,20 @@ _FACTORS = _RNG.integers(1, 1 << 63, COORDINATES, np.uint64) * np.uint64(2) + np
 _OFFSETS = _RNG.integers(0, 1 << 63, COORDINATES, np.uint64)
 
 
+def matches_for(percent: int) -> int:
+    """The most places of which a pair at the threshold misses with a chance of ``MISSED`` at most: 36 at 85 percent,
+    31 at 80. A threshold at which such a pair may well collide nowhere is refused."""
+    share, missed, m = percent / 100, 0.0, 0
+    while m < COORDINATES:
+        missed += math.comb(COORDINATES, m) * share**m * (1 - share) ** (COORDINATES - m)
+        if missed > MISSED:
+            break
+        m += 1
+    if not m or percent > 100:
+        raise ValueError(f"{COORDINATES} coordinates cannot find pairs at {percent} percent")
+    return m
+
+
 class Shingles:
     """Sorted distinct 64-bit hashes of a text's shingles, in lower case (A-Z)."""
 
@@ -96,14 +111,15 @@ def signatures(docs: DataFrame) -> DataFrame:
     return signed.withColumn("row", F.monotonically_increasing_id())
 
 
-def postings(classes: DataFrame) -> DataFrame:
-    """``token``, ``rep``, ``centrality`` and ``mask``, the coordinates of the prefix as bits, for the prefix of every class that shares at least MATCHES values.
-    Arrays here have at most COORDINATES entries."""
+def postings(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``token``, ``rep``, ``centrality`` and ``mask``, the coordinates of the prefix as bits, for the prefix of every class that shares enough values
+    for ``percent``. Arrays here have at most COORDINATES entries."""
+    matches = matches_for(percent)
     tokens = classes.select("rep", F.posexplode("signature").alias("place", "value"))
     tokens = tokens.select("rep", (F.col("place").cast("long") * (1 << 32) + F.col("value").cast("long").bitwiseAND(0xFFFFFFFF)).alias("token"))
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumnRenamed("token", "shared")
     held = tokens.join(shared, F.col("token") == F.col("shared")).groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("held"), F.sum("n").alias("centrality"))
-    held = held.filter(F.size("held") >= MATCHES).withColumn("prefix", F.slice("held", 1, F.size("held") - MATCHES + 1))
+    held = held.filter(F.size("held") >= matches).withColumn("prefix", F.slice("held", 1, F.size("held") - matches + 1))
     mask = F.expr("aggregate(prefix, 0L, (m, p) -> m | shiftleft(1L, cast(shiftright(p.token, 32) AS int)))")
     return held.select("rep", "centrality", mask.alias("mask"), F.explode("prefix").alias("post")).select(F.col("post.token").alias("token"), "rep", "centrality", "mask")
 
@@ -159,9 +175,10 @@ def sketches(signed: DataFrame, classes: DataFrame, *columns: str) -> DataFrame:
 
 
 def crossing_pairs(posted: DataFrame, signed: DataFrame, classes: DataFrame, roots: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, hub): pairs of one list in different components that collide in MATCHES places and whose lowest hashes
+    """(a, hub): pairs of one list in different components that collide in enough places and whose lowest hashes
     allow a link. A list is cut into pieces; each pair of pieces is one small task. A pair is looked at once, in the
     list of the first coordinate that both have in their prefix with the same value."""
+    matches = matches_for(percent)
     placed = posted.join(roots, F.col("rep") == F.col("vertex"), "left").select("token", "rep", "mask", F.coalesce("root", "rep").alias("root"))
     mixed = placed.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
     mixed = mixed.select(F.col("token").alias("list"), F.ceil(F.col("size") / PIECE).cast("int").alias("pieces"))
@@ -188,7 +205,7 @@ def crossing_pairs(posted: DataFrame, signed: DataFrame, classes: DataFrame, roo
                     continue
                 same = values[rest] == values[a]
                 first = (same & prefix[rest] & prefix[a]).argmax(1)
-                for b in rest[(first == place) & (same.sum(1) >= MATCHES)].tolist():
+                for b in rest[(first == place) & (same.sum(1) >= matches)].tolist():
                     for x in (a, b):
                         if x not in sets:
                             sets[x] = frozenset(lists[x].values.to_numpy().view(np.uint32).tolist())
@@ -248,7 +265,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     whole = signed.filter("set_key IS NOT NULL AND doc_id IS NOT NULL")
     first = F.min(F.struct("doc_id", "row"))
     classes = materialise(whole.groupBy("set_key").agg(first.alias("first")).select("set_key", F.col("first.doc_id").alias("rep"), F.col("first.row").alias("row")))
-    posted = materialise(postings(sketches(signed, classes, "signature")))
+    posted = materialise(postings(sketches(signed, classes, "signature"), percent))
     links = materialise(confirmed(materialise(star_pairs(posted)), docs, percent))
     roots = components(links)
     more = materialise(crossing_pairs(posted, signed, classes, roots, percent))

@@ -156,6 +156,23 @@ def test_near_duplicates_of_random_texts(spark, seed, piece, monkeypatch):
     assert got == want and any(not r[3] for r in want.values())
 
 
+def test_matches_follow_the_threshold(spark):
+    """Pairs just above a low threshold collide in few places; none of them is lost."""
+    assert [sigjoin.matches_for(p) for p in (85, 80, 70, 60, 100)] == [36, 31, 23, 16, 64]
+    for percent in (0, 20, 101):
+        with pytest.raises(ValueError):
+            sigjoin.matches_for(percent)
+    rng = random.Random(12)
+    rows = []
+    for i in range(150):
+        base = prose(rng, 100, 10**6).split()
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join([*base[:76], *prose(rng, 24, 10**6).split()]))]
+    want = brute.near_groups(rows, 60)
+    assert sum(not r[3] for r in want.values()) == 150
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: tuple(r) for r in sigjoin.near_duplicates(docs, 60).collect()} == want
+
+
 def test_components_of_random_links(spark):
     rng = random.Random(4)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(1000, 1100)]
