@@ -155,11 +155,18 @@ def runs(parts: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tup
         yield last, pa.Table.from_batches(held)
 
 
-def may_link(a: frozenset, b: frozenset, percent: int) -> bool:
+def lowest_set(stored: np.ndarray) -> tuple[frozenset, bool]:
+    """A stored list of lowest hashes as a set, and whether it may have been cut. The list's own length tells, as
+    shortened hashes that agree make the set smaller."""
+    return frozenset(stored.view(np.uint32).tolist()), len(stored) >= LOWEST
+
+
+def may_link(one: tuple[frozenset, bool], two: tuple[frozenset, bool], percent: int) -> bool:
     """False only if the sets of these lowest hashes cannot be linked, for whole sets up to a hash or two that were
     shortened alike, else by SLACK standard deviations of the sample below the smaller of the two largest hashes."""
+    a, b = one[0], two[0]
     joint = a & b
-    partial = [max(x) for x in (a, b) if len(x) >= LOWEST]
+    partial = [max(x) for x, cut in (one, two) if cut]
     if not partial:
         return 100 * (len(joint) + 2) >= percent * (len(a) + len(b) - len(joint) - 2)
     border, share = min(partial), percent / 100
@@ -208,7 +215,7 @@ def crossing_pairs(posted: DataFrame, signed: DataFrame, classes: DataFrame, roo
                 for b in rest[(first == place) & (same.sum(1) >= matches)].tolist():
                     for x in (a, b):
                         if x not in sets:
-                            sets[x] = frozenset(lists[x].values.to_numpy().view(np.uint32).tolist())
+                            sets[x] = lowest_set(lists[x].values.to_numpy())
                     if may_link(sets[a], sets[b], percent):
                         found.append((max(rep[a], rep[b]), min(rep[a], rep[b])))
             if found:

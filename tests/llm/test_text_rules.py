@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -173,6 +174,16 @@ def test_matches_follow_the_threshold(spark):
     assert {r["doc_id"]: tuple(r) for r in sigjoin.near_duplicates(docs, 60).collect()} == want
 
 
+def test_cut_lists_with_equal_hashes_stay_cut():
+    """Two of the lowest hashes agree after shortening; the pair shares just less than the threshold in this sample."""
+    hashes = np.arange(1, 400, dtype=np.uint32)
+    common = np.concatenate([hashes[:1], hashes[:150]])
+    a, b = (np.sort(np.concatenate([common, hashes[150 + side : 232 + side : 2]])).view(np.int32) for side in (0, 1))
+    assert len(a) == len(b) == sigjoin.LOWEST and len(set(a.tolist())) < sigjoin.LOWEST
+    assert sigjoin.may_link(sigjoin.lowest_set(a), sigjoin.lowest_set(b), 80)
+    assert not sigjoin.may_link(sigjoin.lowest_set(a[1:]), sigjoin.lowest_set(b[1:]), 80)
+
+
 def test_components_of_random_links(spark):
     rng = random.Random(4)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(1000, 1100)]
