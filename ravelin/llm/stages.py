@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ravelin.llm import bestfit, fmquality, secretscan, sigjoin, windowdedup
 from ravelin.llm.common import fresh_path, table
 
+NEAR_PERCENT = 80  # similarity of near duplicates in the corpus; the 85 of sigjoin.PERCENT is of op6's query only
+
 
 def written(docs: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared checkpoint folder, read again."""
@@ -29,9 +31,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id stays. Rows that share a doc_id are one
+    """Of each group of near duplicates, linked at NEAR_PERCENT, the document with the smallest doc_id stays. Rows that share a doc_id are one
     document: they go together, if any of them is a duplicate of a smaller doc_id; rows without a doc_id stay."""
-    gone = sigjoin.near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
+    gone = sigjoin.near_duplicates(docs, NEAR_PERCENT).filter("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
 
 

@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as contract
 import corpus_pipeline
 from checks.compare import rows_of
-from ravelin.llm import bestfit, fmquality, secretscan
+from ravelin.llm import bestfit, fmquality, secretscan, stages
 from ravelin.llm.queries import ORACLES, QUERIES
 from tests.llm import brute
 from tests.llm.conftest import prose
@@ -91,6 +91,28 @@ def test_pipeline_equals_plain_stages(spark, tmp_path):
     assert sorted(map(tuple, corpus_pipeline.run(spark, folder).collect())) == sorted(map(tuple, bestfit.pack_documents(want).collect()))
 
 
+def test_near_duplicate_stage_links_from_80_percent(spark):
+    """Pairs between 0.80 and 0.85 go, as ends of a group and as its bridges; pairs below 0.80 stay."""
+    rng = random.Random(13)
+    rows = []
+
+    def add(words):
+        rows.append((len(rows), " ".join(words)))
+        return words
+
+    for _ in range(20):
+        base = prose(rng, 104, 10**6).split()
+        add(base)
+        one = add([*base[:94], *prose(rng, 10, 10**6).split()])  # 90 of 110 shingles
+        add([*prose(rng, 10, 10**6).split(), *one[10:]])  # linked to the one before only
+        add([*base[:88], *prose(rng, 16, 10**6).split()])  # 84 of 116 shingles of the first
+    wide, narrow = brute.near_groups(rows, 80), brute.near_groups(rows, 85)
+    assert sum(r[3] for r in wide.values()) < sum(r[3] for r in narrow.values())
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = stages.drop_near_duplicates(spark, docs, "")
+    assert sorted(r["doc_id"] for r in left.collect()) == [i for i, r in sorted(wide.items()) if r[3]]
+
+
 def test_stages_keep_the_columns(spark, edge_docs, tmp_path):
     """Nulls, copies and columns with clashing names go through all stages."""
     folder = str(tmp_path)
