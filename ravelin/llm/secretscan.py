@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from array import array
 from dataclasses import dataclass, field
-from functools import cached_property
+from functools import cache, cached_property
 from re import _constants as sre  # names of the nodes of the standard library's parse tree
 from re import _parser
 
@@ -35,12 +35,26 @@ class SecretRule:
     value: bool = False
 
 
+def _private_key() -> str:
+    """A private key with its body. Up to an END mark the body is what keys are written with, in lines, joined by
+    spaces or quoted. Without one it is the header fields and the runs of base64 on lines of their own, however short,
+    or of 12 and more characters after spaces, with the rest of a cut run. Line ends may be escaped."""
+    name = "((RSA|EC|DSA|OPENSSH|ENCRYPTED) )?PRIVATE KEY-----"
+    blank, base64 = r"[\x20\x09]", "[A-Za-z0-9+/=]"
+    gap = r"([\x20\x09\x0D\x0A]|\\[nr])"
+    line = rf"{blank}*(\x0D|\x0A|\\[nr]){gap}*{base64}+"
+    entry = rf"{gap}+[A-Za-z]+(-[A-Za-z]+)+:{blank}*[A-Za-z0-9+/=,]+(-[A-Za-z0-9+/=,]+)*"
+    run = rf"{blank}*{base64}{{12,}}"
+    marked = r"""(-?[A-Za-z0-9+/=:,>"'\\\x20\x09\x0D\x0A])*-----END """ + name
+    return f"-----BEGIN {name}({marked}|({entry}|{line}|{run})+({blank}+{base64}+)?)?"
+
+
 BASE_KINDS = ("assign", "access", "hex")
 RULES = (
     SecretRule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""", True, 6, True),
     SecretRule("access", r"AKIA[A-Z0-9]+", min_chars=20),
     SecretRule("hex", r"[0-9a-f]{24,}", min_chars=24),
-    SecretRule("pem", r"-----BEGIN ((RSA|EC|DSA|OPENSSH) )?PRIVATE KEY-----"),
+    SecretRule("pem", _private_key()),
     SecretRule("github", r"gh[pousr]_[A-Za-z0-9]+", min_chars=40),
     SecretRule("slack", r"xox[abprs]-[A-Za-z0-9-]+", min_chars=20),
     SecretRule("jwt", r"eyJ[A-Za-z0-9_-]+[.][A-Za-z0-9_-]+[.][A-Za-z0-9_-]+", min_chars=30),
@@ -297,6 +311,12 @@ class Automaton:
         return len(match) >= rule.min_chars
 
 
+@cache
+def compiled(rules: tuple[SecretRule, ...]) -> Automaton:
+    """The automaton of these rules, built once on the driver."""
+    return Automaton.compile(rules)
+
+
 def _characters(data: bytes, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """The same spans in code points."""
     if not spans or data.isascii():
@@ -313,7 +333,7 @@ _SPANS_ARROW = pa.schema([("doc_id", pa.int64()), ("spans", pa.list_(pa.struct([
 def find_secrets(docs: DataFrame, rules: tuple[SecretRule, ...] = RULES) -> DataFrame:
     """``doc_id`` and the spans of all rules, by start and then in the rules' order; one row per row of ``docs``,
     no shuffle. A null or empty text has no spans; a null ``doc_id`` stays null."""
-    machine = Automaton.compile(rules)
+    machine = compiled(rules)
 
     def each(row):
         data = row[1].encode("utf-8", "surrogatepass")
@@ -335,7 +355,7 @@ def masked(data: bytes, spans: list[tuple[int, int, int]], rules: tuple[SecretRu
 def redact(docs: DataFrame, rules: tuple[SecretRule, ...] = RULES) -> DataFrame:
     """All rows and columns of ``docs`` with the secrets in ``text`` replaced by ``[kind]``; a text without any is
     returned as it is, null included."""
-    machine = Automaton.compile(rules)
+    machine = compiled(rules)
     at = docs.columns.index("text")
 
     def run(parts):
