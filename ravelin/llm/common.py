@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ravelin.session import ensure_checkpoint_dir, materialise
 
-__all__ = ["WORD", "WORD_CACHE", "batches", "block_count", "fresh_path", "materialise", "sha256", "table", "text_rows", "word_ids", "words_of"]
+__all__ = ["WORD", "WORD_CACHE", "batches", "block_count", "fresh_path", "gather_parts", "materialise", "remove_path", "sha256", "split_words", "table", "table_parts", "text_rows", "word_ids", "words_of"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_CACHE = 200_000  # distinct words a task remembers before it starts its dictionary anew
@@ -69,3 +69,62 @@ def batches(each: Callable[[list], list[tuple]], schema: pa.Schema, *columns: st
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     return run
+
+
+SPLIT_BYTES = 1 << 20  # text split into words at once
+PART_BYTES = 1 << 18  # bytes of a table that travel in one row
+
+
+def split_words(text: bytes, keep: bool = False, size: int = SPLIT_BYTES) -> Iterator[list[bytes]]:
+    """The words of a text without other white space than spaces, some at a time, so that a very long text never lies
+    in memory as a list of words. With ``keep`` only spaces separate, and two of them have an empty word between."""
+    low = 0
+    while low < len(text):
+        high = text.find(b" ", low + size)
+        high = len(text) if high < 0 else high
+        yield text[low:high].split(b" ") if keep else text[low:high].split()
+        low = high + 1
+
+
+def table_parts(table: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A task's table of bytes as rows ``part``, ``data``; parts without content are left out."""
+    for part, low in enumerate(range(0, len(table), PART_BYTES)):
+        piece = table[low : low + PART_BYTES]
+        if piece.any():
+            data = pa.compress(piece.tobytes(), codec="zstd", asbytes=True)
+            yield pa.record_batch([pa.array([part], pa.int32()), pa.array([data], pa.binary())], names=["part", "data"])
+
+
+def gather_parts(rows: DataFrame, size: int, how: str) -> np.ndarray:
+    """The tables of all tasks as one: their bits joined (``or``), or their sums up to 255 (``sum``). Parts are merged
+    where they meet, one array per part; the driver receives ``size`` bytes at most."""
+
+    def merge(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in parts:
+            for part, data in zip(batch.column("part").to_pylist(), batch.column("data")):
+                new = np.frombuffer(pa.decompress(data.as_py(), min(PART_BYTES, size - part * PART_BYTES), codec="zstd", asbytes=True), np.uint8)
+                old = held.get(part)
+                if old is None:
+                    held[part] = new
+                elif how == "or":
+                    held[part] = old | new
+                else:
+                    held[part] = old + np.minimum(new, ~old)
+        for part, table in held.items():
+            data = pa.compress(table.tobytes(), codec="zstd", asbytes=True)
+            yield pa.record_batch([pa.array([part], pa.int32()), pa.array([data], pa.binary())], names=["part", "data"])
+
+    out = np.zeros(size, np.uint8)
+    for row in rows.repartition("part").mapInArrow(merge, "part int, data binary").collect():
+        low = row["part"] * PART_BYTES
+        n = min(PART_BYTES, size - low)
+        out[low : low + n] = np.frombuffer(pa.decompress(bytes(row["data"]), n, codec="zstd", asbytes=True), np.uint8)
+    return out
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Deletes a table that a later one has replaced."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

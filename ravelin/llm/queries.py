@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravelin.llm import bestfit, bpecodec, fmquality, graphann, hostrules, rangecoder, revisits, secretscan, sigjoin, windowdedup
+from ravelin.llm import bestfit, boundquant, bpecodec, collocations, fmquality, graphann, hostrules, rangecoder, revisits, secretscan, sigjoin, windowdedup, winnowing
 from ravelin.llm.common import fresh_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -186,3 +186,75 @@ def op10_context_mixing_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "ids")
     rangecoder.write_ids(table(spark, sf_dir, "documents"), bpecodec.load(public_tokenizers.path("byte_bpe_50k.json")), path)
     return rangecoder.read_ids(spark, path).drop("ids")
+
+
+_BENCH_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+DECONTAMINATION_SQL = f"""WITH d AS (SELECT doc_id, {_BENCH_WORDS} AS ws FROM documents
+), b AS (SELECT item_id, ws, CASE WHEN len(ws) < {winnowing.WINDOW} THEN len(ws) ELSE {winnowing.WINDOW} END AS m FROM (SELECT item_id, {_BENCH_WORDS} AS ws FROM benchmark) WHERE len(ws) > 0
+), s AS (SELECT DISTINCT item_id, m, array_to_string(ws[i:i + m - 1], ' ') AS g FROM (SELECT item_id, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM b)
+), p AS (SELECT doc_id, m, i, array_to_string(ws[i:i + m - 1], ' ') AS g FROM (SELECT doc_id, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM d, (SELECT DISTINCT m FROM b) WHERE len(ws) >= m)
+), h AS (SELECT doc_id, i, p.m AS m, item_id FROM p JOIN s ON p.g = s.g AND p.m = s.m
+), c AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS j FROM h) GROUP BY doc_id
+), t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN t ON d.doc_id = t.doc_id"""
+
+
+@query("op11_winnowing", DECONTAMINATION_SQL)
+def op11_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = winnowing.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("items_sha256", F.sha2(F.array_join("items", ","), 256)).drop("items")
+
+
+def _codes_sql() -> str:
+    n = boundquant.PARTS
+    steps = [f"""v AS (
+ SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({boundquant.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+ WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), p AS (SELECT vec_id, part, q[part * (len(q) // {n}) + 1:(part + 1) * (len(q) // {n})] AS x FROM (SELECT vec_id, q, unnest(range({n})) AS part FROM v)
+), c0 AS (SELECT part, e, x AS c FROM (SELECT part, x, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e FROM p) WHERE e < {boundquant.ENTRIES})"""]
+    for r in range(boundquant.ROUNDS + 1):
+        steps.append(f"""a{r} AS (
+ SELECT vec_id, part, x, d, e FROM (SELECT *, row_number() OVER (PARTITION BY vec_id, part ORDER BY d, e) AS o FROM (
+  SELECT vec_id, p.part AS part, x, e, list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i]))) AS d FROM p JOIN c{r} ON p.part = c{r}.part)) WHERE o = 1)""")
+        if r < boundquant.ROUNDS:
+            steps.append(f"""m{r} AS (
+ SELECT part, e, list(m ORDER BY i) AS c FROM (SELECT part, e, i, CAST((s - ((s % n) + n) % n) // n AS BIGINT) AS m FROM (
+  SELECT part, e, i, CAST(sum(y) AS BIGINT) AS s, count(*) AS n FROM (SELECT part, e, unnest(x) AS y, generate_subscripts(x, 1) AS i FROM a{r}) GROUP BY part, e, i)) GROUP BY part, e
+), c{r + 1} AS (SELECT c{r}.part AS part, c{r}.e AS e, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} ON c{r}.part = m{r}.part AND c{r}.e = m{r}.e)""")
+    last = boundquant.ROUNDS
+    return "WITH " + ", ".join(steps) + f""", r AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{last} GROUP BY vec_id
+), b AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM c{last}
+), t AS (SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM v JOIN r ON v.vec_id = r.vec_id GROUP BY label)
+SELECT v.vec_id, code, error, label_error, codebooks_sha256 FROM v JOIN r ON v.vec_id = r.vec_id JOIN t ON v.label IS NOT DISTINCT FROM t.label CROSS JOIN b"""
+
+
+@query("op12_norm_of_sum_codes", _codes_sql())
+def op12_norm_of_sum_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boundquant.compress_vectors(table(spark, sf_dir, "embeddings"))
+
+
+COLLOCATIONS_SQL = f"""WITH t AS (
+ SELECT coalesce(lang, 'und') AS lang, doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^.,;:!?\\x0A-\\x0D]+')) AS piece FROM documents
+), p AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM t
+), f AS (
+ SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase, count(*) AS f FROM (
+  SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM p, (SELECT unnest(range(1, {collocations.LONGEST} + 1)) AS m) WHERE len(ws) >= m) GROUP BY ALL
+), n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang
+), c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND f >= {collocations.LEAST}
+), k AS (SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS x, array_to_string(w[k + 1:m], ' ') AS y FROM (SELECT *, unnest(range(1, m)) AS k FROM c)
+), s AS (
+ SELECT k.lang AS lang, k.phrase AS phrase, a, k, fx.f AS l, fy.f AS r, CAST((CAST(1000000 AS HUGEINT) * a * a) // (CAST(fx.f AS HUGEINT) * fy.f) AS BIGINT) AS score
+ FROM k JOIN f fx ON k.lang = fx.lang AND k.x = fx.phrase JOIN f fy ON k.lang = fy.lang AND k.y = fy.phrase
+), b AS (SELECT lang, phrase, a, l, r, score FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS o FROM s) WHERE o = 1
+), g AS (SELECT lang, inside, max(a) AS most FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS inside FROM c WHERE m = 3) GROUP BY lang, inside
+), e AS (
+ SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+ FROM b LEFT JOIN g ON b.lang = g.lang AND b.phrase = g.inside WHERE most IS NULL OR 100 * most < {collocations.WITHIN_PERCENT} * a)
+SELECT e.lang AS lang, rank, phrase, a, l, r, n, score FROM e JOIN n ON e.lang = n.lang WHERE rank <= {collocations.KEPT}"""
+
+
+@query("op13_dynamic_phrases", COLLOCATIONS_SQL)
+def op13_dynamic_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))

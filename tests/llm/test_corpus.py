@@ -25,7 +25,7 @@ def database(sf_dir):
 
 def test_registered():
     names = contract.queries()
-    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10 and "pipeline" in names
+    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)] == [1] * 13 and "pipeline" in names
     assert set(ORACLES) <= set(contract.oracle_sql())
 
 
