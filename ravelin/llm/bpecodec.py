@@ -1,7 +1,9 @@
 """Byte-level BPE encoding by backtracking and decoding by an offset table.
 
 A sequence of tokens is the encoding of its text just when every two neighbours are compatible, that is when merging
-their joint bytes gives these two again. The encoder takes the longest token at each place (found by an Aho-Corasick
+their joint bytes gives these two again. Merges happen in the order of their ranks, so two tokens are compatible unless
+some token on the right edge of the left one's merge tree and some token on the left edge of the right one's, there at
+the same time, merge before either is used up; the test walks the two edges back in time. The encoder takes the longest token at each place (found by an Aho-Corasick
 automaton over the vocabulary), steps to shorter ones while it is incompatible with the token before, and goes back
 one token where none fits, never trying a place twice. Compatibility is kept in a table of pairs.
 """
@@ -11,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import sys
 import zlib
 
 import ahocorasick
@@ -60,6 +63,14 @@ class BytePairCodec:
         normal = {t: i for i, t in enumerate(self.tokens) if t and i not in set(self.special.values())}
         pairs = (p.split(" ") if isinstance(p, str) else p for p in spec["model"]["merges"])
         self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        self.ranks = {pair: rank for pair, (rank, _) in self.merges.items()}
+        self.made = [-1] * size  # the rank of the merge that makes a token, and its two parts
+        self.parts = [(-1, -1)] * size
+        for pair, (rank, token) in self.merges.items():
+            if self.made[token] < 0:
+                self.made[token], self.parts[token] = rank, pair
+        # A token must be made after its parts, else ranks are no order of time and pairs are merged out in full.
+        self.timely = all(self.made[a] < self.made[token] and self.made[b] < self.made[token] for (a, b), (rank, token) in self.merges.items() if self.made[token] == rank)
         self.single = [normal[bytes([b])] for b in range(256)]
         self.length = [len(t) for t in self.tokens]
         self.shorter = [-1] * size  # the longest token that is a proper prefix
@@ -75,8 +86,8 @@ class BytePairCodec:
         self.offsets = np.concatenate(([0], np.cumsum(self.length)))
         self.bytes = np.frombuffer(b"".join(self.tokens), np.uint8)
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, list[int]] = {}  # ids of pieces
-        self.chunks: dict[str, tuple[int, ...]] = {}
+        self.known, self.known_before = {}, {}  # ids of pieces: the present and the last generation
+        self.chunks, self.chunks_before = {}, {}
 
     def merged(self, data: bytes) -> list[int]:
         """Merging as defined: always the pair of lowest rank, the leftmost first."""
@@ -91,9 +102,25 @@ class BytePairCodec:
     def compatible(self, left: int, right: int) -> bool:
         if len(self.pairs) >= PAIRS_KEPT:
             self.pairs.clear()
-        fits = self.pairs[left, right] = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
+        fits = self.pairs[left, right] = self.apart(left, right) if self.timely else self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
         return fits
 
+    def apart(self, left: int, right: int) -> bool:
+        """Whether no merge joins the two tokens' edges. Of equal ranks the left merge comes first."""
+        ranks, made, parts = self.ranks, self.made, self.parts
+        left_used = right_used = 1 << 60  # when the edge token becomes part of the next one
+        while True:
+            rank = ranks.get((left, right))
+            if rank is not None and rank < left_used and rank <= right_used:
+                return False
+            at_left, at_right = made[left], made[right]
+            if at_left > at_right:
+                left_used, left = at_left, parts[left][1]
+            elif at_right >= 0:
+                right_used, right = at_right, parts[right][0]
+            else:
+                return True
+
     def encode_piece(self, data: bytes) -> list[int]:
         if len(data) == 1:
             return [self.single[data[0]]]
@@ -136,9 +163,9 @@ class BytePairCodec:
 
     def _chunk(self, text: str) -> tuple[int, ...]:
         out: list[int] = []
-        known = self.known
-        if len(known) >= CHUNKS_KEPT:
-            known.clear()
+        if len(self.known) >= CHUNKS_KEPT // 2:
+            self.known, self.known_before = {}, self.known
+        known, before = self.known, self.known_before
         for i, part in enumerate(self.specials.split(text) if self.specials else [text]):
             if i % 2:
                 out.append(self.special[part])
@@ -146,7 +173,7 @@ class BytePairCodec:
                 for piece in self.pieces.findall(part):
                     ids = known.get(piece)
                     if ids is None:
-                        ids = self.encode_piece(piece.encode())
+                        ids = before.get(piece) or self.encode_piece(piece.encode())
                         if len(piece) <= KEPT_LENGTH:
                             known[piece] = ids
                     out += ids
@@ -159,13 +186,15 @@ class BytePairCodec:
             return []
         first, *rest = cut(text)
         out = [*self._chunk(first)]
-        known, get = self.chunks, self.chunks.get
+        if len(self.chunks) >= CHUNKS_KEPT // 2:
+            self.chunks, self.chunks_before = {}, self.chunks
+        known, get, before = self.chunks, self.chunks.get, self.chunks_before.get
         for word in rest:
             ids = get(word)
             if ids is None:
                 if len(known) >= CHUNKS_KEPT:
                     known.clear()
-                ids = self._chunk(" " + word)
+                ids = before(word) or self._chunk(" " + word)
                 if len(word) <= KEPT_LENGTH:
                     known[word] = ids
             out += ids
@@ -181,6 +210,17 @@ class BytePairCodec:
         return self.bytes[places].tobytes().decode("utf-8", "replace")
 
 
+def worker_codec(packed: bytes) -> BytePairCodec:
+    """The codec a worker process keeps between its tasks, with what it has learnt. Functions travel by value, so it
+    lies with the interpreter and not in this module."""
+    kept = vars(sys).setdefault("_ravelin_codecs", {})
+    key = hashlib.sha256(packed).digest()
+    if key not in kept:
+        kept.clear()
+        kept[key] = BytePairCodec(packed)
+    return kept[key]
+
+
 _ODD = re.compile(r" (?=\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
 
@@ -194,7 +234,7 @@ def encode(docs: DataFrame, packed: bytes) -> DataFrame:
     """``doc_id`` and ``ids`` per row of ``docs``; a null or empty text has no ids, a null ``doc_id`` stays null."""
 
     def run(parts):
-        codec = BytePairCodec(packed)
+        codec = worker_codec(packed)
         yield from batches(lambda r: [(r[0], codec.encode(r[1]))], schema, "doc_id", "text")(parts)
 
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
@@ -205,7 +245,7 @@ def decode(encoded: DataFrame, packed: bytes) -> DataFrame:
     """``doc_id`` and the text of ``ids``; null ids decode to the empty text."""
 
     def run(parts):
-        codec = BytePairCodec(packed)
+        codec = worker_codec(packed)
         yield from batches(lambda r: [(r[0], codec.decode(r[1] or []))], schema, "doc_id", "ids")(parts)
 
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
@@ -222,7 +262,7 @@ def round_trip(docs: DataFrame, packed: bytes) -> DataFrame:
         return [(row[0], len(ids), told, back)]
 
     def run(parts):
-        codec = BytePairCodec(packed)
+        codec = worker_codec(packed)
         yield from batches(lambda r: each(codec, r), schema, "doc_id", "text")(parts)
 
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])

@@ -166,6 +166,30 @@ def test_encoder_equals_the_library(packed, tokenizer):
         assert codec.decode(ids) == tokenizer.decode(ids, skip_special_tokens=False)
 
 
+def test_pairs_by_their_edges(packed):
+    """Walking the merge trees' edges says what merging the joint bytes says, also for halves of longer tokens."""
+    codec, rng = bpecodec.BytePairCodec(packed), random.Random(2)
+    normal = sorted({i for i, t in enumerate(codec.tokens) if t} - set(codec.special.values()))
+    number = {codec.tokens[i]: i for i in normal}
+    pairs = [(rng.choice(normal), rng.choice(normal)) for _ in range(3_000)] + [(i, i) for i in normal[:500]]
+    for i in rng.sample(normal, 3_000):
+        text = codec.tokens[i]
+        pairs += [(number[text[:k]], number[text[k:]]) for k in range(1, len(text)) if text[:k] in number and text[k:] in number]
+    plain = {(a, b): codec.merged(codec.tokens[a] + codec.tokens[b]) == [a, b] for a, b in pairs}
+    assert codec.timely and {p: codec.apart(*p) for p in plain} == plain and len(set(plain.values())) == 2
+
+
+def test_generations_of_words_change_nothing(packed, monkeypatch):
+    monkeypatch.setattr(bpecodec, "CHUNKS_KEPT", 8)
+    small, texts = bpecodec.BytePairCodec(packed), fuzz(3, 400)
+    monkeypatch.undo()
+    large = bpecodec.BytePairCodec(packed)
+    monkeypatch.setattr(bpecodec, "CHUNKS_KEPT", 8)
+    got = [small.encode(t) for t in texts]
+    monkeypatch.undo()
+    assert got == [large.encode(t) for t in texts]
+
+
 def test_codec_of_edges(edge_docs, edge_rows, packed, no_docs):
     got = Counter(tuple(r) for r in bpecodec.decode(bpecodec.encode(edge_docs, packed), packed).collect())
     assert got == Counter((i, t or "") for i, t, *_ in edge_rows)
