@@ -1,6 +1,6 @@
 """Phrase collocations by dynamic itemset counting.
 
-The corpus is written once in SHARDS shards, which are scanned in a cycle. Words are counted from the first scan on; a
+The corpus is written once as numbers of words, in SHARDS shards, which are scanned in a cycle. Words are counted from the first scan on; a
 longer phrase becomes active as soon as both its subphrases (without the last and without the first word) have reached
 the threshold, in whatever shard that is, and is counted until every shard has been seen once. So each scan counts
 phrases of all lengths that are due in it.
@@ -19,10 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import WORD_CACHE, fresh_path, gather_parts, materialise, split_words, table_parts
+from ravelin.llm.common import fresh_path, gather_parts, materialise, split_words, table_parts
 from ravelin.operators.enrich import lookup_side
 
 LEAST = 10  # occurrences of a candidate
@@ -30,9 +31,9 @@ LONGEST = 3  # words
 WITHIN_PERCENT = 50  # share of its occurrences within a longer candidate from which a phrase goes
 KEPT = 2_000  # phrases reported per language
 SHARDS = 3
-CHUNK_BYTES = 8 << 20  # text a task counts together
-CELL_BITS = (16, 26)  # least and greatest size of the table of cells, as powers of two
-SALTS = 16
+CHUNK_BYTES = 16 << 20  # text of a block at most
+CELL_BITS = (16, 25)  # least and greatest size of the table of cells, as powers of two
+SALTS = 16  # parts of a language ranked by themselves first
 
 #: Ends of pieces become line feeds, tabs become spaces, A-Z becomes a-z.
 _PLAIN = bytes(0x0A if chr(b) in ".,;:!?\n\v\f\r" else 0x20 if b == 9 else b for b in range(256)).lower()
@@ -41,25 +42,16 @@ _BREAK, _NOTHING = 0, 1  # numbers of the end of a piece and of what stands betw
 
 
 class Words(dict):
-    """Numbers of a language's words and a hash of each."""
+    """Numbers of the words of one block."""
 
-    def __init__(self, lang: str) -> None:
-        self.salt = lang.encode("utf-8", "surrogatepass")
+    def __init__(self) -> None:
         self.texts: list[bytes] = []
-        self.hashes: list[int] = []
-        self.forget()
-
-    def forget(self) -> None:
-        self.clear()
-        self.texts.clear()
-        self.hashes.clear()
         for mark in (b"\n", b""):
             self[mark]
 
     def __missing__(self, word: bytes) -> int:
         number = self[word] = len(self)
         self.texts.append(word)
-        self.hashes.append(int.from_bytes(hashlib.blake2b(word, digest_size=8, key=self.salt[:64]).digest(), "little"))
         return number
 
 
@@ -90,6 +82,16 @@ def unzipped(data: bytes, size: int) -> np.ndarray:
     return np.frombuffer(pa.decompress(data, size, codec="zstd", asbytes=True), np.uint8)
 
 
+def zipped(data: bytes) -> bytes:
+    """Compressed with its length, so that a batch of blocks stays small."""
+    return len(data).to_bytes(8, "little") + (pa.compress(data, codec="zstd", asbytes=True) if data else b"")
+
+
+def unpacked(data: bytes) -> bytes:
+    size = int.from_bytes(data[:8], "little")
+    return pa.decompress(data[8:], size, codec="zstd", asbytes=True) if size else b""
+
+
 def cell(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (hashes * _FACTORS[1] >> np.uint64(64 - bits)).astype(np.int64)
 
@@ -100,10 +102,51 @@ def due(since: np.ndarray, scan: int, shards: int) -> np.ndarray:
     return (since > 0) & (since <= scan) & (scan < since + shards)
 
 
-def counted(ids: np.ndarray, words: Words, since: np.ndarray, bits: int, scan: int, shards: int, longest: int) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray]]:
-    """By length the phrases due in this scan, their counts and cells. ``ids`` holds the words in order, with
-    _BREAK between pieces."""
-    hashes, texts = np.array(words.hashes, np.uint64), words.texts
+_BLOCK_SQL = "shard int, lang string, words binary, hashes binary, ids binary"
+
+
+def word_blocks(rows: DataFrame, shards: int) -> DataFrame:
+    """Texts of CHUNK_BYTES together, by language, as numbers of words: ``words`` (a line each), a hash of each, and
+    ``ids`` in order with _BREAK between pieces. A task deals its blocks to the shards in turn."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: dict[str, list] = {}
+        turn = TaskContext.get().partitionId()
+
+        def block(lang: str) -> pa.RecordBatch:
+            nonlocal turn
+            words, pieces = Words(), [np.zeros(0, np.int32)]
+            for text in waiting.pop(lang)[1]:
+                for part in split_words(text.translate(_PLAIN).replace(b"\n", b" \n ") + b" \n ", keep=True):
+                    pieces.append(np.fromiter(map(words.__getitem__, part), np.int32, len(part)))
+            ids = np.concatenate(pieces)
+            salt = hashlib.blake2b(lang.encode("utf-8", "surrogatepass")).digest()
+            hashes = b"".join(hashlib.blake2b(w, digest_size=8, key=salt).digest() for w in words.texts)
+            turn += 1
+            # Words hold no line feed; the two marks at their head have numbers but no text.
+            row = [[turn % shards], [lang], [zipped(b"\n".join(words.texts[2:]))], [zipped(hashes)], [zipped(ids[ids != _NOTHING].tobytes())]]
+            kinds = [pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary()]
+            return pa.record_batch([pa.array(x, k) for x, k in zip(row, kinds)], names=["shard", "lang", "words", "hashes", "ids"])
+
+        total = 0
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
+                held = waiting.setdefault(lang, [0, []])
+                held[0] += len(text) + 64
+                held[1].append(text)
+                total += len(text) + 64
+                if total > CHUNK_BYTES:
+                    largest = max(waiting, key=lambda x: waiting[x][0])
+                    total -= waiting[largest][0]
+                    yield block(largest)
+        for lang in list(waiting):
+            yield block(lang)
+
+    return rows.mapInArrow(run, _BLOCK_SQL)
+
+
+def counted(ids: np.ndarray, texts: list[bytes], hashes: np.ndarray, since: np.ndarray, bits: int, scan: int, shards: int, longest: int) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray]]:
+    """By length the phrases of a block that are due in this scan, their counts and cells."""
     if scan <= shards:
         n = np.bincount(ids, minlength=len(texts))
         n[_BREAK] = 0
@@ -111,34 +154,26 @@ def counted(ids: np.ndarray, words: Words, since: np.ndarray, bits: int, scan: i
         yield 1, [texts[i] for i in at.tolist()], n[at], cell(hashes[at], bits)
     started = since[cell(hashes, bits)]
     started[_BREAK] = 0
-    starts = np.arange(len(ids))  # of the phrases looked at, all of one length
-    whole, begun = hashes[ids], started[ids]  # their hashes and the stamps of their cells
-    number = ids.astype(np.int64)  # equal for equal phrases
+    begun, whole = started[ids], hashes[ids]  # of the phrase that begins at each place: its stamp (0: none) and hash
     for length in range(2, longest + 1):
-        # A phrase is made of two neighbours among the shorter ones: at the same place and at the next.
-        next_at = np.searchsorted(starts, starts + 1)
-        has_next = next_at < len(starts)
-        has_next[has_next] = starts[next_at[has_next]] == starts[has_next] + 1
-        a = np.flatnonzero(has_next)
-        b = next_at[a]
-        both = (begun[a] > 0) & (begun[b] > 0)
-        a, b = a[both], b[both]
-        active = np.maximum(begun[a], begun[b])
-        last = ids[starts[a] + length - 1]
-        joint = extended(whole[a], hashes[last])
-        if not len(a):
+        # A phrase is active by its two neighbours among the shorter ones: at the same place and at the next.
+        at = np.flatnonzero((begun[:-1] > 0) & (begun[1:] > 0))
+        if not len(at):
             return
-        labels, number = np.unique(number[a] * len(texts) + last, return_inverse=True)
-        n = np.bincount(number[due(active, scan, shards)], minlength=len(labels))
-        one = np.zeros(len(labels), np.int64)
-        one[number] = np.arange(len(a))
-        used = np.flatnonzero(n)
-        spots = starts[a[one[used]]]
-        parts = [[texts[i] for i in ids[spots + j].tolist()] for j in range(length)]
-        yield length, list(map(b" ".join, zip(*parts))), n[used], cell(joint[one[used]], bits)
-        starts, whole = starts[a], joint
-        begun = since[cell(joint, bits)]
-        begun = np.where(begun > 0, np.maximum(begun, active), 0)  # a shared cell may be ahead of its phrase
+        active, joint = np.maximum(begun[at], begun[at + 1]), extended(whole[at], hashes[ids[at + length - 1]])
+        now = due(active, scan, shards)
+        spots = at[now]
+        if len(spots):
+            key = ids[spots].astype(np.int64)
+            for j in range(1, length):
+                key = (np.unique(key, return_inverse=True)[1] if j > 1 else key) * len(texts) + ids[spots + j]
+            _, first, n = np.unique(key, return_index=True, return_counts=True)
+            parts = [[texts[i] for i in ids[spots[first] + j].tolist()] for j in range(length)]
+            yield length, list(map(b" ".join, zip(*parts))), n, cell(joint[now][first], bits)
+        stamps = since[cell(joint, bits)]
+        begun, whole = np.zeros(len(begun) - 1, np.uint8), np.zeros(len(begun) - 1, np.uint64)
+        begun[at] = np.where(stamps > 0, np.maximum(stamps, active), 0)  # a shared cell may be ahead of its phrase
+        whole[at] = joint
 
 
 _ROW = pa.schema([("size", pa.int32()), ("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64()), ("cell", pa.int32()), ("part", pa.int32()), ("data", pa.binary())])
@@ -146,42 +181,19 @@ _ROW_SQL = "size int, lang string, phrase string, n long, cell int, part int, da
 
 
 def scan_shard(shard: DataFrame, since: bytes, bits: int, scan: int, shards: int, longest: int) -> DataFrame:
-    """Counts of the phrases that are due, per chunk of a task, and the task's table of cells (``part``, ``data``)."""
+    """Counts of the phrases that are due, per block, and the task's table of cells (``part``, ``data``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stamps, sums = unzipped(since, 1 << bits), np.zeros(1 << bits, np.uint8)
-        waiting: dict[str, list] = {}
-        known: dict[str, Words] = {}
-
-        def chunk(lang: str) -> Iterator[pa.RecordBatch]:
-            texts = waiting.pop(lang)[1]
-            words = known.pop(lang, None) or Words(lang)
-            if len(words) > WORD_CACHE:
-                words.forget()
-            if len(known) < SALTS:
-                known[lang] = words
-            pieces = [np.zeros(0, np.int32)]
-            for text in texts:
-                for part in split_words(text.translate(_PLAIN).replace(b"\n", b" \n ") + b" \n ", keep=True):
-                    pieces.append(np.fromiter(map(words.__getitem__, part), np.int32, len(part)))
-            ids = np.concatenate(pieces)
-            ids = ids[ids != _NOTHING]
-            for size, phrases, n, cells in counted(ids, words, stamps, bits, scan, shards, longest):
-                add_capped(sums, cells, n)
-                rows = len(phrases)
-                if rows:
-                    none = [pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())]
-                    yield pa.record_batch([pa.array(np.full(rows, size, np.int32)), pa.array([lang] * rows), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(n), pa.array(cells.astype(np.int32)), *none], schema=_ROW)
-
         for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
-                held = waiting.setdefault(lang, [0, []])
-                held[0] += len(text) + 64
-                held[1].append(text)
-                if sum(h[0] for h in waiting.values()) > CHUNK_BYTES:
-                    yield from chunk(max(waiting, key=lambda x: waiting[x][0]))
-        for lang in list(waiting):
-            yield from chunk(lang)
+            for lang, words, hashes, ids in zip(*(batch.column(c) for c in ("lang", "words", "hashes", "ids"))):
+                texts = [b"\n", b"", *unpacked(words.as_py()).split(b"\n")]
+                block = np.frombuffer(unpacked(ids.as_py()), np.int32), texts, np.frombuffer(unpacked(hashes.as_py()), np.uint64)
+                for size, phrases, n, cells in counted(*block, stamps, bits, scan, shards, longest):
+                    add_capped(sums, cells, n)
+                    rows = len(phrases)
+                    none = [pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())]
+                    yield pa.record_batch([pa.array(np.full(rows, size, np.int32)), pa.array([lang.as_py()] * rows, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(n), pa.array(cells.astype(np.int32)), *none], schema=_ROW)
         for sent in table_parts(sums):
             rows = sent.num_rows
             yield pa.record_batch([pa.nulls(rows, f.type) for f in list(_ROW)[:5]] + sent.columns, schema=_ROW)
@@ -200,15 +212,15 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, s
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     total = int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    bits = min(CELL_BITS[1], max(CELL_BITS[0], total.bit_length() - 2))
+    bits = min(CELL_BITS[1], max(CELL_BITS[0], total.bit_length() - 4))
     home = fresh_path(spark, "shards")
-    rows.withColumn("shard", F.pmod(F.xxhash64("text"), F.lit(shards)).cast("int")).write.partitionBy("shard").parquet(home)
-    written, progress = spark.read.schema("lang string, text string, shard int").parquet(home), Progress(bits)
+    word_blocks(rows, shards).write.partitionBy("shard").parquet(home)
+    written, progress = spark.read.schema("lang string, words binary, hashes binary, ids binary, shard int").parquet(home), Progress(bits)
     tables = []
     for scan in range(1, longest * shards + 1):
-        shard = written.filter(F.col("shard") == (scan - 1) % shards).select("lang", "text")
+        shard = written.filter(F.col("shard") == (scan - 1) % shards).drop("shard")
         path = fresh_path(spark, "phrases")
-        scan_shard(shard, progress.packed(), bits, scan, shards, longest).write.parquet(path)
+        scan_shard(shard, progress.packed(), bits, scan, shards, longest).write.option("compression", "zstd").parquet(path)
         tables.append(path)
         found = spark.read.parquet(path)
         progress.add(gather_parts(found.filter("part IS NOT NULL").select("part", "data"), 1 << bits, "sum"), scan, least)
