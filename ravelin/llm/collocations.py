@@ -8,8 +8,8 @@ phrases of all lengths that are due in it.
 How far subphrases have come is kept in a table of cells, one byte per cell for the count (capped) and one for the scan
 in which it reached the threshold. Cells are shared, so a count there is never too low: a phrase may start a scan too
 early or without need, but none is missed, and its cycle is whole in any case, as it follows from the stamps. The table
-is bounded in size; tasks send theirs merged, by parts. After the last scan the same counts tell which phrases can have
-reached the threshold at all: only those are grouped, exactly, by their text.
+is bounded in size; tasks send theirs merged, by parts. The counts themselves are exact: a scan writes them per block, in
+compressed runs, and at the end runs are first summed up per task and then grouped by language and text.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ WITHIN_PERCENT = 50  # share of its occurrences within a longer candidate from w
 KEPT = 2_000  # phrases reported per language
 SHARDS = 3
 CHUNK_BYTES = 16 << 20  # text of a block at most
+MERGE_ROWS = 6_000_000  # counts a task sums up before it sends them on
 CELL_BITS = (16, 25)  # least and greatest size of the table of cells, as powers of two
 SALTS = 16  # parts of a language ranked by themselves first
 
@@ -74,9 +75,6 @@ class Progress:
     def packed(self) -> bytes:
         return pa.compress(self.since.tobytes(), codec="zstd", asbytes=True)
 
-    def likely(self, least: int) -> bytes:
-        return pa.compress(np.packbits(self.counts >= least).tobytes(), codec="zstd", asbytes=True)
-
 
 def unzipped(data: bytes, size: int) -> np.ndarray:
     return np.frombuffer(pa.decompress(data, size, codec="zstd", asbytes=True), np.uint8)
@@ -92,6 +90,24 @@ def unpacked(data: bytes) -> bytes:
     return pa.decompress(data[8:], size, codec="zstd", asbytes=True) if size else b""
 
 
+def packed_run(phrases: list[bytes], n: np.ndarray) -> bytes:
+    lengths = np.fromiter(map(len, phrases), np.uint32, len(phrases))
+    parts = [zipped(np.ascontiguousarray(a, np.uint32).tobytes()) for a in (lengths, n)] + [zipped(b"".join(phrases))]
+    return b"".join(len(x).to_bytes(8, "little") + x for x in parts)
+
+
+def unpacked_run(data: bytes) -> pa.Table:
+    parts, at = [], 0
+    for _ in range(3):
+        size = int.from_bytes(data[at : at + 8], "little")
+        parts.append(unpacked(data[at + 8 : at + 8 + size]))
+        at += 8 + size
+    lengths, n = (np.frombuffer(x, np.uint32) for x in parts[:2])
+    offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
+    phrases = pa.Array.from_buffers(pa.string(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(parts[2])])
+    return pa.table({"phrase": phrases, "n": n.astype(np.int64)})
+
+
 def cell(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (hashes * _FACTORS[1] >> np.uint64(64 - bits)).astype(np.int64)
 
@@ -176,12 +192,13 @@ def counted(ids: np.ndarray, texts: list[bytes], hashes: np.ndarray, since: np.n
         whole[at] = joint
 
 
-_ROW = pa.schema([("size", pa.int32()), ("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64()), ("cell", pa.int32()), ("part", pa.int32()), ("data", pa.binary())])
-_ROW_SQL = "size int, lang string, phrase string, n long, cell int, part int, data binary"
+_ROW = pa.schema([("size", pa.int32()), ("lang", pa.string()), ("total", pa.int64()), ("run", pa.binary()), ("part", pa.int32()), ("data", pa.binary())])
+_ROW_SQL = "size int, lang string, total long, run binary, part int, data binary"
 
 
 def scan_shard(shard: DataFrame, since: bytes, bits: int, scan: int, shards: int, longest: int) -> DataFrame:
-    """Counts of the phrases that are due, per block, and the task's table of cells (``part``, ``data``)."""
+    """Counts of the phrases that are due, a run per block and length, and the task's table of cells (``part``,
+    ``data``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stamps, sums = unzipped(since, 1 << bits), np.zeros(1 << bits, np.uint8)
@@ -190,13 +207,13 @@ def scan_shard(shard: DataFrame, since: bytes, bits: int, scan: int, shards: int
                 texts = [b"\n", b"", *unpacked(words.as_py()).split(b"\n")]
                 block = np.frombuffer(unpacked(ids.as_py()), np.int32), texts, np.frombuffer(unpacked(hashes.as_py()), np.uint64)
                 for size, phrases, n, cells in counted(*block, stamps, bits, scan, shards, longest):
-                    add_capped(sums, cells, n)
-                    rows = len(phrases)
-                    none = [pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())]
-                    yield pa.record_batch([pa.array(np.full(rows, size, np.int32)), pa.array([lang.as_py()] * rows, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(n), pa.array(cells.astype(np.int32)), *none], schema=_ROW)
+                    if size < longest:  # longer phrases follow from it
+                        add_capped(sums, cells, n)
+                    row = [[size], lang.as_py(), int(n.sum()), packed_run(phrases, n), None, None]
+                    yield pa.record_batch([pa.array(x if isinstance(x, list) else [x], f.type) for x, f in zip(row, _ROW)], schema=_ROW)
         for sent in table_parts(sums):
             rows = sent.num_rows
-            yield pa.record_batch([pa.nulls(rows, f.type) for f in list(_ROW)[:5]] + sent.columns, schema=_ROW)
+            yield pa.record_batch([pa.nulls(rows, f.type) for f in list(_ROW)[:4]] + sent.columns, schema=_ROW)
 
     return shard.mapInArrow(run, _ROW_SQL)
 
@@ -226,22 +243,35 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, s
         progress.add(gather_parts(found.filter("part IS NOT NULL").select("part", "data"), 1 << bits, "sum"), scan, least)
         if scan >= shards and not (progress.since > scan + 1 - shards).any():
             break  # whatever became active has seen every shard
-    likely, n_bytes = progress.likely(least), max(1, (1 << bits) // 8)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = unzipped(likely, n_bytes)
-        for batch in batches:
-            at = batch.column("cell").to_numpy().astype(np.int64)
-            may = marks[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1
-            yield batch.filter(pa.array(may.astype(bool))).drop_columns(["cell"])
-
     every = spark.read.parquet(*tables).filter("size IS NOT NULL")
-    sizes = every.filter("size = 1").groupBy("lang").agg(F.sum("n").alias("n"))
-    rest = every.select("size", "lang", "phrase", "n", "cell").mapInArrow(run, "size int, lang string, phrase string, n long")
+    sizes = every.filter("size = 1").groupBy("lang").agg(F.sum("total").alias("n"))
+    rest = every.select("size", "lang", "run").mapInArrow(summed_runs, "size int, lang string, phrase string, n long")
     exact = rest.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     return materialise(exact), sizes
 
 
+def summed_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The runs a task reads, MERGE_ROWS at a time, as rows: one per language, length and phrase."""
+    held: dict[tuple, list[pa.Table]] = {}
+    rows = 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for (size, lang), tables in held.items():
+            summed = pa.concat_tables(tables).group_by("phrase", use_threads=False).aggregate([("n", "sum")])
+            fixed = pa.table({"size": pa.array(np.full(len(summed), size, np.int32)), "lang": pa.array([lang], pa.string()).take(pa.array(np.zeros(len(summed), np.int64))), "phrase": summed["phrase"], "n": summed["n_sum"]})
+            yield from fixed.to_batches(max_chunksize=1 << 16)
+
+    for batch in batches:
+        for size, lang, run in zip(*(batch.column(c) for c in ("size", "lang", "run"))):
+            table = unpacked_run(run.as_py())
+            held.setdefault((size.as_py(), lang.as_py()), []).append(table)
+            rows += len(table)
+            if rows > MERGE_ROWS:
+                yield from flush()
+                held, rows = {}, 0
+    yield from flush()
+
+
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, within_percent: int = WITHIN_PERCENT, kept: int = KEPT, shards: int = SHARDS) -> DataFrame:
     """The best ``kept`` phrases per language: ``lang``, ``rank``, ``phrase``, ``a`` (its occurrences), ``l`` and ``r``
     (those of the two parts at its weakest cut), ``n`` (words of the language) and ``score``. A null text is empty, a

@@ -185,6 +185,7 @@ def test_phrases_equal_plain(spark, monkeypatch, bits, shards, longest):
     """Also with tables of cells so small that all phrases share them, and chunks of a few texts."""
     monkeypatch.setattr(collocations, "CELL_BITS", bits)
     monkeypatch.setattr(collocations, "CHUNK_BYTES", 900)
+    monkeypatch.setattr(collocations, "MERGE_ROWS", 300)
     monkeypatch.setattr(collocations, "SALTS", 3)
     rng = random.Random(sum(bits) + shards)
     rows = []
