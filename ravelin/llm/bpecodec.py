@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 import sys
 import zlib
@@ -83,6 +84,7 @@ class BytePairCodec:
         self.automaton.make_automaton()
         self.pieces = regex.compile(PIECES)
         self.specials = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
+        self.special_head = os.path.commonprefix(list(self.special))
         self.offsets = np.concatenate(([0], np.cumsum(self.length)))
         self.bytes = np.frombuffer(b"".join(self.tokens), np.uint8)
         self.pairs: dict[tuple[int, int], bool] = {}
@@ -162,18 +164,20 @@ class BytePairCodec:
                     last = out[-1]
 
     def _chunk(self, text: str) -> tuple[int, ...]:
+        if text[:1] == " " and text[1:].isalpha():  # letters after a space are one piece
+            return tuple(self.encode_piece(text.encode()))
         out: list[int] = []
         if len(self.known) >= CHUNKS_KEPT // 2:
             self.known, self.known_before = {}, self.known
         known, before = self.known, self.known_before
-        for i, part in enumerate(self.specials.split(text) if self.specials else [text]):
+        for i, part in enumerate(self.specials.split(text) if self.specials and self.special_head in text else [text]):
             if i % 2:
                 out.append(self.special[part])
             else:
                 for piece in self.pieces.findall(part):
                     ids = known.get(piece)
                     if ids is None:
-                        ids = before.get(piece) or self.encode_piece(piece.encode())
+                        ids = before.get(piece) or (self.chunks.get(piece[1:]) if piece[0] == " " and piece[1:].isalpha() else None) or self.encode_piece(piece.encode())
                         if len(piece) <= KEPT_LENGTH:
                             known[piece] = ids
                     out += ids
