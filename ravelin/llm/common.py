@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ravelin.session import ensure_checkpoint_dir, materialise
 
-__all__ = ["WORD", "WORD_CACHE", "batches", "block_count", "fresh_path", "gather_parts", "materialise", "remove_path", "sha256", "split_words", "table", "table_parts", "text_rows", "word_ids", "words_of"]
+__all__ = ["WORD", "WORD_CACHE", "batches", "block_count", "fresh_path", "gather_parts", "materialise", "remove_path", "settled", "sha256", "split_words", "table", "table_parts", "text_rows", "word_ids", "words_of"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_CACHE = 200_000  # distinct words a task remembers before it starts its dictionary anew
@@ -123,6 +124,16 @@ def gather_parts(rows: DataFrame, size: int, how: str) -> np.ndarray:
     return out
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint, after which the exchanges it was made of may go. Spark drops their files when nothing
+    refers to them and garbage is collected, which a driver with a large heap may not do for long; so it is asked to."""
+    out = materialise(df)
+    del df
+    gc.collect()
+    out.sparkSession._jvm.System.gc()
+    return out
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Deletes a table that a later one has replaced."""
     jvm = spark._jvm

@@ -19,8 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import WORD_CACHE, batches, fresh_path, materialise
+from ravelin.llm.common import WORD_CACHE, batches, fresh_path, materialise, settled
 from ravelin.llm.components import components
+from ravelin.operators.enrich import lookup_side
 
 SHINGLE = 5
 PERCENT = 85  # links have 100 * intersection >= PERCENT * union
@@ -231,11 +232,14 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> Data
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter("id IS NOT NULL AND text IS NOT NULL")
     needed = pairs.select(F.col("a").alias("need")).union(pairs.select("hub")).distinct()
     texts = texts.join(needed, F.col("id") == F.col("need"), "left_semi")
-    copies = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / SPOKES).cast("int").alias("copies")).withColumnRenamed("hub", "of")
-    dealt = pairs.join(copies, F.col("hub") == F.col("of")).select("a", "hub", F.pmod(F.xxhash64("a"), F.col("copies")).cast("int").alias("copy"))
+    busy = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / SPOKES).cast("int").alias("copies")).filter("copies > 1")
+    busy = lookup_side(materialise(busy.withColumnRenamed("hub", "of")))  # one row per SPOKES pairs at most; the rest have one copy
+    copies = F.coalesce("copies", F.lit(1))
+    dealt = pairs.join(busy, F.col("hub") == F.col("of"), "left").select("a", "hub", F.pmod(F.xxhash64("a"), copies).cast("int").alias("copy"))
     spokes = dealt.join(texts, F.col("a") == F.col("id")).select("hub", "copy", F.lit(1).alias("role"), "a", "text")
-    hubs = copies.select("of", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy")).join(texts, F.col("of") == F.col("id"))
-    hubs = hubs.select(F.col("of").alias("hub"), "copy", F.lit(0).alias("role"), F.col("of").alias("a"), "text")
+    hubs = pairs.select("hub").distinct().join(busy, F.col("hub") == F.col("of"), "left")
+    hubs = hubs.select("hub", F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy")).join(texts, F.col("hub") == F.col("id"))
+    hubs = hubs.select("hub", "copy", F.lit(0).alias("role"), F.col("hub").alias("a"), "text")
 
     def run(parts):
         shingles, last, sets = Shingles(), None, []
@@ -271,13 +275,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     signed = docs.sparkSession.read.parquet(path)
     whole = signed.filter("set_key IS NOT NULL AND doc_id IS NOT NULL")
     first = F.min(F.struct("doc_id", "row"))
-    classes = materialise(whole.groupBy("set_key").agg(first.alias("first")).select("set_key", F.col("first.doc_id").alias("rep"), F.col("first.row").alias("row")))
-    posted = materialise(postings(sketches(signed, classes, "signature"), percent))
-    links = materialise(confirmed(materialise(star_pairs(posted)), docs, percent))
+    classes = settled(whole.groupBy("set_key").agg(first.alias("first")).select("set_key", F.col("first.doc_id").alias("rep"), F.col("first.row").alias("row")))
+    posted = settled(postings(sketches(signed, classes, "signature"), percent))
+    links = settled(confirmed(settled(star_pairs(posted)), docs, percent))
     roots = components(links)
-    more = materialise(crossing_pairs(posted, signed, classes, roots, percent))
+    more = settled(crossing_pairs(posted, signed, classes, roots, percent))
     if not more.isEmpty():
-        links = materialise(links.union(confirmed(more, docs, percent)))
+        links = settled(links.union(confirmed(more, docs, percent)))
         roots = components(links)
     named = classes.select(F.col("set_key").alias("class_key"), "rep").join(roots, F.col("rep") == F.col("vertex"), "left")
     named = named.select("class_key", F.coalesce("root", "rep").alias("root"))

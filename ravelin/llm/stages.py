@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ravelin.functions.names import free
 from ravelin.llm import bestfit, fmquality, secretscan, sigjoin, windowdedup
 from ravelin.llm.common import fresh_path, table
 
@@ -27,14 +28,16 @@ def with_length(docs: DataFrame) -> DataFrame:
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorisation machine, fitted on this corpus, scores below its threshold go."""
     model = fmquality.fit_on(docs, table(spark, sf_dir, "labels"))
-    return fmquality.score(docs, model, into="__score").filter(F.col("__score") >= fmquality.THRESHOLD).drop("__score")
+    (score,) = free(docs, "score")
+    return fmquality.score(docs, model, into=score).filter(F.col(score) >= fmquality.THRESHOLD).drop(score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates, linked at NEAR_PERCENT, the document with the smallest doc_id stays. Rows that share a doc_id are one
     document: they go together, if any of them is a duplicate of a smaller doc_id; rows without a doc_id stay."""
-    gone = sigjoin.near_duplicates(docs, NEAR_PERCENT).filter("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    (name,) = free(docs, "gone")
+    gone = sigjoin.near_duplicates(docs, NEAR_PERCENT).filter("NOT kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
 
 
 def strip_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

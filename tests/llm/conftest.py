@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-CLASHES = ["kept", "n_words", "key", "block", "shard", "score", "spans", "token", "rep", "id", "label", "part", "kind", "root", "host", "data"]
+CLASHES = ["kept", "n_words", "key", "block", "shard", "score", "spans", "token", "rep", "id", "label", "part", "kind", "root", "host", "data", "gone", "__score", "n", "lang_", "phrase", "cell", "doc"]
 
 
 def prose(rng, n, vocabulary=400):

@@ -63,7 +63,9 @@ def test_pipeline_equals_plain_stages(spark, tmp_path):
             text = " ".join(f"w{rng.randrange(99)}###" for _ in range(80))
         elif i % 10 == 3 and i > 20:
             words = rows[i - 17][1].split(" ")
-            words[len(words) // 2] = "edit"
+            edits = 1 + (i // 10) % 3  # similarities from 0.95 down to about 0.8
+            for j in range(edits):
+                words[(j + 1) * len(words) // (edits + 1)] = "edit"
             text = " ".join(words)
         else:
             text = f"{prose(rng, rng.randrange(60, 90), 3_000)} {passage if i % 4 == 0 else ''} {'token=abcdef123' if i % 7 == 0 else ''} {prose(rng, 40, 3_000)}"
@@ -77,7 +79,7 @@ def test_pipeline_equals_plain_stages(spark, tmp_path):
     good = {r["doc_id"] for r in fmquality.quality_scores(docs, labels).collect() if r["predicted"]}
     assert good == {i for i, r in enumerate(rows) if "###" not in r[1]}
     left = [r[:2] for r in rows if r[0] in good]
-    groups = brute.near_groups(left)
+    groups = brute.near_groups(left, stages.NEAR_PERCENT)
     left = [r for r in left if groups[r[0]][3]]
     assert len(left) < len(good)
     texts = []
