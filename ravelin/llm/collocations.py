@@ -32,7 +32,7 @@ WITHIN_PERCENT = 50  # share of its occurrences within a longer candidate from w
 KEPT = 2_000  # phrases reported per language
 SHARDS = 3
 CHUNK_BYTES = 16 << 20  # text of a block at most
-MERGE_ROWS = 6_000_000  # counts a task sums up before it sends them on
+MERGE_ROWS = 1_000_000  # counts a task sums up before it sends them on
 CELL_BITS = (16, 25)  # least and greatest size of the table of cells, as powers of two
 SALTS = 16  # parts of a language ranked by themselves first
 
@@ -245,26 +245,26 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, s
             break  # whatever became active has seen every shard
     every = spark.read.parquet(*tables).filter("size IS NOT NULL")
     sizes = every.filter("size = 1").groupBy("lang").agg(F.sum("total").alias("n"))
-    rest = every.select("size", "lang", "run").mapInArrow(summed_runs, "size int, lang string, phrase string, n long")
-    exact = rest.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    return materialise(exact), sizes
+    rest = every.select("lang", "run").mapInArrow(summed_runs, "lang string, phrase string, n long")
+    exact = rest.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    return materialise(exact.withColumn("size", F.size(F.split("phrase", " ")))), sizes
 
 
 def summed_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The runs a task reads, MERGE_ROWS at a time, as rows: one per language, length and phrase."""
-    held: dict[tuple, list[pa.Table]] = {}
+    """The runs a task reads, MERGE_ROWS at a time, as rows: one per language and phrase."""
+    held: dict[str, list[pa.Table]] = {}
     rows = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        for (size, lang), tables in held.items():
+        for lang, tables in held.items():
             summed = pa.concat_tables(tables).group_by("phrase", use_threads=False).aggregate([("n", "sum")])
-            fixed = pa.table({"size": pa.array(np.full(len(summed), size, np.int32)), "lang": pa.array([lang], pa.string()).take(pa.array(np.zeros(len(summed), np.int64))), "phrase": summed["phrase"], "n": summed["n_sum"]})
+            fixed = pa.table({"lang": pa.array([lang], pa.string()).take(pa.array(np.zeros(len(summed), np.int64))), "phrase": summed["phrase"], "n": summed["n_sum"]})
             yield from fixed.to_batches(max_chunksize=1 << 16)
 
     for batch in batches:
-        for size, lang, run in zip(*(batch.column(c) for c in ("size", "lang", "run"))):
+        for lang, run in zip(batch.column("lang"), batch.column("run")):
             table = unpacked_run(run.as_py())
-            held.setdefault((size.as_py(), lang.as_py()), []).append(table)
+            held.setdefault(lang.as_py(), []).append(table)
             rows += len(table)
             if rows > MERGE_ROWS:
                 yield from flush()
