@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +19,8 @@ from ravelin.operators.batches import assign_batches, event_batches
 from ravelin.operators.conditions import condition_column, conditions_column, field, group_key
 from ravelin.operators.enrich import enrich, geo_enrich, guarded, ip_range_enrich, put_metadata, text_map, threat_enrich
 from ravelin.operators.evaluate import evaluate
-from ravelin.operators.ingest import reject_reason, summarise
+from ravelin.operators.ingest import batch_counts, reject_reason, rejection_lists, summarise
+from ravelin.operators.keyindex import KeyIndex
 from ravelin.operators.logs import parse_log_lines
 from ravelin.operators.processes import process_diff
 from ravelin.operators.rules import Condition, Rule, Step, load_rules
@@ -25,6 +28,7 @@ from ravelin.operators.severity import classify_severity
 from ravelin.plans.pipeline import alert_counts, enriched_events, run_pipeline, standard_enrichers
 from ravelin.plans.replay import replay
 from ravelin.sources.decode import decode, encode_json, encode_protobuf
+from ravelin.session import ensure_checkpoint_dir, materialise
 from ravelin.sources.topics import alert_records, event_records
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -285,6 +289,34 @@ def ingest_summary(spark, sf_dir):
     )
 
 
+@query(
+    "ingest_counts",
+    with_events(
+        f"""SELECT a.agent_id AS agent_id, d.day AS sequence, coalesce(accepted, 0) AS accepted, coalesce(rejected, 0) AS rejected
+ FROM (SELECT DISTINCT agent_id FROM ev) a CROSS JOIN (SELECT unnest(range(min(ts_us) // {DAY} - 2, max(ts_us) // {DAY} + 1)) AS day FROM ev) d
+ LEFT JOIN (SELECT agent_id, sequence, count(*) FILTER (reason IS NULL) AS accepted, count(*) FILTER (reason IS NOT NULL) AS rejected FROM judged GROUP BY ALL) j
+ ON j.agent_id = a.agent_id AND j.sequence = d.day""",
+        INGEST_SQL,
+    ),
+)
+def ingest_counts(spark, sf_dir):
+    """Batches without events have zeros; events without an id have a null one here."""
+    came = arrivals(spark, sf_dir).withColumn("event_id", F.when(F.col("event_id") != "", F.col("event_id")))
+    first, last = spark_events(spark, sf_dir).agg(F.floor(F.min("ts_us") / DAY), F.floor(F.max("ts_us") / DAY)).first()
+    days = F.explode(F.sequence(F.lit(first - 2), F.lit(last))).alias("sequence")
+    return batch_counts(reject_reason(came), came.select("agent_id").distinct().select("agent_id", days))
+
+
+@query(
+    "rejected_lists",
+    with_events("SELECT agent_id, sequence, event_id, reason FROM judged WHERE reason IS NOT NULL", INGEST_SQL),
+)
+def rejected_lists(spark, sf_dir):
+    """Lists of about three, so that most batches have several."""
+    lists = rejection_lists(reject_reason(arrivals(spark, sf_dir)), 3)
+    return lists.select("agent_id", "sequence", F.inline("rejected_events"))
+
+
 @query(
     "ingest_without_store",
     with_events("SELECT CASE WHEN event_id = '' THEN 'empty event_id' ELSE '' END AS reason, count(*) AS events FROM base GROUP BY ALL", INGEST_SQL),
@@ -574,6 +606,62 @@ def rules_over_copies(spark, sf_dir):
     return fired.groupBy(F.col("group_key").alias("key"), "event_id", us("timestamp").alias("ts_us")).agg(F.count(F.lit(1)).alias("fires"))
 
 
+MANY_RULES = 2_000
+
+
+def many_rules() -> list[Rule]:
+    """Four kinds of rules in turn, each for one user: a failure, a name in the message, two failures in three days,
+    and a failure followed by something else."""
+    rules = []
+    for i in range(MANY_RULES):
+        user = Condition("user", "eq", f"user-{i}")
+        if i % 4 == 0:
+            rules.append(Rule(f"r{i}", "n", "single", conditions=(*kind_is("AUTH_FAILURE"), user), group_by=("user",)))
+        elif i % 4 == 1:
+            rules.append(Rule(f"r{i}", "n", "single", conditions=(Condition("raw_message", "contains", f"user-{i}"),), group_by=("user",)))
+        elif i % 4 == 2:
+            rules.append(Rule(f"r{i}", "n", "threshold", conditions=(*kind_is("AUTH_FAILURE"), user), group_by=("user",), threshold=2, window_micros=3 * DAY))
+        else:
+            steps = (Step((user, *kind_is("AUTH_FAILURE"))), Step((user, Condition("type", "neq", FAILURE))))
+            rules.append(Rule(f"r{i}", "n", "sequence", steps=steps, group_by=("user",), window_micros=5 * DAY))
+    return rules
+
+
+@query(
+    "rules_by_index",
+    with_events(
+        f"""SELECT 'r' || user_id AS rule_id, user_name AS group_key, event_id FROM ev WHERE user_id % 4 = 0 AND type = '{FAILURE}' AND user_id < {MANY_RULES}
+ UNION ALL SELECT 'r' || i, user_name, event_id FROM ev, (SELECT unnest(range(1, {MANY_RULES}, 4)) AS i) WHERE contains(raw_message, 'user-' || i)
+ UNION ALL SELECT 'r' || substr(key, 6), key, id FROM walk1 WHERE fired UNION ALL SELECT 'r' || substr(key, 6), key, id FROM walk2 WHERE fired""",
+        sqltext.threshold(f"SELECT user_name AS key, ts_us AS ts, event_id AS id FROM ev WHERE user_id % 4 = 2 AND type = '{FAILURE}' AND user_id < {MANY_RULES}", 3 * DAY, 2).replace("walk", "walk1").replace("num ", "num1 ")
+        + ", "
+        + sqltext.sequence(f"SELECT user_name AS key, ts_us AS ts, event_id AS id, type = '{FAILURE}' AS s0, type <> '{FAILURE}' AS s1 FROM ev WHERE user_id % 4 = 3 AND user_id < {MANY_RULES}", 5 * DAY, [1, 1]).replace("walk", "walk2").replace("num ", "num2 "),
+    ),
+)
+def rules_by_index(spark, sf_dir):
+    """Two thousand rules; an event is tested only against those its user or its message lead to."""
+    return evaluate(security_events(spark, sf_dir), many_rules(), carried=()).select("rule_id", "group_key", "event_id")
+
+
+@query(
+    "rules_over_null_ids",
+    with_events(
+        """SELECT key AS agent_id, count(*) FILTER (fired) AS fires FROM walk GROUP BY key""",
+        sqltext.threshold(f"SELECT agent_id AS key, ts_us AS ts, CASE WHEN k % 3 = 0 THEN '' ELSE event_id END AS id FROM ev WHERE type = '{FAILURE}'", 3_600_000_000, 3),
+    ),
+)
+def rules_over_null_ids(spark, sf_dir):
+    """A third of the events have no id; they are no copies of each other, in busy groups as in others."""
+    rule = Rule("t", "t", "threshold", conditions=kind_is("AUTH_FAILURE"), group_by=("agent_id",), threshold=3, window_micros=3_600_000_000)
+    events = security_events(spark, sf_dir)
+    k = F.col("metadata")["k"].cast("bigint")
+    events = events.withColumn("event_id", F.when(k % 3 != 0, F.col("event_id")))
+    fired = evaluate(events, [rule], dedup=True, hot_rows=500, chunk_rows=200)
+    counts = fired.groupBy("group_key").agg(F.count(F.lit(1)).alias("fires")).withColumnRenamed("group_key", "of")
+    agents = events.filter(F.col("type") == FAILURE).select("agent_id").distinct()
+    return agents.join(counts, F.col("agent_id") == F.col("of"), "left").select("agent_id", F.coalesce("fires", F.lit(0)).alias("fires"))
+
+
 # ---- the whole path ------------------------------------------------------------------------------------
 
 ERROR_BURST = sqltext.threshold(ERRORS_SQL, 3 * DAY, 3)
@@ -674,6 +762,42 @@ def insert_if_absent_query(spark, sf_dir):
     return persist.absent_rows(incoming, stored).select("event_id", "event_type", "severity", "hostname", "source_ip", "service", us("timestamp").alias("ts_us"))
 
 
+def stored_events(spark, sf_dir) -> DataFrame:
+    """The events inserted through the index of keys in three parts that overlap, the last one twice; read again."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/events-{uuid.uuid4().hex}"
+    ready = persist.event_rows(security_events(spark, sf_dir))
+    number = F.pmod(F.xxhash64("event_id"), F.lit(10))
+    for part in (number < 4, number.between(2, 6), number > 4, number > 4):
+        KeyIndex(spark, path, bucket_keys=1_024).insert(ready.filter(part), F.col("timestamp"))
+    return spark.read.parquet(path)
+
+
+@query("insert_by_index", with_events("SELECT event_id, type AS event_type, hostname, source_ip, service, ts_us FROM ev"))
+def insert_by_index(spark, sf_dir):
+    return stored_events(spark, sf_dir).select("event_id", "event_type", "hostname", "source_ip", "service", us("timestamp").alias("ts_us"))
+
+
+@query(
+    "stored_access_paths",
+    with_events(
+        """SELECT 'source' AS path, event_id, type AS event_type FROM ev WHERE source_ip = '10.0.0.10'
+ UNION ALL SELECT 'host', event_id, type FROM ev WHERE hostname = 'host-4'
+ UNION ALL SELECT 'time', event_id, type FROM ev WHERE ts BETWEEN TIMESTAMP '2024-01-10 06:00:00' AND TIMESTAMP '2024-01-11 18:30:00'"""
+    ),
+)
+def stored_access_paths(spark, sf_dir):
+    """A source, a host and a range of time over the written table."""
+    from ravelin.functions.times import parse_rfc3339
+
+    table = stored_events(spark, sf_dir)
+    parts = {
+        "source": persist.from_source(table, "10.0.0.10"),
+        "host": persist.on_host(table, "host-4"),
+        "time": persist.in_time_range(table, parse_rfc3339("2024-01-10T06:00:00Z"), parse_rfc3339("2024-01-11T18:30:00Z")),
+    }
+    return reduce(DataFrame.unionByName, [rows.select(F.lit(name).alias("path"), "event_id", "event_type") for name, rows in parts.items()])
+
+
 @query("publish_alert_records", with_events("SELECT 'alerts' AS topic, rule_id AS key, count(*) AS records FROM fired GROUP BY ALL", FIRED_SQL))
 def publish_alert_records(spark, sf_dir):
     records = alert_records(A.notification_payload(all_alerts(spark, sf_dir)), "payload")
@@ -713,6 +837,37 @@ def token_bucket_global(spark, sf_dir):
     return A.token_bucket(rows, "ts_us", "event_id", HALF_HOUR, 5).select("event_id", "allowed")
 
 
+@query(
+    "token_bucket_of_copies",
+    with_events(
+        "SELECT id AS event_id, count(*) FILTER (allowed) AS admitted FROM admitted GROUP BY id",
+        sqltext.token_bucket("SELECT 0 AS key, ts_us AS ts, event_id AS id FROM ev CROSS JOIN (VALUES (0), (1), (2)) c(n)", HALF_HOUR, 5),
+    ),
+)
+def token_bucket_of_copies(spark, sf_dir):
+    """Every row three times: each takes a token of its own."""
+    rows = spark_events(spark, sf_dir).select("event_id", "ts_us", F.explode(F.array(F.lit(0), F.lit(0), F.lit(0))).alias("tick"))
+    out = A.token_bucket(rows, "ts_us", "event_id", HALF_HOUR, 5)
+    return out.groupBy("event_id").agg(F.count_if("allowed").alias("admitted"))
+
+
+@query(
+    "token_bucket_in_parts",
+    with_events("SELECT id AS event_id, allowed FROM admitted", sqltext.token_bucket("SELECT type AS key, ts_us AS ts, event_id AS id FROM ev", HALF_HOUR, 3)),
+)
+def token_bucket_in_parts(spark, sf_dir):
+    """The table in parts of seven days in order, as micro-batches take it; the buckets go on from part to part."""
+    rows = spark_events(spark, sf_dir).select("event_id", "ts_us", "type")
+    low, high = rows.agg(F.floor(F.min("ts_us") / DAY), F.floor(F.max("ts_us") / DAY)).first()
+    state, parts = None, []
+    for day in range(low, high + 1, 7):
+        part = rows.filter(F.floor(F.col("ts_us") / DAY).between(day, day + 6))
+        out, state = A.token_bucket_from(part, state, "ts_us", "event_id", HALF_HOUR, 3, ["type"])
+        parts.append(out.select("event_id", "allowed"))
+        state = materialise(state)
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query(
     "token_bucket_per_type",
     with_events("SELECT id AS event_id, allowed FROM admitted", sqltext.token_bucket("SELECT type AS key, ts_us AS ts, event_id AS id FROM ev", HALF_HOUR, 3)),

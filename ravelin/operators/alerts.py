@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from ravelin.functions.durations import duration_micros
 from ravelin.functions.jsontext import canonical_json
 from ravelin.functions.maps import sorted_map
+from ravelin.functions.names import free, hidden
 from ravelin.functions.times import micros, rfc3339
 from ravelin.operators.ordered import HOT_ROWS, first_per_window, in_order
 from ravelin.session import materialise
@@ -22,6 +23,11 @@ SENT, SUPPRESSED, RATE_LIMITED = "sent", "suppressed", "rate_limited"
 DISPATCH_SUBJECT = "alerts.dispatch"
 TICKS_PER_CHUNK = 512
 ONE_BUCKET = "one_bucket"
+#: A bucket between two parts of a table: its key as text, the instant of its last tick, the tokens left then.
+BUCKET_STATE = f"{ONE_BUCKET} string, origin bigint, tokens bigint"
+#: Columns the token bucket adds meanwhile; a caller's columns of these names are set aside.
+BUCKET_RESERVED = {ONE_BUCKET, "bucket_ts", "bucket_tie", "bucket_hash", "bucket_row", "origin", "tick", "cut", "admitted"}
+HASHED = ["string", "long", "integer", "short", "byte", "double", "float", "boolean", "timestamp", "timestamp_ntz", "date", "binary"]
 
 
 def to_alerts(results: DataFrame) -> DataFrame:
@@ -54,13 +60,9 @@ def suppress(
 ) -> DataFrame:
     """Mark the first alert per rule and group; later ones within the window are not kept. The mark is
     anchored on the first kept alert and is still set exactly ``window`` later. Runs on ``created_at``."""
-    keyed = alerts.withColumn("suppression_key", suppression_key()).withColumn(
-        "created_us", F.coalesce(micros(F.col("created_at")), F.lit(0))
-    )
-    marked = first_per_window(
-        keyed, ["suppression_key"], "created_us", ["alert_id"], duration_micros(window), True, flag, hot_rows
-    )
-    return marked.drop("suppression_key", "created_us")
+    key, at = free(alerts, "suppression_key", "created_us")
+    keyed = alerts.withColumn(key, suppression_key()).withColumn(at, F.coalesce(micros(F.col("created_at")), F.lit(0)))
+    return first_per_window(keyed, [key], at, ["alert_id"], duration_micros(window), True, flag, hot_rows).drop(key, at)
 
 
 def refill_micros(rate: float) -> int:
@@ -88,22 +90,51 @@ def token_bucket(
     flag: str = "allowed",
     ticks_per_chunk: int = TICKS_PER_CHUNK,
 ) -> DataFrame:
-    """Mark the rows a token bucket admits. It starts full and gains one token at each multiple of
+    """Mark the rows a token bucket admits; see ``token_bucket_from``."""
+    return token_bucket_from(df, None, ts, tie, interval_micros, capacity, keys, flag, ticks_per_chunk)[0]
+
+
+def token_bucket_from(
+    df: DataFrame,
+    state: DataFrame | None,
+    ts: str,
+    tie: str,
+    interval_micros: int,
+    capacity: int,
+    keys: Sequence[str] = (),
+    flag: str = "allowed",
+    ticks_per_chunk: int = TICKS_PER_CHUNK,
+) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``df`` with what a token bucket admits, and the buckets afterwards (``BUCKET_STATE``). It starts full and gains one token at each multiple of
     ``interval_micros`` from the first row of the key. ``ts`` is a bigint of microseconds.
 
     ``keys=[]`` is one global bucket. Rows are counted per refill tick first. What a run of ticks does to
     the token count has the form ``min(hi, max(lo, x + d))``, which is closed under composition, so chunks
     of ticks are summed up in parallel; the ordered pass sees one row per chunk, for the global bucket in
-    one task (a row per ``ticks_per_chunk`` busy ticks).
+    one task (a row per ``ticks_per_chunk`` busy ticks). Rows of one time go by ``tie``, then by their content; of
+    equal rows as many are admitted as there are tokens. A row without time counts as at time zero. Null keys are
+    keys like others, and other columns may have any names.
+
+    With ``state``, the buckets of earlier rows, a bucket goes on where it stood; a row from before that instant
+    counts as at it. So parts of a table in time order give what the whole table gives.
     """
     one = not keys
-    keys = list(keys) or [ONE_BUCKET]
-    keyed = df.withColumn(ONE_BUCKET, F.lit(0)) if one else df
-    origins = keyed.groupBy(*keys).agg(F.min(ts).alias("origin"))
+    df, name, back = hidden(df, BUCKET_RESERVED)
+    plain = [f.name for f in df.schema.fields if f.dataType.typeName() in HASHED]
+    key = F.lit(ONE_BUCKET) if one else F.to_json(F.struct(*[F.col(name(k)) for k in keys]))
+    keyed = df.withColumn(ONE_BUCKET, key).withColumn("bucket_ts", F.coalesce(name(ts), F.lit(0))).withColumn("bucket_tie", F.col(name(tie)))
+    keyed = keyed.withColumn("bucket_hash", F.xxhash64(*plain)).withColumn("bucket_row", F.monotonically_increasing_id())
+    keys, ts, order = [ONE_BUCKET], "bucket_ts", ["bucket_ts", "bucket_tie", "bucket_hash", "bucket_row"]
+    origins = keyed.groupBy(*keys).agg(F.min(ts).alias("origin"), F.lit(capacity).cast("bigint").alias("at_start"))
+    if state is not None:
+        before = state.select(F.col(ONE_BUCKET).alias("of"), F.col("origin").alias("since"), F.col("tokens").alias("held"))
+        origins = origins.join(before, F.col(ONE_BUCKET) == F.col("of"), "left").select(*keys, F.coalesce("since", "origin").alias("origin"), F.coalesce("held", "at_start").alias("at_start"))
+    origins = materialise(origins)
     # The global bucket has one origin; per-key origins join adaptively, where hot partitions are split.
-    ticked = keyed.join(F.broadcast(origins) if one else origins, keys)
+    starts = origins.drop("at_start")
+    ticked = keyed.join(F.broadcast(starts) if one else starts, keys)
     ticked = ticked.withColumn(
-        "tick", F.floor((F.col(ts) - F.col("origin")) / F.lit(interval_micros)).cast("bigint")
+        "tick", F.greatest(F.floor((F.col(ts) - F.col("origin")) / F.lit(interval_micros)).cast("bigint"), F.lit(0))
     )
     ticked = materialise(ticked.drop("origin"))  # read three times below, without what stands above it
     chunked = (
@@ -124,7 +155,12 @@ def token_bucket(
         "chunk",
         F.aggregate("run", start, lambda s, e: _clamp_after(s, e["tick"], e["arrivals"], capacity)).alias("sum"),
     ).select(*keys, "chunk", "sum.*")
-    entries = _chunk_entries(summed, keys, capacity, ticks_per_chunk)
+    entries = _chunk_entries(summed.join(origins.drop("origin"), keys), keys, capacity, ticks_per_chunk)
+    ends = summed.join(entries, [*keys, "chunk"]).select(*keys, F.col("tick").alias("last"), F.least("hi", F.greatest("lo", F.col("entry") + F.col("d"))).alias("tokens"))
+    ends = ends.groupBy(*keys).agg(F.max_by("tokens", "last").alias("tokens"), F.max("last").alias("last")).join(origins, keys)
+    ends = ends.select(ONE_BUCKET, (F.col("origin") + F.col("last") * interval_micros).alias("origin"), "tokens")
+    if state is not None:
+        ends = ends.unionByName(state.join(ends.select(ONE_BUCKET), ONE_BUCKET, "left_anti").select(*ends.columns))
     opened = F.array(
         F.struct(
             (F.col("chunk") * ticks_per_chunk).alias("tick"),
@@ -146,9 +182,9 @@ def token_bucket(
         .select(*keys, F.inline(F.slice(F.aggregate("run", opened, step), 2, ticks_per_chunk)))
         .select(*keys, "tick", F.col("open").alias("tokens"))
     )
-    within = Window.partitionBy(*keys, "tick").orderBy(ts, tie)
+    within = Window.partitionBy(*keys, "tick").orderBy(*order)
     first_rows = (
-        ticked.select(*keys, "tick", ts, tie)
+        ticked.select(*keys, "tick", *order)
         .withColumn("place", F.row_number().over(within))
         .filter(F.col("place") <= capacity)
     )
@@ -156,10 +192,10 @@ def token_bucket(
         first_rows.join(opens, [*keys, "tick"])
         .filter(F.col("place") <= F.col("tokens"))
         .groupBy(*keys, "tick")
-        .agg(F.max(F.struct(ts, tie)).alias("cut"))
+        .agg(F.max(F.struct(*order)).alias("cut"))
     )
-    admitted = F.coalesce(F.struct(F.col(ts), F.col(tie)) <= F.col("cut"), F.lit(False))
-    return ticked.join(cuts, [*keys, "tick"], "left").select(*df.columns, admitted.alias(flag))
+    admitted = F.coalesce(F.struct(*order) <= F.col("cut"), F.lit(False))
+    return back(ticked.join(cuts, [*keys, "tick"], "left").withColumn("admitted", admitted), F.col("admitted").alias(flag)), ends
 
 
 def _chunk_entries(summed: DataFrame, keys: list[str], capacity: int, ticks_per_chunk: int) -> DataFrame:
@@ -171,12 +207,12 @@ def _chunk_entries(summed: DataFrame, keys: list[str], capacity: int, ticks_per_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, at = capacity, 0
         for batch in batches:
-            parts = zip(*[batch.column(n).to_pylist() for n in ("place", "chunk", "tick", "lo", "hi", "d")])
+            parts = zip(*[batch.column(n).to_pylist() for n in ("place", "chunk", "tick", "lo", "hi", "d", "at_start")])
             entries = []
-            for place, chunk, tick, low, high, shift in parts:
+            for place, chunk, tick, low, high, shift, start in parts:
                 begins = chunk * ticks_per_chunk
                 if place == 1:
-                    tokens, at = capacity, begins
+                    tokens, at = start, 0
                 tokens = min(capacity, tokens + begins - at)
                 entries.append(tokens)
                 tokens, at = min(high, max(low, tokens + shift)), tick
@@ -186,6 +222,11 @@ def _chunk_entries(summed: DataFrame, keys: list[str], capacity: int, ticks_per_
     return in_order(summed, names, ["chunk"]).mapInArrow(run, schema)
 
 
+def refill(rate: float, interval_micros: int | None, capacity: int | None) -> tuple[int, int]:
+    """The interval of a token and what the bucket holds, which is twice the whole rate if not given."""
+    return interval_micros or refill_micros(rate), 2 * int(rate) if capacity is None else capacity
+
+
 def decide(
     alerts: DataFrame,
     window: str = "300s",
@@ -200,22 +241,21 @@ def decide(
     An alert that is rate-limited has already silenced its successors. The bucket holds twice the whole
     rate; it is global unless ``keys`` names columns (for example ``rule_id``).
     """
-    marked = suppress(alerts, window, "kept", hot_rows).withColumn(
-        "created_us", F.coalesce(micros(F.col("created_at")), F.lit(0))
-    )
+    kept, at, allowed = free(alerts, "kept", "created_us", "allowed")
+    marked = suppress(alerts, window, kept, hot_rows).withColumn(at, F.coalesce(micros(F.col("created_at")), F.lit(0)))
     marked = materialise(marked)  # one suppression pass for both kinds of rows
-    survivors = marked.filter("kept").drop("kept")
+    survivors = marked.filter(F.col(kept)).drop(kept)
     limited = token_bucket(
         survivors,
-        "created_us",
+        at,
         "alert_id",
-        interval_micros or refill_micros(rate),
-        2 * int(rate) if capacity is None else capacity,
+        *refill(rate, interval_micros, capacity),
         keys,
+        allowed,
     )
-    decided = limited.withColumn("decision", F.when(F.col("allowed"), SENT).otherwise(RATE_LIMITED)).drop("allowed")
-    silenced = marked.filter(~F.col("kept")).drop("kept").withColumn("decision", F.lit(SUPPRESSED))
-    return decided.unionByName(silenced).drop("created_us")
+    decided = limited.withColumn("decision", F.when(F.col(allowed), SENT).otherwise(RATE_LIMITED)).drop(allowed)
+    silenced = marked.filter(~F.col(kept)).drop(kept).withColumn("decision", F.lit(SUPPRESSED))
+    return decided.unionByName(silenced).drop(at)
 
 
 def payload_column() -> Column:

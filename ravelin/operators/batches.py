@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ravelin.functions.durations import duration_micros
+from ravelin.functions.names import hidden
 
 
 def assign_batches(
@@ -14,8 +15,11 @@ def assign_batches(
     """Adds ``sequence``, counting from 1 per agent. Ticks fall on multiples of ``interval`` from
     ``origin`` (a bigint column; the agent's first row when absent) and are not moved by a full batch.
 
-    Rows are numbered inside ``(agent, tick)`` only; the sequence number comes from batch counts per tick.
+    Rows are numbered inside ``(agent, tick)`` only; the sequence number comes from batch counts per tick. Other
+    columns may have any names.
     """
+    df, name, back = hidden(df, {"tick", "chunk", "first_us", "batches", "before"})
+    ts, tie, origin = name(ts), name(tie), origin and name(origin)
     size = size if size > 0 else 100
     step = duration_micros(interval)
     step = step if step > 0 else duration_micros("5s")
@@ -32,9 +36,7 @@ def assign_batches(
         "agent_id", "tick", F.coalesce(F.sum("batches").over(earlier), F.lit(0)).alias("before")
     )
     joined = chunked.join(starts, ["agent_id", "tick"])
-    return joined.withColumn("sequence", (F.col("before") + F.col("chunk") + 1).cast("bigint")).select(
-        *df.columns, "sequence"
-    )
+    return back(joined.withColumn("sequence", (F.col("before") + F.col("chunk") + 1).cast("bigint")), "sequence")
 
 
 def event_batches(assigned: DataFrame, ts: str, tie: str) -> DataFrame:

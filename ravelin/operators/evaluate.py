@@ -8,6 +8,7 @@ is inside the window, which a lag decides natively, so few rows reach the ordere
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from functools import reduce
 
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from ravelin.functions.times import micros
 from ravelin.operators import rules as R
 from ravelin.operators.conditions import conditions_column, group_key
+from ravelin.operators.ruleindex import INDEXED_FROM, STORED_FIELDS, match_indexed
 from ravelin.session import materialise
 from ravelin.operators.ordered import (
     CHUNK_ROWS,
@@ -33,7 +35,6 @@ from ravelin.operators.ordered import (
 
 KEYS = ["rule_ix", "group_key"]
 ORDER = ["ts", "event_id"]
-STORED_FIELDS = ["type", "event_type", "hostname", "source_ip", "destination_ip", "user", "process", "service", "agent_id"]
 CARRIED = ("timestamp", "metadata")
 NO_RULE = R.Rule("none", "none", R.SINGLE)
 
@@ -69,7 +70,8 @@ def _group_keys(rules: Sequence[tuple[int, R.Rule]]) -> Column:
 
 def per_rule(values: dict[int, int]) -> Column:
     """The value of the row's rule, looked up by position in a literal array."""
-    return F.get(F.array(*[F.lit(values.get(i, 0)).cast("bigint") for i in range(max(values) + 1)]), F.col("rule_ix"))
+    told = json.dumps([values.get(i, 0) for i in range(max(values) + 1)])
+    return F.get(F.from_json(F.lit(told), "array<bigint>"), F.col("rule_ix"))
 
 
 def _needed(rules: Sequence[tuple[int, R.Rule]]) -> Column | None:
@@ -91,9 +93,13 @@ def _needed(rules: Sequence[tuple[int, R.Rule]]) -> Column | None:
     return reduce(Column.__or__, alternatives) if alternatives else None
 
 
-def match(df: DataFrame, rules: Sequence[tuple[int, R.Rule]], carried: Sequence[str]) -> DataFrame:
-    """One row per (event, rule) whose conditions, or any step's conditions, hold. All rules are one compiled
-    projection: a number per rule, nulls removed, exploded. An event without time counts as at time zero."""
+def match(df: DataFrame, rules: Sequence[tuple[int, R.Rule]], carried: Sequence[str], indexed_from: int = INDEXED_FROM) -> DataFrame:
+    """One row per (event, rule) whose conditions, or any step's conditions, hold. Up to ``indexed_from`` rules are one
+    compiled projection: a number per rule, nulls removed, exploded; more are found through an index. An event without
+    time counts as at time zero; one without an id has the empty id."""
+    at, named = F.coalesce(micros(F.col("timestamp")), F.lit(0)).alias("ts"), F.coalesce("event_id", F.lit("")).alias("event_id")
+    if len(rules) >= indexed_from:
+        return match_indexed(df, rules).select("rule_ix", "group_key", "steps", at, named, *carried)
     needed = _needed(rules)
     df = df if needed is None else df.filter(needed)
     bits = _step_bits(rules)
@@ -103,8 +109,8 @@ def match(df: DataFrame, rules: Sequence[tuple[int, R.Rule]], carried: Sequence[
         "rule_ix",
         _group_keys(rules).alias("group_key"),
         F.col("hit").bitwiseAND(F.lit((1 << bits) - 1).cast("bigint")).alias("steps"),
-        F.coalesce(micros(F.col("timestamp")), F.lit(0)).alias("ts"),
-        "event_id",
+        at,
+        named,
         *carried,
     )
 
@@ -257,7 +263,12 @@ def _once(matched: DataFrame) -> DataFrame:
 
 
 def constants(results: DataFrame, rules: Sequence[R.Rule]) -> DataFrame:
-    """Adds ``rule``, the fixed text of each rule, from a literal array indexed by position."""
+    """Adds ``rule``, the fixed text of each rule, from a literal array indexed by position, or for many rules from a
+    broadcast table."""
+    if len(rules) >= INDEXED_FROM:
+        rows = [(i, (r.id, r.name, r.severity, r.severity_name, {R.SINGLE: 1, R.THRESHOLD: r.threshold}.get(r.type, len(r.steps)), list(r.tags))) for i, r in enumerate(rules)]
+        text = "rule_id:string,rule_name:string,rule_severity:string,severity:string,event_count:bigint,tags:array<string>"
+        return results.join(F.broadcast(results.sparkSession.createDataFrame(rows, f"rule_ix int, rule struct<{text}>")), "rule_ix")
     fixed = []
     for rule in list(rules) or [NO_RULE]:
         count = {R.SINGLE: 1, R.THRESHOLD: rule.threshold}.get(rule.type, len(rule.steps))

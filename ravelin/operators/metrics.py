@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ravelin.functions.durations import duration_micros
 from ravelin.functions.maps import sorted_map
+from ravelin.functions.names import hidden
 
 # Upper bounds of the latency buckets, in seconds.
 LATENCY_BOUNDS = [0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 5.0]
@@ -26,24 +27,23 @@ def counter_rate(samples: DataFrame, keys: Sequence[str], ts: str = "ts_us", val
 
     Increases count between neighbours that both lie in the window; after a reset the new value is the
     increase. ``ts`` is a bigint of microseconds. A series is cut into slabs of time; a sample also goes
-    to the next slab while it is inside that slab's first window, so a long series spreads over tasks.
+    to the next slab while it is inside that slab's first window, so a long series spreads over tasks. Samples of
+    one time go by their value. Other columns may have any names.
     """
+    samples, name, back = hidden(samples, {"home", "slab", "step"})
+    keys, ts, value = [name(k) for k in keys], name(ts), name(value)
     span = duration_micros(window)
     slab = span * SLAB_WINDOWS
     home = F.floor(F.col(ts) / F.lit(slab)).cast("bigint")
     reach = F.floor((F.col(ts) + span - 1) / F.lit(slab)).cast("bigint")
     spread = samples.withColumn("home", home).withColumn("slab", F.explode(F.sequence(F.col("home"), reach)))
     along = Window.partitionBy(*keys, "slab").orderBy(ts)
-    before = F.lag(value).over(along)
+    before = F.lag(value).over(Window.partitionBy(*keys, "slab").orderBy(ts, value))
     grown = F.when(F.col(value) >= before, F.col(value) - before).otherwise(F.col(value))
     inside = along.rangeBetween(-(span - 1), 0)
     stepped = spread.withColumn("step", F.when(before.isNull(), 0.0).otherwise(grown))
-    total = F.sum("step").over(inside) - F.first("step").over(inside)
-    return (
-        stepped.withColumn("rate", total / (span / 1_000_000))
-        .filter(F.col("slab") == F.col("home"))
-        .select(*samples.columns, "rate")
-    )
+    total = F.sum("step").over(inside) - F.min(F.struct(ts, value, "step")).over(inside)["step"]
+    return back(stepped.withColumn("rate", total / (span / 1_000_000)).filter(F.col("slab") == F.col("home")), "rate")
 
 
 def bucketize(

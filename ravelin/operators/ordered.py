@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ravelin.functions.names import free, hidden
 from ravelin.session import materialise
 
 HOT_ROWS = 2_000_000
@@ -32,16 +33,18 @@ SEED = 7
 FAR = 2**62
 AT = "ordered_at"
 START, REACH = ("start_a", "start_b"), ("reach_a", "reach_b")
+#: Columns that decisions per window add meanwhile; a caller's columns of these names are set aside.
+RESERVED = {AT, *START, *REACH, "place", "alone", "rn", "slab", "spread", "hot_n", "n", "size_rn", "offset_rn", "entry_a", "entry_b", *(f"chunk_{i}" for i in range(9))}
 
 
-def in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+def in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str], place: str = "place") -> DataFrame:
     """Each key in one partition and in order, with ``place`` counting from 1.
 
     A window asks for the placement, so adaptive execution keeps it. A bare ``repartition`` may be merged
     with the exchange of a join below it, which can then be read map by map once the join broadcasts.
     """
     along = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("place", F.row_number().over(along))
+    return df.withColumn(place, F.row_number().over(along))
 
 
 def pick_in_order(
@@ -58,12 +61,13 @@ def pick_in_order(
     answer becomes a boolean column.
     """
     names, input_names, keep_all = df.columns, list(inputs), flag is not None
+    (number,) = free(df, "place")
     schema = T.StructType(list(df.schema.fields) + ([T.StructField(flag, T.BooleanType())] if keep_all else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decide = picker()
         for batch in batches:
-            values = zip(*[batch.column(name).to_pylist() for name in ("place", *input_names)])
+            values = zip(*[batch.column(name).to_pylist() for name in (number, *input_names)])
             mask = pa.array([decide(place == 1, *row) for place, *row in values], pa.bool_())
             columns = [batch.column(name) for name in names]
             if keep_all:
@@ -73,7 +77,7 @@ def pick_in_order(
                 if kept.num_rows:
                     yield kept
 
-    return in_order(df, keys, order).mapInArrow(run, schema)
+    return in_order(df, keys, order, number).mapInArrow(run, schema)
 
 
 def interval_picker() -> Callable[..., bool]:
@@ -323,9 +327,11 @@ def first_per_window(
     """Mark the first row per key, and each next one once the window after the last marked row is over.
 
     ``ts`` is a bigint of microseconds. ``inclusive`` windows still cover a row exactly ``window`` later.
-    A covered row does not renew the window. A row without time counts as at time zero, on every path.
+    A covered row does not renew the window. A row without time counts as at time zero, on every path. Other
+    columns may have any names; they come out as they were.
     """
-    keys = list(keys)
+    df, name, back = hidden(df, RESERVED)
+    keys, ts, tie = [name(k) for k in keys], name(ts), [name(t) for t in tie]
     span = window_micros if inclusive else window_micros - 1
 
     def picker():
@@ -344,7 +350,7 @@ def first_per_window(
     df = df.withColumn(AT, F.coalesce(F.col(ts), F.lit(0)))
     hot = hot_keys(df, keys, AT, hot_rows)
     if hot is None:
-        return _first_ordinary(df, keys, tie, span, picker, flag).select(*columns, flag)
+        return back(_first_ordinary(df, keys, tie, span, picker, flag), flag)
     cold, warm = split_hot(df, keys, hot)
     ranked = rank_hot(warm, keys, AT, tie, hot, hot_rows)
     nodes = ranked.select(
@@ -356,7 +362,7 @@ def first_per_window(
         F.lit(FAR).alias("reach_b"),
     )
     marked = pick_hot(nodes, keys, "rn", flag, hot_rows, chunk_rows).select(*columns, flag)
-    return _first_ordinary(cold, keys, tie, span, picker, flag).select(*columns, flag).unionByName(marked)
+    return back(_first_ordinary(cold, keys, tie, span, picker, flag).select(*columns, flag).unionByName(marked), flag)
 
 
 def _first_ordinary(df: DataFrame, keys: list[str], tie: Sequence[str], span: int, picker, flag: str) -> DataFrame:

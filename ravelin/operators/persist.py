@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
+from ravelin.functions.names import free
 from ravelin.functions.times import instant
 
+CURVE_BITS = 8  # of each column's hash
+FILTERED = ["source_ip", "hostname"]
+FILTER_VALUES = 65_536  # distinct values a file's filter is made for
+ROW_GROUP_BYTES = 32 << 20
+
 TABLE_COLUMNS = [
     "event_id", "event_type", "severity", "hostname", "source_ip", "destination_ip", "service", "timestamp", "raw_data",
 ]
@@ -56,19 +63,34 @@ def read_table(spark: SparkSession, path: str) -> DataFrame | None:
 def insert_if_absent(rows: DataFrame, path: str, key: str = "event_id", created_at=None) -> None:
     """Append the rows whose key is not in the table at ``path``, partitioned by date.
 
-    A repeated micro-batch adds nothing. One writer at a time: Parquet has no transactions.
+    A repeated micro-batch adds nothing. One writer at a time: Parquet has no transactions. Every call reads the ids
+    of the whole table; ``keyindex.KeyIndex`` reads only those a batch can meet.
     """
     stored = read_table(rows.sparkSession, path)
-    fresh = first_by(rows, key, "timestamp") if stored is None else absent_rows(rows, stored, key)
+    append_rows(first_by(rows, key, "timestamp") if stored is None else absent_rows(rows, stored, key), path, created_at)
+
+
+def append_rows(fresh: DataFrame, path: str, created_at=None) -> None:
+    """Rows into the folder of their date, along a curve that interleaves hashes of source and host, then in time. Files
+    are cut by ranges of that order and the row's own hash, so no task is bound to one pair of source and host, and each
+    holds a small share of the sources and of the hosts. Filters in the files tell which: a query by either skips the
+    others."""
     stamped = fresh.withColumn("created_at", created_at if created_at is not None else F.current_timestamp())
     dated = stamped.withColumn("date", F.to_date("timestamp"))
-    (
-        dated.repartition("date", F.pmod(F.hash("source_ip", "hostname"), F.lit(64)))
-        .sortWithinPartitions("date", "source_ip", "hostname", "timestamp")
-        .write.mode("append")
-        .partitionBy("date")
-        .parquet(path)
-    )
+    curve, spread = free(dated, "curve", "spread")
+    placed = dated.withColumn(curve, interleaved("source_ip", "hostname")).withColumn(spread, F.xxhash64("event_id" if "event_id" in dated.columns else curve))
+    ranged = placed.repartitionByRange("date", curve, spread).sortWithinPartitions("date", curve, "timestamp").drop(curve, spread)
+    writer = ranged.write.mode("append").partitionBy("date").option("parquet.block.size", ROW_GROUP_BYTES)
+    for column in FILTERED:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true").option(f"parquet.bloom.filter.expected.ndv#{column}", FILTER_VALUES)
+    writer.parquet(path)
+
+
+def interleaved(*columns: str) -> Column:
+    """The bits of the columns' hashes in turn, as one number: neighbours on it agree in the first bits of each."""
+    hashes = [F.xxhash64(c) for c in columns]
+    bits = [F.shiftright(h, 63 - i).bitwiseAND(1) for i in range(CURVE_BITS) for h in hashes]
+    return reduce(lambda number, bit: number * 2 + bit, bits)
 
 
 def in_time_range(events: DataFrame, start: datetime, end: datetime, column: str = "timestamp") -> DataFrame:

@@ -1,10 +1,14 @@
 import os
+import random
 from pathlib import Path
 
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from checks.fixture import security_events, threats
 from checks.queries import RULES_DIR
+from ravelin.operators import alerts as A
 from ravelin.operators.alerts import suppress
 from ravelin.operators.evaluate import evaluate
 from ravelin.operators.ingest import reject_reason
@@ -13,6 +17,8 @@ from ravelin.plans.pipeline import enriched_events, run_pipeline, standard_enric
 from ravelin.sources.decode import decode
 from ravelin.sources.files import stream_parquet
 from ravelin.streaming import jobs
+from ravelin.streaming.processors import RING_BLOCK, OrderedProcessor, Ring, threshold_fold, window_fold
+from tests import brute
 
 
 def run_to_end(stream, folder, name):
@@ -134,3 +140,147 @@ def test_pipeline_stream_equals_batch(spark, sf_dir, tmp_path):
     assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
     severities = run_to_end(out.events.select("event_id", "severity"), tmp_path, "events_out")
     assert severities.count() == events.count()
+
+
+@pytest.mark.parametrize("keys", [(), ("rule_id",)])
+def test_decisions_stream_equals_batch(spark, sf_dir, tmp_path, keys):
+    """Suppression and the rate limit over micro-batches, for one bucket and for one per rule; the last batch again."""
+    from checks.queries import error_alerts
+
+    alerts = error_alerts(spark, sf_dir).withColumn("rule_id", F.concat("rule_id", F.pmod(F.xxhash64("alert_id"), F.lit(3)).cast("string")))
+    stored = spark.read.parquet(as_files(alerts, tmp_path, "created_at"))
+    stream, limits = stream_parquet(spark, str(tmp_path / "in"), stored.schema, 1), {"keys": keys, "interval_micros": 6 * 3_600_000_000, "capacity": 2}
+    out, state = str(tmp_path / "out"), str(tmp_path / "buckets")
+    seen = []
+
+    def sink(batch, batch_id):
+        seen.append(batch_id)
+        batch.select("alert_id", "decision").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    for again in (False, True):
+        if again:  # as if the query had ended before the last batch was committed
+            for name in (f"{seen[-1]}", f".{seen[-1]}.crc"):
+                os.remove(tmp_path / "checkpoint" / "commits" / name)
+        writer = jobs.stream_decide(stream, sink, state, "12h", "1 minute", **limits)
+        query = writer.option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start()
+        query.awaitTermination(300)
+        assert query.exception() is None
+    assert len(seen) > len(set(seen)) and len(jobs.batch_numbers(spark, state)) <= 3
+    mark = newest_passed(stored, "created_at", 60_000_000) // 1000 * 1000
+    want = A.decide(stored, "12h", **limits).filter(F.unix_micros("created_at") <= mark)
+    want = sorted(map(tuple, want.select("alert_id", "decision").collect()))
+    assert sorted(map(tuple, spark.read.parquet(out).select("alert_id", "decision").collect())) == want
+    assert {d for _, d in want} == {A.SENT, A.SUPPRESSED, A.RATE_LIMITED}
+
+
+class FakeMap:
+    def __init__(self):
+        self.rows, self.reads, self.bytes = {}, 0, 0
+
+    def containsKey(self, key):
+        return key in self.rows
+
+    def getValue(self, key):
+        self.reads, self.bytes = self.reads + 1, self.bytes + len(self.rows[key][0])
+        return self.rows[key]
+
+    def updateValue(self, key, value):
+        self.rows[key] = value
+
+    def removeKey(self, key):
+        self.rows.pop(key, None)
+
+    def exists(self):
+        return bool(self.rows)
+
+    def clear(self):
+        self.rows.clear()
+
+
+class FakeValue(FakeMap):
+    def get(self):
+        return self.rows["value"]
+
+    def update(self, value):
+        self.rows["value"] = tuple(value)
+
+
+class FakeHandle:
+    def __init__(self):
+        self.states, self.timers = {}, set()
+
+    def getMapState(self, name, *_):
+        return self.states.setdefault(name, FakeMap())
+
+    def getValueState(self, name, *_):
+        return self.states.setdefault(name, FakeValue())
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+
+class Clock:
+    def __init__(self, mark):
+        self.mark = mark
+
+    def getCurrentWatermarkInMs(self):
+        return self.mark
+
+
+def driven(fold, batches, delay_us=1_000_000, end=10**9):
+    """Runs the processor on plain objects, as the engine does: rows, then timers the watermark has passed."""
+    processor = OrderedProcessor(lambda key: fold, fold.schema, ["key"], False, delay_us)
+    handle, out, costs = FakeHandle(), [], []
+    processor.init(handle)
+    for mark, rows in [*batches, (end, []), (end + 10, [])]:
+        if rows:
+            frame = pd.DataFrame(rows, columns=["ts", "id", "steps", "payload"])
+            list(processor.handleInputRows(("k",), iter([frame]), Clock(mark)))
+        before = handle.states["waiting"].bytes
+        for timer in sorted(t for t in handle.timers if t < mark):
+            handle.timers.discard(timer)
+            for frame in processor.handleExpiredTimer(("k",), Clock(mark), None):
+                out += frame.id.tolist()
+        costs.append(handle.states["waiting"].bytes - before)
+    return out, costs, handle
+
+
+@pytest.mark.parametrize("wanted", [1, 2, 5, 700, 1500])
+def test_ring_equals_the_plain_threshold(wanted):
+    rng = random.Random(wanted)
+    rows = sorted((rng.randrange(3_000_000), f"e{i:05d}") for i in range(6_000))
+    batches = [(rows[i + 199][0] // 1000, [(t, n, 1, None) for t, n in rows[i : i + 200]]) for i in range(0, len(rows), 200)]
+    fired, _, handle = driven(threshold_fold(900_000, wanted), batches)
+    assert sorted(fired) == brute.threshold([("k", *r) for r in rows], 900_000, wanted)
+    assert not handle.states["ring"].rows and not handle.states["waiting"].rows and not handle.states["folded"].rows
+
+
+def test_cost_of_a_high_threshold_is_flat():
+    """A million arrivals of one key and a threshold of a million: blocks read and written per arrival stay constant."""
+    store = FakeMap()
+    fold, state, ring = threshold_fold(10**12, 300_000), (0, None), Ring(store)
+    costs, fires = [], 0
+    for i in range(1_000_000):
+        state, fired = fold.step(state, i, 1, ring)
+        fires += fired
+        if (i + 1) % 100_000 == 0:
+            ring.save()
+            costs.append(ring.reads + ring.writes)
+            ring = Ring(store)
+    assert fires == 3 and max(costs) <= 2 * 100_000 / RING_BLOCK + 20 and len(store.rows) <= 300_000 / RING_BLOCK + 2
+
+
+def test_a_timer_reads_what_is_due_and_not_what_waits():
+    """Rows far ahead of the watermark wait unread, however many they are."""
+    fold = window_fold(1_000, True)
+    near = [(100 + i, [(100_000 * i + j, f"n{i}-{j}", 0, None) for j in range(5)]) for i in range(1, 30)]
+    _, costs, _ = driven(fold, near)
+    far = [(500_000_000 + i * 10_000, f"f{i}", 0, None) for i in range(20_000)]
+    _, more, _ = driven(fold, [(1, far), *near])
+    assert max(more[1 : len(near)]) <= max(costs) + 200
+
+
+def test_null_ids_in_state(spark):
+    rows = [(5_000, None, 0, None), (5_000, "a", 0, None), (5_000, None, 0, "p"), (4_000, None, 0, None)]
+    fired, _, _ = driven(threshold_fold(10_000, 2), [(1, rows)])
+    assert fired == ["", "a"]
