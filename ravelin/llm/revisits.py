@@ -56,7 +56,7 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     ``payload`` reference and the merged ``headers``.
 
     ``records`` has ``record_id``, ``url``, ``kind`` (``response`` or ``revisit``; others are ignored), ``fetched_at``
-    (a number), ``etag``, ``last_modified``, ``headers`` (map) and ``payload``, a reference to the stored content. A
+    (a number, whole or fractional), ``etag``, ``last_modified``, ``headers`` (map) and ``payload``, a reference to the stored content. A
     response at the very time of a revisit is not before it; of responses at one time the largest ``record_id``
     counts. A revisit without URL or time is an orphan, a response without them answers for none. Repeated revisits
     give repeated rows."""
@@ -69,7 +69,8 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     tails = dealt.groupBy("canonical_url", "slab").agg(F.max("full").alias("tail"))
     before = Window.partitionBy("canonical_url").orderBy("slab").rowsBetween(Window.unboundedPreceding, -1)
     carried = tails.select(F.col("canonical_url").alias("u"), F.col("slab").alias("s"), F.last("tail", ignorenulls=True).over(before).alias("carried")).filter("carried IS NOT NULL")
-    earlier = Window.partitionBy("canonical_url", "slab").orderBy("fetched_at").rangeBetween(Window.unboundedPreceding, -1)
+    # At one time revisits stand before responses, so the rows before a revisit are earlier, in whatever unit.
+    earlier = Window.partitionBy("canonical_url", "slab").orderBy("fetched_at", F.col("kind") == "response").rowsBetween(Window.unboundedPreceding, -1)
     found = dealt.withColumn("own", F.max("full").over(earlier)).filter("kind = 'revisit'").drop("full")
     found = found.join(carried, (F.col("canonical_url") == F.col("u")) & (F.col("slab") == F.col("s")), "left")
     found = found.select(*columns, "canonical_url", F.coalesce("own", "carried").alias("full"))

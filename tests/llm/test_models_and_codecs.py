@@ -68,6 +68,19 @@ def test_revisits_of_a_busy_url(spark):
     assert resolve(spark, []) == {}
 
 
+@pytest.mark.parametrize("partitions", ["2", "7"])
+def test_revisits_at_fractional_times(spark, partitions):
+    """A response half a unit earlier answers, on both sides of a range's border."""
+    rows = [(i, "http://busy/", "response" if i % 2 else "revisit", 10 + i / 4 - i % 3, '"a"', None, None, f"p{i}") for i in range(60)]
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        found = revisits.resolve_revisits(spark.createDataFrame(rows, RECORD.replace("fetched_at long", "fetched_at double"))).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+    want = {r[0]: max(((x[3], x[0]) for x in rows if x[2] == "response" and x[3] < r[3]), default=(None, None))[1] for r in rows if r[2] == "revisit"}
+    assert {r["record_id"]: r["response_id"] for r in found} == want
+
+
 def plain_nearest(rows, queries, k):
     def good(v):
         return v and all(x is not None and np.isfinite(x) for x in v) and any(v)
