@@ -40,6 +40,11 @@ def process_diff(snapshots: DataFrame, agent_id: str = "") -> DataFrame:
     changes = shape(started, "EVENT_TYPE_PROCESS_START", "snapshot_ts").unionByName(
         shape(stopped, "EVENT_TYPE_PROCESS_STOP", "next_ts")
     )
+    return change_events(changes, agent_id)
+
+
+def change_events(changes: DataFrame, agent_id: str = "") -> DataFrame:
+    """``(type, timestamp, host, pid, process)`` as events; the id is a hash, so a rerun gives the same."""
     return normalise_events(
         changes.select(
             F.sha2(
