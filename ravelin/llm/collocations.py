@@ -211,6 +211,7 @@ def scan_shard(shard: DataFrame, since: bytes, bits: int, scan: int, shards: int
                         add_capped(sums, cells, n)
                     row = [[size], lang.as_py(), int(n.sum()), packed_run(phrases, n), None, None]
                     yield pa.record_batch([pa.array(x if isinstance(x, list) else [x], f.type) for x, f in zip(row, _ROW)], schema=_ROW)
+        pa.default_memory_pool().release_unused()
         for sent in table_parts(sums):
             rows = sent.num_rows
             yield pa.record_batch([pa.nulls(rows, f.type) for f in list(_ROW)[:4]] + sent.columns, schema=_ROW)
@@ -246,7 +247,8 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, s
     every = spark.read.parquet(*tables).filter("size IS NOT NULL")
     sizes = every.filter("size = 1").groupBy("lang").agg(F.sum("total").alias("n"))
     rest = every.select("lang", "run").mapInArrow(summed_runs, "lang string, phrase string, n long")
-    exact = rest.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    # Rows meet before they are grouped: a table of groups in front of the exchange would find nothing more to sum up.
+    exact = rest.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     return materialise(exact.withColumn("size", F.size(F.split("phrase", " ")))), sizes
 
 
@@ -270,6 +272,7 @@ def summed_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield from flush()
                 held, rows = {}, 0
     yield from flush()
+    pa.default_memory_pool().release_unused()
 
 
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, within_percent: int = WITHIN_PERCENT, kept: int = KEPT, shards: int = SHARDS) -> DataFrame:
