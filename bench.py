@@ -116,6 +116,7 @@ def main() -> None:
         scaled = round(alerts_at(spark, sf_dir, 10, folder), 3)
         batch = round(micro_batch(spark, sf_dir, folder), 3)
     rules_500 = round(min(many_rules(spark, sf_dir, 500) for _ in range(2)), 3)
+    rules_2000 = round(min(many_rules(spark, sf_dir, 2_000) for _ in range(2)), 3)
     print(
         json.dumps(
             {
@@ -128,6 +129,7 @@ def main() -> None:
                 "events_per_second_alert_path": round(events / times["alerts"]),
                 "alerts_tenfold_seconds": scaled,
                 "rules_500_seconds": rules_500,
+                "rules_2000_seconds": rules_2000,
                 "micro_batch_seconds": batch,
                 "events_per_second_tenfold": round(10 * events / scaled),
             }

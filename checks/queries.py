@@ -24,6 +24,7 @@ from ravelin.operators.keyindex import KeyIndex
 from ravelin.operators.logs import parse_log_lines
 from ravelin.operators.processes import process_diff
 from ravelin.operators.rules import Condition, Rule, Step, load_rules
+from ravelin.operators.segments import ip_segment_enrich, segment_chunks
 from ravelin.operators.severity import classify_severity
 from ravelin.plans.pipeline import alert_counts, enriched_events, run_pipeline, standard_enrichers
 from ravelin.plans.replay import replay
@@ -429,6 +430,32 @@ def geo_range_enrichment(spark, sf_dir):
     return out.select("event_id", field("geo_country").alias("geo_country"), field("geo_asn").alias("geo_asn"))
 
 
+@query(
+    "geo_segment_enrichment",
+    with_events(
+        """SELECT event_id, six, CASE WHEN user_id % 5 = 3 THEN CASE WHEN (user_id // 256) % 256 < 2 THEN 'AA' WHEN user_id % 256 = 7 THEN 'DD' ELSE 'BB' END
+  WHEN user_id % 5 = 4 THEN 'CC' ELSE '' END AS geo_country FROM ev, (VALUES (FALSE), (TRUE)) v(six)"""
+    ),
+)
+def geo_segment_enrichment(spark, sf_dir):
+    """Wide, narrow and single-address ranges over each other; every event once from its IPv4 address and once from an
+    IPv6 address that ends in it."""
+    raw = spark_events(spark, sf_dir)
+    nets = raw.filter("user_id % 5 in (3, 4)").select(F.substring_index("source_ip", ".", 2).alias("net"), (F.col("user_id") % 5).alias("class")).distinct()
+    span = lambda low, high, country: F.struct(low.alias("first_ip"), high.alias("last_ip"), F.lit(country).alias("country"))
+    net = F.col("net")
+    wide = nets.filter("class = 3").select(F.inline(F.array(
+        span(F.concat(net, F.lit(".0.0")), F.concat(net, F.lit(".255.255")), "BB"), span(F.concat(net, F.lit(".0.0")), F.concat(net, F.lit(".1.255")), "AA"))))
+    single = raw.filter("user_id % 5 = 3 AND user_id % 256 = 7 AND floor(user_id / 256) % 256 >= 2").select(F.inline(F.array(span(F.col("source_ip"), F.col("source_ip"), "DD")))).distinct()
+    other = nets.filter("class = 4").select(F.inline(F.array(span(F.lit("185.0.0.0"), F.lit("185.255.255.255"), "CC")))).distinct()
+    four = wide.unionByName(single).unionByName(other)
+    six = four.select(*[F.concat(F.lit("2001:db8::"), c).alias(c) for c in ("first_ip", "last_ip")], "country")
+    ranges = four.unionByName(six).select("*", F.lit("somewhere").alias("city"), F.lit(1).alias("asn"))
+    twice = security_events(spark, sf_dir).withColumn("six", F.explode(F.array(F.lit(False), F.lit(True))))
+    twice = twice.withColumn("source_ip", F.when(F.col("six"), F.concat(F.lit("2001:db8::"), "source_ip")).otherwise(F.col("source_ip")))
+    return ip_segment_enrich(twice, segment_chunks(ranges, 64, 16)).select("event_id", "six", field("geo_country").alias("geo_country"))
+
+
 @query("event_severity", with_events(f"SELECT event_id, type, {SEVERITY_SQL} AS severity FROM ev"))
 def event_severity(spark, sf_dir):
     out = classify_severity(threat_enrich(security_events(spark, sf_dir), threats(spark, sf_dir)))

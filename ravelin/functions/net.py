@@ -48,3 +48,25 @@ def ipv4_number(ip: Column) -> Column:
 def is_private_or_loopback(ip: Column) -> Column:
     """True / false for a valid address, null for anything else. Mapped IPv4 counts as IPv4."""
     return F.when(ip.rlike(IPV4_PATTERN), ip.rlike(IPV4_LOCAL)).when(ip.rlike(IPV6_PATTERN), ip.rlike(IPV6_LOCAL))
+
+
+def ip_point(ip: Column) -> Column:
+    """An address as ``(hi, lo)``, the halves of its 128 bits, each shifted so that points order as signed numbers; null
+    for anything else. IPv4 is its mapped IPv6 address."""
+    four = ipv4_number(ip)
+    tail = F.regexp_extract(ip, rf"({_IPV4})$", 1)
+    value = ipv4_number(tail)
+    # A dotted tail gives way to two groups.
+    text = F.when(tail != "", F.concat(F.regexp_replace(ip, rf"{_IPV4}$", ""), F.hex(F.shiftright(value, 16)), F.lit(":"), F.hex(value.bitwiseAND(0xFFFF)))).otherwise(ip)
+    halves = F.split(text, "::")
+    left, right = (F.filter(F.split(F.coalesce(F.get(halves, i), F.lit("")), ":"), lambda g: g != "") for i in (0, 1))
+    groups = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(F.lit(8) - F.size(left) - F.size(right), F.lit(0))), right)
+
+    def half(first: int) -> Column:
+        number = F.lit(0).cast("bigint")
+        for i in range(first, first + 4):
+            number = F.shiftleft(number, 16).bitwiseOR(F.conv(F.get(groups, i), 16, 10).cast("bigint"))
+        return number.bitwiseXOR(F.lit(-(1 << 63)))
+
+    mapped = F.struct(F.lit(-(1 << 63)).alias("hi"), (four + (0xFFFF << 32)).bitwiseXOR(F.lit(-(1 << 63))).alias("lo"))
+    return F.when(four.isNotNull(), mapped).when(ip.rlike(IPV6_PATTERN), F.struct(half(0).alias("hi"), half(4).alias("lo")))
