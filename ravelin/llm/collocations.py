@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import fresh_path, gather_parts, materialise, split_words, table_parts
+from ravelin.llm.common import fresh_path, gather_parts, remove_path, settled, split_words, table_parts
 from ravelin.operators.enrich import lookup_side
 
 LEAST = 10  # occurrences of a candidate
@@ -34,7 +34,7 @@ SHARDS = 3
 CHUNK_BYTES = 16 << 20  # text of a block at most
 MERGE_ROWS = 1_000_000  # counts a task sums up before it sends them on
 CELL_BITS = (16, 25)  # least and greatest size of the table of cells, as powers of two
-SALTS = 16  # parts of a language ranked by themselves first
+SALTS = 16  # parts of a language ranked, and of a first word dealt, by themselves
 
 #: Ends of pieces become line feeds, tabs become spaces, A-Z becomes a-z.
 _PLAIN = bytes(0x0A if chr(b) in ".,;:!?\n\v\f\r" else 0x20 if b == 9 else b for b in range(256)).lower()
@@ -248,8 +248,14 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, s
     sizes = every.filter("size = 1").groupBy("lang").agg(F.sum("total").alias("n"))
     rest = every.select("lang", "run").mapInArrow(summed_runs, "lang string, phrase string, n long")
     # Rows meet before they are grouped: a table of groups in front of the exchange would find nothing more to sum up.
-    exact = rest.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    return materialise(exact.withColumn("size", F.size(F.split("phrase", " ")))), sizes
+    # They are dealt by their first word, in SALTS parts, so that neighbours in an exchange's file begin alike.
+    keys = ["lang", "first", "salt"]
+    dealt = rest.withColumn("first", F.substring_index("phrase", " ", 1)).withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)).cast("int"))
+    exact = dealt.repartition(*keys).groupBy(*keys, "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    counts, sizes = settled(exact.select("lang", "phrase", "n", F.size(F.split("phrase", " ")).alias("size"))), settled(sizes)
+    for path in (home, *tables):
+        remove_path(spark, path)
+    return counts, sizes
 
 
 def summed_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
