@@ -52,21 +52,28 @@ def is_private_or_loopback(ip: Column) -> Column:
 
 def ip_point(ip: Column) -> Column:
     """An address as ``(hi, lo)``, the halves of its 128 bits, each shifted so that points order as signed numbers; null
-    for anything else. IPv4 is its mapped IPv6 address."""
+    for anything else. IPv4 is its mapped IPv6 address. Every step names the one before it once or twice, so the
+    expression stays small; the 32 digits are bound to a variable before they are cut."""
     four = ipv4_number(ip)
-    tail = F.regexp_extract(ip, rf"({_IPV4})$", 1)
-    value = ipv4_number(tail)
+    tail = F.substring_index(ip, ":", -1)
+
+    def two_groups(octets: Column) -> Column:
+        number = [F.get(octets, i).try_cast("int") for i in range(4)]
+        return F.concat(F.hex(number[0] * 256 + number[1]), F.lit(":"), F.hex(number[2] * 256 + number[3]))
+
     # A dotted tail gives way to two groups.
-    text = F.when(tail != "", F.concat(F.regexp_replace(ip, rf"{_IPV4}$", ""), F.hex(F.shiftright(value, 16)), F.lit(":"), F.hex(value.bitwiseAND(0xFFFF)))).otherwise(ip)
-    halves = F.split(text, "::")
-    left, right = (F.filter(F.split(F.coalesce(F.get(halves, i), F.lit("")), ":"), lambda g: g != "") for i in (0, 1))
-    groups = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(F.lit(8) - F.size(left) - F.size(right), F.lit(0))), right)
+    dotted = F.concat(F.substring(ip, F.lit(1), F.length(ip) - F.length(tail)), F.get(F.transform(F.array(F.split(tail, r"\.")), two_groups), 0))
+    text = F.concat(F.lit(":"), F.when(F.contains(tail, F.lit(".")), dotted).otherwise(ip))
+    # Groups take four digits each and lose the colon before them; colons that are left stand for the groups left out.
+    padded = F.regexp_replace(F.regexp_replace(text, ":(?=[0-9a-fA-F])", ":000"), ":0{0,3}([0-9a-fA-F]{4})(?=:|$)", "$1")
+
+    def digits(s: Column) -> Column:
+        return F.regexp_replace(s, F.lit(":+"), F.repeat(F.lit("0"), F.lit(32) - F.length(F.replace(s, F.lit(":"), F.lit("")))))
 
-    def half(first: int) -> Column:
-        number = F.lit(0).cast("bigint")
-        for i in range(first, first + 4):
-            number = F.shiftleft(number, 16).bitwiseOR(F.conv(F.get(groups, i), 16, 10).cast("bigint"))
-        return number.bitwiseXOR(F.lit(-(1 << 63)))
+    def half(s: Column, first: int) -> Column:
+        upper, lower = (F.conv(F.substring(s, first + skip, 8), 16, 10).cast("bigint") for skip in (0, 8))
+        return F.shiftleft(upper, 32).bitwiseOR(lower).bitwiseXOR(F.lit(-(1 << 63)))
 
     mapped = F.struct(F.lit(-(1 << 63)).alias("hi"), (four + (0xFFFF << 32)).bitwiseXOR(F.lit(-(1 << 63))).alias("lo"))
-    return F.when(four.isNotNull(), mapped).when(ip.rlike(IPV6_PATTERN), F.struct(half(0).alias("hi"), half(4).alias("lo")))
+    six = F.transform(F.transform(F.array(padded), digits), lambda s: F.struct(half(s, 1).alias("hi"), half(s, 17).alias("lo")))
+    return F.when(four.isNotNull(), mapped).when(ip.rlike(IPV6_PATTERN), F.get(six, 0))

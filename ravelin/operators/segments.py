@@ -64,17 +64,17 @@ def swept(ranges: list[tuple], low: int, high: int) -> list[tuple]:
     return out
 
 
-def count_up_to(points: Column, x: Column, size: Column) -> Column:
-    """How many of the ordered ``points`` are ``x`` at most, by halving: as many steps as ``size`` has bits."""
-    steps = F.sequence(F.lit(0), F.ceil(F.log2(size + 1)).cast("int"))
-    start = F.struct(F.lit(0).alias("a"), size.cast("int").alias("b"))
+def count_up_to(points: Column, x: Column, size: Column, part: str | None = None) -> Column:
+    """How many of the ordered ``points`` (their field ``part``, if named) are ``x`` at most: from the highest bit of
+    ``size`` down, a bit belongs to the answer if the point it leads to is ``x`` at most. A step reads one point."""
+    bits = F.sequence(F.ceil(F.log2(size + 1)).cast("int"), F.lit(0), F.lit(-1))
 
-    def halve(s: Column, _) -> Column:
-        middle = F.floor((s["a"] + s["b"]) / 2).cast("int")
-        below = F.get(points, middle) <= x
-        return F.when(s["a"] >= s["b"], s).otherwise(F.struct(F.when(below, middle + 1).otherwise(s["a"]).alias("a"), F.when(below, s["b"]).otherwise(middle).alias("b")))
+    def take(found: Column, bit: Column) -> Column:
+        ahead = found + F.call_function("shiftleft", F.lit(1), bit)
+        at = F.get(points, ahead - 1)  # null beyond the last point
+        return F.when((at[part] if part else at) <= x, ahead).otherwise(found)
 
-    return F.aggregate(steps, start, halve)["a"]
+    return F.aggregate(bits, F.lit(0), take)
 
 
 def literal_points(points: list[dict]) -> Column:
@@ -122,7 +122,7 @@ def ip_segment_enrich(df: DataFrame, chunks: DataFrame) -> DataFrame:
     found = df.withColumn(at, ip_point(F.col("source_ip"))).withColumn(place, F.when(F.col(at).isNotNull(), count_up_to(known, F.col(at), size)))
     side = lookup_side(chunks.select(count_up_to(known, F.col("first"), size).alias(number_), F.col("held").alias(chunk)))
     joined = found.join(side, F.col(place) == F.col(number_), "left")
-    inside = F.get(F.col(chunk), count_up_to(F.col(chunk)["low"], F.col(at), F.size(chunk)) - 1)
+    inside = F.get(F.col(chunk), count_up_to(F.col(chunk), F.col(at), F.size(chunk), "low") - 1)
     joined = joined.withColumn(hit_, F.when(F.col(chunk).isNotNull(), inside)).drop(chunk)
     hit = F.when(F.col(at) <= F.col(hit_)["high"], F.col(hit_))
     pairs = {"geo_country": hit["country"], "geo_city": hit["city"], "geo_asn": hit["asn"]}
