@@ -123,3 +123,23 @@ def test_a_source_or_host_reads_a_share_of_the_files(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before[0])
         spark.conf.set("spark.sql.adaptive.enabled", before[1])
+
+
+def test_small_buckets_share_folders(spark, tmp_path):
+    path = str(tmp_path / "t")
+    index = KeyIndex(spark, path, bucket_keys=4)
+    index.insert(rows(spark, 0, 6_000))
+    state = index.state()
+    assert state.bits >= 10 and state.keys == 6_000
+    assert len(list((tmp_path / "t_keys").rglob("*.parquet"))) <= 2 * 2**keyindex.FOLDER_BITS
+    assert index.absent(rows(spark, 5_990, 6_010)).count() == 20 - 10
+
+
+def test_an_index_of_the_layout_before_is_built_again(spark, tmp_path):
+    path = str(tmp_path / "t")
+    index = KeyIndex(spark, path)
+    index.insert(rows(spark, 0, 30))
+    told = index.state()
+    index.files.write("state.json", '{"generation": "%s", "bits": 0, "keys": 30, "runs": ["run=gone"]}' % told.generation)
+    index.insert(rows(spark, 20, 60))
+    assert stored(spark, path) == sorted(f"e{i}" for i in range(60)) and index.state().keys == 60
