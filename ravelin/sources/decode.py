@@ -10,10 +10,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ravelin.schema import ALERT_SCHEMA, EVENT_SCHEMA, EVENT_TYPES, SEVERITIES, normalise_events
 
@@ -113,42 +114,59 @@ def _enum_text(values: list[str], number: int) -> str:
     return values[number] if 0 <= number < len(values) else str(number)
 
 
+def _parsed(make, data: bytes | None):
+    message = make()
+    try:
+        message.ParseFromString(data)
+    except Exception:  # noqa: BLE001 - any parse failure marks the row as malformed
+        return None
+    return message
+
+
 def _decode_python(df: DataFrame, payload: str, name: str) -> DataFrame:
     schema, descriptors, enums = MESSAGES[name][0], descriptor_set(), ENUMS
     kept = [f for f in df.schema.fields if f.name != payload]
     shape = T.StructType([*kept, T.StructField(payload, T.BinaryType()), T.StructField("decoded", schema)])
+    kinds = to_arrow_schema(schema)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = message_class(descriptors, name)
 
-        def row(data):
-            message = make()
-            try:
-                message.ParseFromString(bytes(data))
-            except Exception:  # noqa: BLE001 - any parse failure marks the row as malformed
-                return None
-            out = {}
-            for column in schema:
-                value = getattr(message, column.name)
-                if column.name in enums:
-                    out[column.name] = _enum_text(enums[column.name][1], value)
-                elif isinstance(column.dataType, T.TimestampType):
-                    stamp = pd.Timestamp(value.ToNanoseconds() // 1000, unit="us", tz="UTC")
-                    out[column.name] = stamp if message.HasField(column.name) else None
-                elif isinstance(column.dataType, T.MapType):
-                    out[column.name] = dict(value)
-                elif isinstance(column.dataType, T.ArrayType):
-                    out[column.name] = list(value)
-                else:
-                    out[column.name] = value
-            return out
-
-        for frame in frames:
-            out = frame.copy()
-            out["decoded"] = [row(data) for data in frame[payload]]
-            yield out[shape.names]
-
-    return df.select(*[f.name for f in kept], F.col(payload).cast("binary").alias(payload)).mapInPandas(run, shape)
+        def column(field, messages):
+            told = field.name
+            if told in enums:
+                values = enums[told][1]
+                return [None if m is None else _enum_text(values, getattr(m, told)) for m in messages]
+            if isinstance(field.dataType, T.TimestampType):
+                return [None if m is None or not m.HasField(told) else getattr(m, told).ToNanoseconds() // 1000 for m in messages]
+            if isinstance(field.dataType, T.MapType):
+                return [None if m is None else list(getattr(m, told).items()) for m in messages]
+            if isinstance(field.dataType, T.ArrayType):
+                return [None if m is None else list(getattr(m, told)) for m in messages]
+            return [None if m is None else getattr(m, told) for m in messages]
+
+        for batch in batches:
+            messages = [_parsed(make, data) for data in batch.column(payload).to_pylist()]
+            arrays = [pa.array(column(field, messages), kind.type) for field, kind in zip(schema, kinds)]
+            broken = pa.array([m is None for m in messages], pa.bool_())
+            decoded = pa.StructArray.from_arrays(arrays, fields=list(kinds), mask=broken)
+            columns = [*(batch.column(f.name) for f in kept), batch.column(payload), decoded]
+            yield pa.RecordBatch.from_arrays(columns, shape.names)
+
+    return df.select(*[f.name for f in kept], F.col(payload).cast("binary").alias(payload)).mapInArrow(run, shape)
+
+
+def _malformed_python(df: DataFrame, payload: str, name: str) -> DataFrame:
+    """The rows that do not parse; no field of the others is read."""
+    descriptors = descriptor_set()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = message_class(descriptors, name)
+        for batch in batches:
+            yield batch.filter(pa.array([_parsed(make, data) is None for data in batch.column(payload).to_pylist()], pa.bool_()))
+
+    rows = df.withColumn(payload, F.col(payload).cast("binary"))
+    return rows.mapInArrow(run, rows.schema)
 
 
 def has_protobuf_package(df: DataFrame) -> bool:
@@ -166,7 +184,7 @@ def has_protobuf_package(df: DataFrame) -> bool:
 def decode(df: DataFrame, payload: str = "value", message: str = "SecurityEvent", encoding: str = "json") -> Decoded:
     """Decoded rows next to the malformed ones. Other columns of ``df`` go along. Events come out in canonical form,
     so one that leaves out its id has an empty one and is ingest's to reject."""
-    schema = MESSAGES[message][0]
+    schema, malformed = MESSAGES[message][0], None
     if encoding == "json":
         wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
         options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, **JSON_TIMES}
@@ -186,13 +204,14 @@ def decode(df: DataFrame, payload: str = "value", message: str = "SecurityEvent"
             ),
         )
     else:
-        rows = _decode_python(df, payload, message)
+        rows, malformed = _decode_python(df, payload, message), _malformed_python(df, payload, message)
     others = [c for c in df.columns if c != payload]
     # The generator keeps the optimizer from decoding once per column.
     good = rows.select(*others, F.inline(F.filter(F.array("decoded"), lambda d: d.isNotNull())))
     if message == "SecurityEvent":
         good = normalise_events(good)
-    return Decoded(good, rows.filter("decoded IS NULL").select(*others, payload))
+    bad = rows.filter("decoded IS NULL") if malformed is None else malformed
+    return Decoded(good, bad.select(*others, payload))
 
 
 def encode_json(df: DataFrame, schema: T.StructType = EVENT_SCHEMA, name: str = "value") -> DataFrame:
@@ -205,32 +224,44 @@ def encode_protobuf(df: DataFrame, message: str = "SecurityEvent", name: str = "
     schema, descriptors, enums = MESSAGES[message][0], descriptor_set(), ENUMS
     shape = T.StructType([*df.schema.fields, T.StructField(name, T.BinaryType())])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = message_class(descriptors, message)
 
-        def one(row) -> bytes | None:
+        def put(column):
+            """What sets a value that is there; false says that it has no encoding and its row is split off when read."""
+            told = column.name
+            if told in enums:
+                names = {text: number for number, text in reversed(list(enumerate(enums[told][1])))}
+
+                def enum(out, value):
+                    if value not in names and not value.lstrip("-").isdigit():
+                        return False
+                    setattr(out, told, names[value] if value in names else int(value))
+
+                return enum
+            if isinstance(column.dataType, T.TimestampType):
+                return lambda out, value: getattr(out, told).FromNanoseconds(value * 1000)
+            if isinstance(column.dataType, T.MapType):
+                return lambda out, value: getattr(out, told).update(dict(value))
+            if isinstance(column.dataType, T.ArrayType):
+                return lambda out, value: getattr(out, told).extend(value)
+            return lambda out, value: setattr(out, told, value)
+
+        setters = [put(column) for column in schema]
+
+        def one(values) -> bytes | None:
             out = make()
-            for column in schema:
-                value = row[column.name]
-                if value is None or value is pd.NaT:
-                    continue
-                if column.name in enums:
-                    names = enums[column.name][1]
-                    if value not in names and not str(value).lstrip("-").isdigit():
-                        return None  # split off when it is read
-                    setattr(out, column.name, names.index(value) if value in names else int(value))
-                elif isinstance(column.dataType, T.TimestampType):
-                    getattr(out, column.name).FromNanoseconds(pd.Timestamp(value).value)
-                elif isinstance(column.dataType, T.MapType):
-                    getattr(out, column.name).update(dict(value))
-                elif isinstance(column.dataType, T.ArrayType):
-                    getattr(out, column.name).extend(value)
-                else:
-                    setattr(out, column.name, int(value) if isinstance(column.dataType, T.LongType) else value)
+            for setter, value in zip(setters, values):
+                if value is not None and setter(out, value) is False:
+                    return None
             return out.SerializeToString(deterministic=True)
 
-        for frame in frames:
-            records = frame[schema.names].to_dict("records")
-            yield frame.assign(**{name: [one(r) for r in records]})[shape.names]
+        def plain(column, array):
+            return (array.cast(pa.int64()) if isinstance(column.dataType, T.TimestampType) else array).to_pylist()
+
+        for batch in batches:
+            rows = zip(*[plain(column, batch.column(column.name)) for column in schema])
+            encoded = pa.array([one(values) for values in rows], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in shape.fields[:-1]), encoded], shape.names)
 
-    return df.mapInPandas(run, shape)
+    return df.mapInArrow(run, shape)

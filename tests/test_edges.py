@@ -169,3 +169,10 @@ def test_all_alerts_have_a_place(spark):
     assert [r["place"] for r in rows] == list(range(1, 201))
     rank = {"SEVERITY_CRITICAL": 0, "SEVERITY_HIGH": 1, "SEVERITY_LOW": 2}
     assert [r["alert_id"] for r in rows] == [r["alert_id"] for r in sorted(rows, key=lambda r: (rank[r["severity"]], r["at"], r["alert_id"]))]
+
+
+def test_malformed_protobuf_rows_are_told_without_their_fields(spark):
+    values = [(1, b""), (2, b"\x0a\xff\x01"), (3, None), (4, b"\x0a\x01x")]
+    out = decode(spark.createDataFrame(values, "n int, value binary"), encoding="protobuf")
+    assert sorted(r["n"] for r in out.malformed.collect()) == [2, 3] and sorted(r["n"] for r in out.good.collect()) == [1, 4]
+    assert "decoded" not in out.malformed._jdf.queryExecution().analyzed().toString()
