@@ -28,6 +28,8 @@ from ravelin.session import materialise
 HOT_ROWS = 2_000_000
 CHUNK_ROWS = 200_000
 FAN = 16
+SLABS = 128
+SLAB_ROWS = 100_000
 SAMPLED_ROWS = 20_000
 SEED = 7
 FAR = 2**62
@@ -136,6 +138,10 @@ def split_hot(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> tuple[DataF
     return df.join(names, list(keys), "left_anti"), df.join(names, list(keys), "left_semi")
 
 
+def slab_count(rows: int, hot_rows: int) -> int:
+    return max(1, min(math.ceil(2 * rows / hot_rows), max(SLABS, math.ceil(rows / SLAB_ROWS))))
+
+
 def rank_hot(
     df: DataFrame,
     keys: Sequence[str],
@@ -148,12 +154,13 @@ def rank_hot(
     """``rn``, the row number inside each hot key, and a running count of each boolean in ``counted``.
 
     Rows are cut into slabs by ranges of their content, ``(key, ts, tie)`` and a hash, so a burst is split like an
-    even spread: a slab holds about half of ``hot_rows``. Rows are numbered inside a slab and shifted by the sizes
-    of the key's slabs before it. The offsets have at most one row per key and slab. The slabs are checkpointed, as
+    even spread: a slab holds about half of ``hot_rows``, or up to ``SLAB_ROWS`` where more than ``SLABS`` would be
+    needed, so that a low ``hot_rows`` makes no more tasks than the rows are worth. Rows are numbered inside a slab and
+    shifted by the sizes of the key's slabs before it. The offsets have at most one row per key and slab. The slabs are checkpointed, as
     ranges are sampled and must not change. ``ts`` must not be null.
     """
     keys = list(keys)
-    parts = max(1, math.ceil(2 * hot.agg(F.sum("hot_n")).first()[0] / hot_rows))
+    parts = slab_count(hot.agg(F.sum("hot_n")).first()[0], hot_rows)
     plain = [c for c in df.columns if not isinstance(df.schema[c].dataType, T.MapType)]
     spread = df.withColumn("spread", F.xxhash64(*plain)).repartitionByRange(parts, *keys, ts, *tie, "spread")
     slabbed = materialise(spread.withColumn("slab", F.spark_partition_id().cast("bigint")))

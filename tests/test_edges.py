@@ -52,6 +52,20 @@ def test_a_burst_is_split(spark):
     assert {r["id"]: r["rn"] for r in ranked.collect()} == want
 
 
+def test_slabs_stay_few_where_the_limit_is_low(spark, monkeypatch):
+    rows = [("k" if i % 3 else None, i % 7, f"e{i:04d}") for i in range(900)]
+    df = spark.createDataFrame(rows, "k string, ts bigint, id string").filter("k IS NOT NULL")
+    parts, plain = [], ordered.materialise
+    monkeypatch.setattr(ordered, "materialise", lambda f: (parts.append(f), plain(f))[1])
+    hot = ordered.hot_keys(df, ["k"], "ts", 2)
+    ranked = ordered.rank_hot(df, ["k"], "ts", ["id"], hot, 2)
+    slabbed = [f for f in parts if "slab" in f.columns]
+    assert len(slabbed) == 1 and 1 < slabbed[0].select("slab").distinct().count() <= ordered.SLABS
+    want = {i: n for n, (_, i) in enumerate(sorted((t, i) for k, t, i in rows if k), 1)}
+    assert {r["id"]: r["rn"] for r in ranked.collect()} == want
+    assert ordered.slab_count(30_000_000, 500) * ordered.SLAB_ROWS <= 30_000_000 and ordered.slab_count(30_000_000, 2_000_000) == 30
+
+
 def test_bursts_and_null_times_in_windows(spark):
     rng = random.Random(2)
     rows = [("hot", None if i % 50 == 0 else 10**9 + rng.randrange(3_000_000), f"e{i:04d}") for i in range(400)] + [("hot", i * 10**8, f"s{i:02d}") for i in range(30)]
