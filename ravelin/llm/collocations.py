@@ -9,21 +9,27 @@ How far subphrases have come is kept in a table of cells, one byte per cell for
 in which it reached the threshold. Cells are shared, so a count there is never too low: a phrase may start a scan too
 early or without need, but none is missed, and its cycle is whole in any case, as it follows from the stamps. The table
 is bounded in size; tasks send theirs merged, by parts. The counts themselves are exact: a scan writes them per block, in
-compressed runs, and at the end runs are first summed up per task and then grouped by language and text.
+compressed runs of word numbers. At the end phrases whose cell stayed below the threshold are left out (the longest ones
+have cells of their own for this), and the rest is summed up per task and then grouped by language and text. Where so
+much text fills the cells that few phrases are left out, this is done for one slice of the phrases after the other, so
+that an exchange never holds them all.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ravelin.llm.common import fresh_path, gather_parts, remove_path, settled, split_words, table_parts
+from ravelin.llm.windowdedup import pack, unpack
 from ravelin.operators.enrich import lookup_side
 
 LEAST = 10  # occurrences of a candidate
@@ -34,6 +40,7 @@ SHARDS = 3
 CHUNK_BYTES = 16 << 20  # text of a block at most
 MERGE_ROWS = 1_000_000  # counts a task sums up before it sends them on
 CELL_BITS = (16, 25)  # least and greatest size of the table of cells, as powers of two
+SLICES = 2  # more of the phrases, grouped one after the other, where all cells are full
 SALTS = 16  # parts of a language ranked by themselves first
 
 #: Ends of pieces become line feeds, tabs become spaces, A-Z becomes a-z.
@@ -63,17 +70,26 @@ def extended(first: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 
 class Progress:
-    """The table of cells: capped counts, and the scan from which a cell's phrases count as frequent (0: not yet)."""
+    """The table of cells: capped counts, and the scan from which a cell's phrases count as frequent (0: not yet). The
+    second half is for the longest phrases."""
 
     def __init__(self, bits: int) -> None:
-        self.bits, self.counts, self.since = bits, np.zeros(1 << bits, np.uint8), np.zeros(1 << bits, np.uint8)
+        self.bits, self.counts, self.since = bits, np.zeros(2 << bits, np.uint8), np.zeros(2 << bits, np.uint8)
 
     def add(self, counts: np.ndarray, scan: int, least: int) -> None:
         self.counts += np.minimum(counts, ~self.counts)
-        self.since[(self.counts >= least) & (self.since == 0)] = scan + 1
+        self.since[(self.counts >= min(least, 255)) & (self.since == 0)] = scan + 1
 
-    def packed(self) -> bytes:
-        return pa.compress(self.since.tobytes(), codec="zstd", asbytes=True)
+    def shorter(self) -> np.ndarray:
+        return self.since[: 1 << self.bits]
+
+    def full(self) -> float:
+        """The share of cells that reached the threshold, in the fuller half."""
+        return float((self.since.reshape(2, -1) > 0).mean(1).max())
+
+
+def packed(since: np.ndarray) -> bytes:
+    return pa.compress(since.tobytes(), codec="zstd", asbytes=True)
 
 
 def unzipped(data: bytes, size: int) -> np.ndarray:
@@ -90,22 +106,34 @@ def unpacked(data: bytes) -> bytes:
     return pa.decompress(data[8:], size, codec="zstd", asbytes=True) if size else b""
 
 
-def packed_run(phrases: list[bytes], n: np.ndarray) -> bytes:
-    lengths = np.fromiter(map(len, phrases), np.uint32, len(phrases))
-    parts = [zipped(np.ascontiguousarray(a, np.uint32).tobytes()) for a in (lengths, n)] + [zipped(b"".join(phrases))]
+def packed_run(found: list[tuple[list[np.ndarray], np.ndarray]], texts: list[bytes]) -> bytes:
+    """The words in use, and by length the phrases as one column of word numbers per place, with their counts. Phrases
+    lie in order of their first numbers, which are stored as steps."""
+    used = np.unique(np.concatenate([np.zeros(0, np.int64), *(c for columns, _ in found for c in columns)])).astype(np.int64)
+    parts = [zipped(b"\n".join(texts[i] for i in used.tolist()))]
+    for columns, n in found:
+        places = [np.searchsorted(used, c).astype(np.uint32) for c in columns]
+        parts.append(pack(*(np.diff(c, prepend=np.uint32(0)) if j < 2 else c for j, c in enumerate(places)), n.astype(np.uint32)))
+        parts[-1] = bytes([len(columns)]) + parts[-1]
     return b"".join(len(x).to_bytes(8, "little") + x for x in parts)
 
 
-def unpacked_run(data: bytes) -> pa.Table:
+def unpacked_run(data: bytes) -> tuple[list[bytes], list[tuple[list[np.ndarray], np.ndarray]]]:
     parts, at = [], 0
-    for _ in range(3):
+    while at < len(data):
         size = int.from_bytes(data[at : at + 8], "little")
-        parts.append(unpacked(data[at + 8 : at + 8 + size]))
+        parts.append(data[at + 8 : at + 8 + size])
         at += 8 + size
-    lengths, n = (np.frombuffer(x, np.uint32) for x in parts[:2])
-    offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
-    phrases = pa.Array.from_buffers(pa.string(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(parts[2])])
-    return pa.table({"phrase": phrases, "n": n.astype(np.int64)})
+    found = []
+    for part in parts[1:]:
+        *columns, n = unpack(part[1:], *[np.uint32] * (part[0] + 1))
+        found.append(([np.cumsum(c, dtype=np.uint32) if j < 2 else c for j, c in enumerate(columns)], n))
+    return unpacked(parts[0]).split(b"\n"), found
+
+
+def word_hashes(lang: str, words: list[bytes]) -> bytes:
+    salt = hashlib.blake2b(lang.encode("utf-8", "surrogatepass")).digest()
+    return b"".join(hashlib.blake2b(w, digest_size=8, key=salt).digest() for w in words)
 
 
 def cell(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -136,8 +164,7 @@ def word_blocks(rows: DataFrame, shards: int) -> DataFrame:
                 for part in split_words(text.translate(_PLAIN).replace(b"\n", b" \n ") + b" \n ", keep=True):
                     pieces.append(np.fromiter(map(words.__getitem__, part), np.int32, len(part)))
             ids = np.concatenate(pieces)
-            salt = hashlib.blake2b(lang.encode("utf-8", "surrogatepass")).digest()
-            hashes = b"".join(hashlib.blake2b(w, digest_size=8, key=salt).digest() for w in words.texts)
+            hashes = word_hashes(lang, words.texts)
             turn += 1
             # Words hold no line feed; the two marks at their head have numbers but no text.
             row = [[turn % shards], [lang], [zipped(b"\n".join(words.texts[2:]))], [zipped(hashes)], [zipped(ids[ids != _NOTHING].tobytes())]]
@@ -161,13 +188,14 @@ def word_blocks(rows: DataFrame, shards: int) -> DataFrame:
     return rows.mapInArrow(run, _BLOCK_SQL)
 
 
-def counted(ids: np.ndarray, texts: list[bytes], hashes: np.ndarray, since: np.ndarray, bits: int, scan: int, shards: int, longest: int) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray]]:
-    """By length the phrases of a block that are due in this scan, their counts and cells."""
+def counted(ids: np.ndarray, texts: list[bytes], hashes: np.ndarray, since: np.ndarray, bits: int, scan: int, shards: int, longest: int) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+    """By length the phrases of a block that are due in this scan, as the word numbers of each place, their counts and
+    cells."""
     if scan <= shards:
         n = np.bincount(ids, minlength=len(texts))
         n[_BREAK] = 0
         at = np.flatnonzero(n)
-        yield 1, [texts[i] for i in at.tolist()], n[at], cell(hashes[at], bits)
+        yield [at], n[at], cell(hashes[at], bits)
     started = since[cell(hashes, bits)]
     started[_BREAK] = 0
     begun, whole = started[ids], hashes[ids]  # of the phrase that begins at each place: its stamp (0: none) and hash
@@ -184,37 +212,39 @@ def counted(ids: np.ndarray, texts: list[bytes], hashes: np.ndarray, since: np.n
             for j in range(1, length):
                 key = (np.unique(key, return_inverse=True)[1] if j > 1 else key) * len(texts) + ids[spots + j]
             _, first, n = np.unique(key, return_index=True, return_counts=True)
-            parts = [[texts[i] for i in ids[spots[first] + j].tolist()] for j in range(length)]
-            yield length, list(map(b" ".join, zip(*parts))), n, cell(joint[now][first], bits)
+            yield [ids[spots[first] + j].astype(np.int64) for j in range(length)], n, cell(joint[now][first], bits)
         stamps = since[cell(joint, bits)]
         begun, whole = np.zeros(len(begun) - 1, np.uint8), np.zeros(len(begun) - 1, np.uint64)
         begun[at] = np.where(stamps > 0, np.maximum(stamps, active), 0)  # a shared cell may be ahead of its phrase
         whole[at] = joint
 
 
-_ROW = pa.schema([("size", pa.int32()), ("lang", pa.string()), ("total", pa.int64()), ("run", pa.binary()), ("part", pa.int32()), ("data", pa.binary())])
-_ROW_SQL = "size int, lang string, total long, run binary, part int, data binary"
+_ROW = pa.schema([("lang", pa.string()), ("total", pa.int64()), ("run", pa.binary()), ("part", pa.int32()), ("data", pa.binary())])
+_ROW_SQL = "lang string, total long, run binary, part int, data binary"
 
 
 def scan_shard(shard: DataFrame, since: bytes, bits: int, scan: int, shards: int, longest: int) -> DataFrame:
-    """Counts of the phrases that are due, a run per block and length, and the task's table of cells (``part``,
-    ``data``)."""
+    """Counts of the phrases that are due, a run per block, with the block's words where they are counted (``total``),
+    and the task's table of cells (``part``, ``data``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stamps, sums = unzipped(since, 1 << bits), np.zeros(1 << bits, np.uint8)
+        stamps, sums = unzipped(since, 1 << bits), np.zeros(2 << bits, np.uint8)
         for batch in batches:
             for lang, words, hashes, ids in zip(*(batch.column(c) for c in ("lang", "words", "hashes", "ids"))):
                 texts = [b"\n", b"", *unpacked(words.as_py()).split(b"\n")]
                 block = np.frombuffer(unpacked(ids.as_py()), np.int32), texts, np.frombuffer(unpacked(hashes.as_py()), np.uint64)
-                for size, phrases, n, cells in counted(*block, stamps, bits, scan, shards, longest):
-                    if size < longest:  # longer phrases follow from it
-                        add_capped(sums, cells, n)
-                    row = [[size], lang.as_py(), int(n.sum()), packed_run(phrases, n), None, None]
-                    yield pa.record_batch([pa.array(x if isinstance(x, list) else [x], f.type) for x, f in zip(row, _ROW)], schema=_ROW)
+                found, total = [], 0
+                for columns, n, cells in counted(*block, stamps, bits, scan, shards, longest):
+                    add_capped(sums, cells + ((1 << bits) if len(columns) == longest else 0), n)
+                    found.append((columns, n))
+                    total += int(n.sum()) if len(columns) == 1 else 0
+                if found:
+                    row = [lang.as_py(), total, packed_run(found, texts), None, None]
+                    yield pa.record_batch([pa.array([x], f.type) for x, f in zip(row, _ROW)], schema=_ROW)
         pa.default_memory_pool().release_unused()
         for sent in table_parts(sums):
             rows = sent.num_rows
-            yield pa.record_batch([pa.nulls(rows, f.type) for f in list(_ROW)[:4]] + sent.columns, schema=_ROW)
+            yield pa.record_batch([pa.nulls(rows, f.type) for f in list(_ROW)[:3]] + sent.columns, schema=_ROW)
 
     return shard.mapInArrow(run, _ROW_SQL)
 
@@ -238,44 +268,64 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, s
     for scan in range(1, longest * shards + 1):
         shard = written.filter(F.col("shard") == (scan - 1) % shards).drop("shard")
         path = fresh_path(spark, "phrases")
-        scan_shard(shard, progress.packed(), bits, scan, shards, longest).write.option("compression", "zstd").parquet(path)
+        scan_shard(shard, packed(progress.shorter()), bits, scan, shards, longest).write.option("compression", "zstd").parquet(path)
         tables.append(path)
         found = spark.read.parquet(path)
-        progress.add(gather_parts(found.filter("part IS NOT NULL").select("part", "data"), 1 << bits, "sum"), scan, least)
-        if scan >= shards and not (progress.since > scan + 1 - shards).any():
+        progress.add(gather_parts(found.filter("part IS NOT NULL").select("part", "data"), 2 << bits, "sum"), scan, least)
+        if scan >= shards and not (progress.shorter() > scan + 1 - shards).any():
             break  # whatever became active has seen every shard
-    every = spark.read.parquet(*tables).filter("size IS NOT NULL")
-    sizes = every.filter("size = 1").groupBy("lang").agg(F.sum("total").alias("n"))
-    rest = every.select("lang", "run").mapInArrow(summed_runs, "lang string, phrase string, n long")
-    # Rows meet before they are grouped: a table of groups in front of the exchange would find nothing more to sum up.
-    exact = rest.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    counts, sizes = settled(exact.select("lang", "phrase", "n", F.size(F.split("phrase", " ")).alias("size"))), settled(sizes)
-    for path in (home, *tables):
+    remove_path(spark, home)
+    every = spark.read.parquet(*tables).filter("run IS NOT NULL")
+    sizes = settled(every.groupBy("lang").agg(F.sum("total").alias("n")))
+    slices, counts = 1 + int(SLICES * progress.full()), []
+    for part in range(slices):
+        rest = every.select("lang", "run").mapInArrow(summed_runs(packed(progress.since), bits, longest, part, slices), "lang string, phrase string, n long")
+        # Rows meet before they are grouped: a table of groups in front of the exchange would find nothing more to sum up.
+        exact = rest.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+        counts.append(settled(exact.select("lang", "phrase", "n", F.size(F.split("phrase", " ")).alias("size"))))
+        del rest, exact
+    for path in tables:
         remove_path(spark, path)
-    return counts, sizes
-
-
-def summed_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The runs a task reads, MERGE_ROWS at a time, as rows: one per language and phrase."""
-    held: dict[str, list[pa.Table]] = {}
-    rows = 0
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        for lang, tables in held.items():
-            summed = pa.concat_tables(tables).group_by("phrase", use_threads=False).aggregate([("n", "sum")])
-            fixed = pa.table({"lang": pa.array([lang], pa.string()).take(pa.array(np.zeros(len(summed), np.int64))), "phrase": summed["phrase"], "n": summed["n_sum"]})
-            yield from fixed.to_batches(max_chunksize=1 << 16)
-
-    for batch in batches:
-        for lang, run in zip(batch.column("lang"), batch.column("run")):
-            table = unpacked_run(run.as_py())
-            held.setdefault(lang.as_py(), []).append(table)
-            rows += len(table)
-            if rows > MERGE_ROWS:
-                yield from flush()
-                held, rows = {}, 0
-    yield from flush()
-    pa.default_memory_pool().release_unused()
+    return reduce(DataFrame.unionByName, counts), sizes
+
+
+def summed_runs(since: bytes, bits: int, longest: int, part: int, slices: int):
+    """A function for ``mapInArrow``: the runs a task reads, MERGE_ROWS at a time, as rows, one per language and phrase.
+    Phrases whose cell did not reach the threshold, and those of other slices, are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reached = unzipped(since, 2 << bits) > 0
+        held: dict[str, list[pa.Table]] = {}
+        rows = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lang, tables in held.items():
+                summed = pa.concat_tables(tables).group_by("phrase", use_threads=False).aggregate([("n", "sum")])
+                fixed = pa.table({"lang": pa.array([lang], pa.string()).take(pa.array(np.zeros(len(summed), np.int64))), "phrase": summed["phrase"], "n": summed["n_sum"]})
+                yield from fixed.to_batches(max_chunksize=1 << 16)
+
+        for batch in batches:
+            for lang, data in zip(batch.column("lang").to_pylist(), batch.column("run")):
+                words, found = unpacked_run(data.as_py())
+                hashes, texts = np.frombuffer(word_hashes(lang, words), np.uint64), pa.array(words, pa.binary()).cast(pa.string())
+                for columns, n in found:
+                    whole = reduce(extended, [hashes[c] for c in columns])
+                    kept = reached[cell(whole, bits) + ((1 << bits) if len(columns) == longest else 0)]
+                    if slices > 1:
+                        kept &= whole % np.uint64(slices) == np.uint64(part)
+                    at = np.flatnonzero(kept)
+                    if not len(at):
+                        continue
+                    phrases = pc.binary_join_element_wise(*[texts.take(pa.array(c[at])) for c in columns], " ")
+                    held.setdefault(lang, []).append(pa.table({"phrase": phrases, "n": n[at].astype(np.int64)}))
+                    rows += len(at)
+                    if rows > MERGE_ROWS:
+                        yield from flush()
+                        held, rows = {}, 0
+        yield from flush()
+        pa.default_memory_pool().release_unused()
+
+    return run
 
 
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, within_percent: int = WITHIN_PERCENT, kept: int = KEPT, shards: int = SHARDS) -> DataFrame:

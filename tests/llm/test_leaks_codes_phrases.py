@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ravelin.llm import boundquant, collocations, winnowing
@@ -198,6 +199,34 @@ def test_phrases_equal_plain(spark, monkeypatch, bits, shards, longest):
         assert phrases(frame, least, longest, 50, kept, shards) == sorted(plain_phrases(rows, least, longest, 50, kept))
 
 
+def test_rare_phrases_are_left_out_before_the_exchange():
+    """A run comes back as it was, smaller than its text; of its phrases only those whose cell reached the threshold go
+    on, each in one slice."""
+    texts = [b"\n", b"", *(f"w{i}".encode() for i in range(300))]
+    pairs = [np.array([i for i in range(2, 300) for _ in range(30)]), np.array([2 + (i * 7 + j) % 300 for i in range(2, 300) for j in range(30)])]
+    found = [([np.arange(2, 302)], np.arange(1, 301)), (pairs, np.ones(len(pairs[0]), np.int64))]
+    data = collocations.packed_run(found, texts)
+    words, back = collocations.unpacked_run(data)
+    for (columns, n), (old, n_old) in zip(back, found):
+        assert [[words[i] for i in c] for c in columns] == [[texts[i] for i in c] for c in old] and n.tolist() == n_old.tolist()
+    every = {b" ".join(texts[c[i]] for c in columns).decode(): int(n[i]) for columns, n in found for i in range(len(n))}
+    assert len(data) * 4 < sum(map(len, every))
+    hashes = np.frombuffer(collocations.word_hashes("en", words), np.uint64)
+    often = collocations.cell(collocations.extended(hashes[back[1][0][0][:4]], hashes[back[1][0][1][:4]]), 16)
+    progress = collocations.Progress(16)
+    for _ in range(10):
+        progress.add(np.bincount(often, minlength=2 << 16).astype(np.uint8), 1, 10)
+    batch = pa.record_batch([pa.array(["en"]), pa.array([data], pa.binary())], names=["lang", "run"])
+
+    def told(part, slices):
+        out = collocations.summed_runs(collocations.packed(progress.since), 16, 3, part, slices)([batch])
+        return [(x, n) for b in out for x, n in zip(b.column("phrase").to_pylist(), b.column("n").to_pylist())]
+
+    want = [(texts[a] + b" " + texts[b]).decode() for a, b in zip(*(c[:4].tolist() for c in pairs))]
+    assert set(want) <= set(dict(told(0, 1))) and len(told(0, 1)) < 40 and dict(told(0, 1)).items() <= every.items()
+    assert sorted(x for k in range(5) for x in told(k, 5)) == sorted(told(0, 1))
+
+
 def test_phrases_of_edge_rows_and_none(spark, edge_rows, edge_docs, no_docs):
     assert phrases(edge_docs, 3) == sorted(plain_phrases([(r[2], r[1]) for r in edge_rows], 3, 3, 50, 2_000))
     assert phrases(no_docs) == []
