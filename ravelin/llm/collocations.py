@@ -10,9 +10,10 @@ in which it reached the threshold. Cells are shared, so a count there is never t
 early or without need, but none is missed, and its cycle is whole in any case, as it follows from the stamps. The table
 is bounded in size; tasks send theirs merged, by parts. The counts themselves are exact: a scan writes them per block, in
 compressed runs of word numbers. At the end phrases whose cell stayed below the threshold are left out (the longest ones
-have cells of their own for this), and the rest is summed up per task and then grouped by language and text. Where so
-much text fills the cells that few phrases are left out, this is done for one slice of the phrases after the other, so
-that an exchange never holds them all.
+have cells of their own for this), and the rest is summed up per task and dealt to ranges of phrases, still as runs of
+word numbers. Only where all runs of a range meet do phrases become rows of text, those that reach the threshold, so no
+row is exchanged per block and phrase. Where so much text fills the cells that few phrases are left out, this is done for
+one slice of the ranges after the other, so that an exchange never holds them all.
 """
 
 from __future__ import annotations
@@ -38,7 +39,9 @@ WITHIN_PERCENT = 50  # share of its occurrences within a longer candidate from w
 KEPT = 2_000  # phrases reported per language
 SHARDS = 3
 CHUNK_BYTES = 16 << 20  # text of a block at most
-MERGE_ROWS = 1_000_000  # counts a task sums up before it sends them on
+MERGE_ROWS = 1_000_000  # counts a task holds before it sums them up
+DEAL_ROWS = 4_000_000  # counts a task joins before it deals them out
+RANGE_BYTES = 32 << 20  # text for each range of phrases
 CELL_BITS = (16, 25)  # least and greatest size of the table of cells, as powers of two
 SLICES = 2  # more of the phrases, grouped one after the other, where all cells are full
 SALTS = 16  # parts of a language ranked by themselves first
@@ -264,70 +267,154 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, s
     home = fresh_path(spark, "shards")
     word_blocks(rows, shards).write.partitionBy("shard").parquet(home)
     written, progress = spark.read.schema("lang string, words binary, hashes binary, ids binary, shard int").parquet(home), Progress(bits)
-    tables = []
+    home_of_runs = fresh_path(spark, "phrases")
     for scan in range(1, longest * shards + 1):
         shard = written.filter(F.col("shard") == (scan - 1) % shards).drop("shard")
-        path = fresh_path(spark, "phrases")
-        scan_shard(shard, packed(progress.shorter()), bits, scan, shards, longest).write.option("compression", "zstd").parquet(path)
-        tables.append(path)
-        found = spark.read.parquet(path)
-        progress.add(gather_parts(found.filter("part IS NOT NULL").select("part", "data"), 2 << bits, "sum"), scan, least)
+        path = f"{home_of_runs}/scan={scan}"
+        rows = scan_shard(shard, packed(progress.shorter()), bits, scan, shards, longest).withColumn("cells", F.col("part").isNotNull())
+        rows.write.partitionBy("cells").option("compression", "zstd").parquet(path)
+        cells = spark.read.schema("part int, data binary, cells boolean").parquet(path).filter("cells").select("part", "data")
+        progress.add(gather_parts(cells, 2 << bits, "sum"), scan, least)
+        remove_path(spark, f"{path}/cells=true")
         if scan >= shards and not (progress.shorter() > scan + 1 - shards).any():
             break  # whatever became active has seen every shard
     remove_path(spark, home)
-    every = spark.read.parquet(*tables).filter("run IS NOT NULL")
+    every = spark.read.schema("lang string, total long, run binary, scan int, cells boolean").parquet(home_of_runs).filter("run IS NOT NULL")
     sizes = settled(every.groupBy("lang").agg(F.sum("total").alias("n")))
-    slices, counts = 1 + int(SLICES * progress.full()), []
+    ranges, slices, counts = 1 + total // RANGE_BYTES, 1 + int(SLICES * progress.full()), []
     for part in range(slices):
-        rest = every.select("lang", "run").mapInArrow(summed_runs(packed(progress.since), bits, longest, part, slices), "lang string, phrase string, n long")
-        # Rows meet before they are grouped: a table of groups in front of the exchange would find nothing more to sum up.
-        exact = rest.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+        dealt = every.select("lang", "run").mapInArrow(dealt_runs(packed(progress.since), bits, longest, slices * -(-ranges // slices), part, slices), "range int, lang string, run binary")
+        exact = dealt.groupBy("range").applyInArrow(whole_range(least, longest), "lang string, phrase string, n long")
         counts.append(settled(exact.select("lang", "phrase", "n", F.size(F.split("phrase", " ")).alias("size"))))
-        del rest, exact
-    for path in tables:
-        remove_path(spark, path)
+        del dealt, exact
+    remove_path(spark, home_of_runs)
     return reduce(DataFrame.unionByName, counts), sizes
 
 
+def going_on(lang: str, words: list[bytes], found: list, reached: np.ndarray, bits: int, longest: int, part: int, slices: int) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+    """By length the phrases of a run whose cell reached the threshold and that are of this slice, as the word numbers of
+    each place, their counts and hashes."""
+    hashes = np.frombuffer(word_hashes(lang, words), np.uint64)
+    for columns, n in found:
+        whole = reduce(extended, [hashes[c] for c in columns])
+        kept = reached[cell(whole, bits) + ((1 << bits) if len(columns) == longest else 0)]
+        if slices > 1:
+            kept &= whole % np.uint64(slices) == np.uint64(part)
+        at = np.flatnonzero(kept)
+        if len(at):
+            yield [c[at] for c in columns], n[at], whole[at]
+
+
+def joined(runs: list[tuple[list[bytes], list]]) -> tuple[list[bytes], list]:
+    """Several runs as one: their words, and by length each phrase once, in order of its numbers, with the sum of its
+    counts and its hash."""
+    words = pa.chunked_array([pa.array(x, pa.binary()) for x, _ in runs]).combine_chunks().dictionary_encode()
+    numbers = np.split(words.indices.to_numpy().astype(np.int64), np.cumsum([len(x) for x, _ in runs])[:-1])
+    texts, by_length, out = words.dictionary.to_pylist(), {}, []
+    for own, (_, found) in zip(numbers, runs):
+        for columns, n, whole in found:
+            by_length.setdefault(len(columns), []).append(([own[c] for c in columns], n, whole))
+    for _, found in sorted(by_length.items()):
+        columns = [np.concatenate(x) for x in zip(*(columns for columns, _, _ in found))]
+        n, whole = (np.concatenate([x[i] for x in found]) for i in (1, 2))
+        key = columns[0]
+        for j, column in enumerate(columns[1:]):
+            key = (np.unique(key, return_inverse=True)[1] if j else key) * len(texts) + column
+        _, first, of = np.unique(key, return_index=True, return_inverse=True)
+        out.append(([c[first] for c in columns], np.bincount(of, n, len(first)).astype(np.int64), whole[first]))
+    return texts, out
+
+
+def dealt_runs(since: bytes, bits: int, longest: int, ranges: int, part: int, slices: int):
+    """A function for ``mapInArrow``: the runs a task reads, joined by language (DEAL_ROWS at a time), as one smaller run
+    for every range of the slice that phrases fall into. Phrases whose cell did not reach the threshold are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reached, held, rows = unzipped(since, 2 << bits) > 0, {}, 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lang in list(held):
+                texts, found = joined(held.pop(lang))
+                dealt = []
+                for columns, n, whole in found:
+                    where = (whole % np.uint64(ranges)).astype(np.int32)
+                    order = np.argsort(where, kind="stable")
+                    dealt.append((columns, n, np.split(order, np.searchsorted(where[order], np.arange(1, ranges)))))
+                for k in range(part, ranges, slices):
+                    own = [([c[places[k]] for c in columns], n[places[k]]) for columns, n, places in dealt if len(places[k])]
+                    if own:
+                        yield pa.record_batch([pa.array([k], pa.int32()), pa.array([lang], pa.string()), pa.array([packed_run(own, texts)], pa.binary())], names=["range", "lang", "run"])
+
+        for batch in batches:
+            for lang, data in zip(batch.column("lang").to_pylist(), batch.column("run")):
+                words, found = unpacked_run(data.as_py())
+                kept = list(going_on(lang, words, found, reached, bits, longest, part, slices))
+                if kept:
+                    held.setdefault(lang, []).append((words, kept))
+                    rows += sum(len(n) for _, n, _ in kept)
+                if rows > DEAL_ROWS:
+                    yield from flush()
+                    rows = 0
+        yield from flush()
+        pa.default_memory_pool().release_unused()
+
+    return run
+
+
+def whole_range(least: int, longest: int):
+    """A function for ``applyInArrow``: the runs of a range as rows, one for each phrase with at least ``least``
+    occurrences."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = pa.concat_tables([pa.table({"lang": pa.array([], pa.string()), "phrase": pa.array([], pa.string()), "n": pa.array([], pa.int64())}), *(pa.Table.from_batches([x]) for x in summed_runs(b"", 0, longest, 0, 1)(table.select(["lang", "run"]).to_batches()))])
+        sums = rows.group_by(["lang", "phrase"], use_threads=False).aggregate([("n", "sum")]).select(["lang", "phrase", "n_sum"]).rename_columns(["lang", "phrase", "n"])
+        return sums.filter(pc.greater_equal(sums["n"], least))
+
+    return run
+
+
 def summed_runs(since: bytes, bits: int, longest: int, part: int, slices: int):
-    """A function for ``mapInArrow``: the runs a task reads, MERGE_ROWS at a time, as rows, one per language and phrase.
-    Phrases whose cell did not reach the threshold, and those of other slices, are left out."""
+    """A function for ``mapInArrow``: the runs a task reads as rows, one per language and phrase unless there are more
+    than MERGE_ROWS. Phrases whose cell did not reach the threshold, and those of other slices, are left out; without
+    cells (``since`` empty) all are rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reached = unzipped(since, 2 << bits) > 0
+        reached = unzipped(since, 2 << bits) > 0 if since else None
         held: dict[str, list[pa.Table]] = {}
         rows = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for lang, tables in held.items():
-                summed = pa.concat_tables(tables).group_by("phrase", use_threads=False).aggregate([("n", "sum")])
-                fixed = pa.table({"lang": pa.array([lang], pa.string()).take(pa.array(np.zeros(len(summed), np.int64))), "phrase": summed["phrase"], "n": summed["n_sum"]})
+            for lang, (table,) in held.items():
+                fixed = pa.table({"lang": pa.array([lang], pa.string()).take(pa.array(np.zeros(len(table), np.int64))), "phrase": table["phrase"], "n": table["n"]})
                 yield from fixed.to_batches(max_chunksize=1 << 16)
 
         for batch in batches:
             for lang, data in zip(batch.column("lang").to_pylist(), batch.column("run")):
                 words, found = unpacked_run(data.as_py())
-                hashes, texts = np.frombuffer(word_hashes(lang, words), np.uint64), pa.array(words, pa.binary()).cast(pa.string())
+                texts = pa.array(words, pa.binary()).cast(pa.string())
+                if reached is not None:
+                    found = [x[:2] for x in going_on(lang, words, found, reached, bits, longest, part, slices)]
                 for columns, n in found:
-                    whole = reduce(extended, [hashes[c] for c in columns])
-                    kept = reached[cell(whole, bits) + ((1 << bits) if len(columns) == longest else 0)]
-                    if slices > 1:
-                        kept &= whole % np.uint64(slices) == np.uint64(part)
-                    at = np.flatnonzero(kept)
-                    if not len(at):
-                        continue
-                    phrases = pc.binary_join_element_wise(*[texts.take(pa.array(c[at])) for c in columns], " ")
-                    held.setdefault(lang, []).append(pa.table({"phrase": phrases, "n": n[at].astype(np.int64)}))
-                    rows += len(at)
+                    phrases = pc.binary_join_element_wise(*[texts.take(pa.array(c)) for c in columns], " ")
+                    held.setdefault(lang, []).append(pa.table({"phrase": phrases, "n": n.astype(np.int64)}))
+                    rows += len(n)
                     if rows > MERGE_ROWS:
-                        yield from flush()
-                        held, rows = {}, 0
+                        held = {x: [summed(tables)] for x, tables in held.items()}
+                        rows = sum(len(table) for (table,) in held.values())
+                        if 2 * rows > MERGE_ROWS:
+                            yield from flush()
+                            held, rows = {}, 0
+        held = {x: [summed(tables)] for x, tables in held.items()}
         yield from flush()
         pa.default_memory_pool().release_unused()
 
     return run
 
 
+def summed(tables: list[pa.Table]) -> pa.Table:
+    return pa.concat_tables(tables).group_by("phrase", use_threads=False).aggregate([("n", "sum")]).select(["phrase", "n_sum"]).rename_columns(["phrase", "n"])
+
+
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, within_percent: int = WITHIN_PERCENT, kept: int = KEPT, shards: int = SHARDS) -> DataFrame:
     """The best ``kept`` phrases per language: ``lang``, ``rank``, ``phrase``, ``a`` (its occurrences), ``l`` and ``r``
     (those of the two parts at its weakest cut), ``n`` (words of the language) and ``score``. A null text is empty, a
@@ -337,13 +424,14 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, wi
     words = F.split("phrase", " ")
     found = counts.filter("size > 1").select("lang", "phrase", "size", F.col("n").alias("a"), words.alias("w"))
     cuts = found.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("size") - 1)))
-    cuts = cuts.select("lang", "phrase", "a", "k", F.array_join(F.slice("w", F.lit(1), F.col("k")), " ").alias("one"), F.array_join(F.slice("w", F.col("k") + 1, F.col("size") - F.col("k")), " ").alias("two"))
-    side = lookup_side(counts.select(F.col("lang").alias("of"), F.col("phrase").alias("part"), F.col("n").alias("f")))
+    cuts = cuts.select("lang", "a", F.array_join(F.slice("w", F.lit(1), F.col("k")), " ").alias("one"), F.array_join(F.slice("w", F.col("k") + 1, F.col("size") - F.col("k")), " ").alias("two"))
+    side = lookup_side(counts.filter(F.col("size") < longest).select(F.col("lang").alias("of"), F.col("phrase").alias("part"), F.col("n").alias("f")))
 
     def looked_up(rows: DataFrame, column: str, into: str) -> DataFrame:
         return rows.join(side, (F.col("lang") == F.col("of")) & (F.col(column) == F.col("part"))).withColumn(into, F.col("f")).drop("of", "part", "f")
 
     cuts = looked_up(looked_up(cuts, "one", "l"), "two", "r")
+    cuts = cuts.select("lang", F.concat_ws(" ", "one", "two").alias("phrase"), "a", F.size(F.split("one", " ")).alias("k"), "l", "r")
     cuts = cuts.withColumn("score", F.expr("(1000000BD * CAST(a AS DECIMAL(15, 0)) * CAST(a AS DECIMAL(15, 0))) DIV (CAST(l AS DECIMAL(15, 0)) * CAST(r AS DECIMAL(15, 0)))"))
     weakest = cuts.groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "a", "l", "r")).alias("cut")).select("lang", "phrase", "cut.*").drop("k")
     inner = F.explode(F.flatten(F.transform(F.sequence(F.lit(2), F.col("size") - 1), lambda m: F.transform(F.sequence(F.lit(1), F.col("size") - m + 1), lambda i: F.array_join(F.slice("w", i, m), " ")))))

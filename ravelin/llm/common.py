@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ravelin.session import ensure_checkpoint_dir, materialise
 
-__all__ = ["WORD", "WORD_CACHE", "batches", "block_count", "fresh_path", "gather_parts", "materialise", "remove_path", "settled", "sha256", "split_words", "table", "table_parts", "text_rows", "word_ids", "words_of"]
+__all__ = ["WORD", "WORD_CACHE", "batches", "block_count", "fresh_path", "gather_parts", "materialise", "packed_part", "remove_path", "settled", "sha256", "split_words", "table", "table_parts", "text_rows", "unpacked_part", "word_ids", "words_of"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_CACHE = 200_000  # distinct words a task remembers before it starts its dictionary anew
@@ -92,8 +92,27 @@ def table_parts(table: np.ndarray) -> Iterator[pa.RecordBatch]:
     for part, low in enumerate(range(0, len(table), PART_BYTES)):
         piece = table[low : low + PART_BYTES]
         if piece.any():
-            data = pa.compress(piece.tobytes(), codec="zstd", asbytes=True)
-            yield pa.record_batch([pa.array([part], pa.int32()), pa.array([data], pa.binary())], names=["part", "data"])
+            yield pa.record_batch([pa.array([part], pa.int32()), pa.array([packed_part(piece)], pa.binary())], names=["part", "data"])
+
+
+def packed_part(piece: np.ndarray) -> bytes:
+    """Compressed: a part with few bytes set as the steps between them, as byte planes, and the bytes."""
+    at = np.flatnonzero(piece)
+    if 4 * len(at) > len(piece):
+        return b"\0" + pa.compress(piece.tobytes(), codec="zstd", asbytes=True)
+    steps = np.diff(at, prepend=0).astype("<u4")
+    planes = steps.view(np.uint8).reshape(-1, 4).T[:3].tobytes() + piece[at].tobytes()
+    return b"\1" + len(at).to_bytes(4, "little") + (pa.compress(planes, codec="zstd", asbytes=True) if planes else b"")
+
+
+def unpacked_part(data: bytes, size: int) -> np.ndarray:
+    if data[:1] == b"\0":
+        return np.frombuffer(pa.decompress(data[1:], size, codec="zstd", asbytes=True), np.uint8)
+    out, n = np.zeros(size, np.uint8), int.from_bytes(data[1:5], "little")
+    if n:
+        planes = np.frombuffer(pa.decompress(data[5:], 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
+        out[np.cumsum(planes[0] + (planes[1].astype(np.int64) << 8) + (planes[2].astype(np.int64) << 16))] = planes[3]
+    return out
 
 
 def gather_parts(rows: DataFrame, size: int, how: str) -> np.ndarray:
@@ -104,7 +123,7 @@ def gather_parts(rows: DataFrame, size: int, how: str) -> np.ndarray:
         held: dict[int, np.ndarray] = {}
         for batch in parts:
             for part, data in zip(batch.column("part").to_pylist(), batch.column("data")):
-                new = np.frombuffer(pa.decompress(data.as_py(), min(PART_BYTES, size - part * PART_BYTES), codec="zstd", asbytes=True), np.uint8)
+                new = unpacked_part(data.as_py(), min(PART_BYTES, size - part * PART_BYTES))
                 old = held.get(part)
                 if old is None:
                     held[part] = new
@@ -113,14 +132,13 @@ def gather_parts(rows: DataFrame, size: int, how: str) -> np.ndarray:
                 else:
                     held[part] = old + np.minimum(new, ~old)
         for part, table in held.items():
-            data = pa.compress(table.tobytes(), codec="zstd", asbytes=True)
-            yield pa.record_batch([pa.array([part], pa.int32()), pa.array([data], pa.binary())], names=["part", "data"])
+            yield pa.record_batch([pa.array([part], pa.int32()), pa.array([packed_part(table)], pa.binary())], names=["part", "data"])
 
     out = np.zeros(size, np.uint8)
     for row in rows.repartition("part").mapInArrow(merge, "part int, data binary").collect():
         low = row["part"] * PART_BYTES
         n = min(PART_BYTES, size - low)
-        out[low : low + n] = np.frombuffer(pa.decompress(bytes(row["data"]), n, codec="zstd", asbytes=True), np.uint8)
+        out[low : low + n] = unpacked_part(bytes(row["data"]), n)
     return out
 
 

@@ -6,9 +6,10 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
-from ravelin.llm import boundquant, collocations, winnowing
+from ravelin.llm import boundquant, collocations, common, winnowing
 from tests.llm.conftest import CLASHES, prose
 
 
@@ -227,6 +228,48 @@ def test_rare_phrases_are_left_out_before_the_exchange():
     assert sorted(x for k in range(5) for x in told(k, 5)) == sorted(told(0, 1))
 
 
+@pytest.mark.parametrize("deal_rows,merge_rows", [(10**6, 10**6), (10**6, 500), (3_000, 8_000)])
+def test_runs_meet_before_they_are_rows(monkeypatch, deal_rows, merge_rows):
+    """Runs are joined and dealt to ranges without a loss, smaller than their text; where the runs of a range meet, each
+    phrase that reaches the threshold is one row."""
+    monkeypatch.setattr(collocations, "DEAL_ROWS", deal_rows)
+    monkeypatch.setattr(collocations, "MERGE_ROWS", merge_rows)
+    since, ranges, slices, got, size, want, runs = collocations.packed(np.ones(2 << 16, np.uint8)), 6, 2, {}, 0, Counter(), []
+    rng = np.random.default_rng(3)
+    for i in range(40):
+        lang, texts = ("en", "und")[i % 2], [b"\n", b"", *(f"word{x}".encode() for x in rng.permutation(330)[:300])]
+        places = [x.reshape(-1) for x in np.meshgrid(*[np.sort(rng.choice(np.arange(2, 302), 9, False))] * 3, indexing="ij")]
+        pair = [x.reshape(-1) for x in np.meshgrid(np.arange(2, 302, 6), np.arange(2, 302, 6), indexing="ij")]
+        found = [([np.arange(2, 302)], np.arange(1, 301)), (pair, np.arange(len(pair[0])) % 7 + 1), (places, np.ones(len(places[0]), np.int64))]
+        for columns, n in found:
+            for x, *at in zip(n.tolist(), *(c.tolist() for c in columns)):
+                want[lang, b" ".join(texts[j] for j in at).decode()] += x
+                size += sum(len(texts[j]) + 1 for j in at)
+        runs.append((lang, collocations.packed_run(found, texts)))
+    batch = pa.record_batch([pa.array([x for x, _ in runs]), pa.array([x for _, x in runs], pa.binary())], names=["lang", "run"])
+    for part in range(slices):
+        dealt = pa.Table.from_batches(collocations.dealt_runs(since, 16, 3, ranges, part, slices)([batch]))
+        assert set(dealt["range"].to_pylist()) == set(range(part, ranges, slices))
+        size -= 2 * sum(map(len, dealt["run"].to_pylist()))
+        for k in range(part, ranges, slices):
+            rows = collocations.whole_range(5, 3)(dealt.filter(pc.equal(dealt["range"], k)))
+            told = dict(zip(zip(rows["lang"].to_pylist(), rows["phrase"].to_pylist()), rows["n"].to_pylist()))
+            assert len(told) == len(rows) and not told.keys() & got.keys()
+            got |= told
+    assert got == {x: n for x, n in want.items() if n >= 5} and size > 0
+    assert len(collocations.whole_range(10**9, 3)(dealt)) == 0
+
+
+@pytest.mark.parametrize("share", [0, 1e-5, 0.004, 0.03, 0.2, 0.5, 1])
+def test_parts_of_tables_come_back_and_follow_what_they_hold(share):
+    rng = np.random.default_rng(5)
+    for size in (1 << 18, 1_000):
+        table = (rng.random(size) < share).astype(np.uint8) * rng.choice([1, 1, 1, 1, 2, 9, 255], size).astype(np.uint8)
+        data = common.packed_part(table)
+        assert (common.unpacked_part(data, size) == table).all()
+        assert len(data) < 40 + 2 * np.count_nonzero(table)
+
+
 def test_phrases_of_edge_rows_and_none(spark, edge_rows, edge_docs, no_docs):
     assert phrases(edge_docs, 3) == sorted(plain_phrases([(r[2], r[1]) for r in edge_rows], 3, 3, 50, 2_000))
     assert phrases(no_docs) == []
