@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import fresh_path, gather_parts, remove_path, settled, split_words, table_parts
+from ravelin.llm.common import drop_exchanges, fresh_path, gather_parts, remove_path, settled, split_words, table_parts
 from ravelin.llm.windowdedup import pack, unpack
 from ravelin.operators.enrich import lookup_side
 
@@ -149,12 +149,12 @@ def due(since: np.ndarray, scan: int, shards: int) -> np.ndarray:
     return (since > 0) & (since <= scan) & (scan < since + shards)
 
 
-_BLOCK_SQL = "shard int, lang string, words binary, hashes binary, ids binary"
+_BLOCK_SQL = "shard int, lang string, words binary, ids binary"
 
 
 def word_blocks(rows: DataFrame, shards: int) -> DataFrame:
-    """Texts of CHUNK_BYTES together, by language, as numbers of words: ``words`` (a line each), a hash of each, and
-    ``ids`` in order with _BREAK between pieces. A task deals its blocks to the shards in turn."""
+    """Texts of CHUNK_BYTES together, by language, as numbers of words: ``words`` (a line each) and ``ids`` in
+    order with _BREAK between pieces. A task deals its blocks to the shards in turn."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: dict[str, list] = {}
@@ -167,12 +167,11 @@ def word_blocks(rows: DataFrame, shards: int) -> DataFrame:
                 for part in split_words(text.translate(_PLAIN).replace(b"\n", b" \n ") + b" \n ", keep=True):
                     pieces.append(np.fromiter(map(words.__getitem__, part), np.int32, len(part)))
             ids = np.concatenate(pieces)
-            hashes = word_hashes(lang, words.texts)
             turn += 1
             # Words hold no line feed; the two marks at their head have numbers but no text.
-            row = [[turn % shards], [lang], [zipped(b"\n".join(words.texts[2:]))], [zipped(hashes)], [zipped(ids[ids != _NOTHING].tobytes())]]
-            kinds = [pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary()]
-            return pa.record_batch([pa.array(x, k) for x, k in zip(row, kinds)], names=["shard", "lang", "words", "hashes", "ids"])
+            row = [[turn % shards], [lang], [zipped(b"\n".join(words.texts[2:]))], [pack(ids[ids != _NOTHING].astype(np.uint32))]]
+            kinds = [pa.int32(), pa.string(), pa.binary(), pa.binary()]
+            return pa.record_batch([pa.array(x, k) for x, k in zip(row, kinds)], names=["shard", "lang", "words", "ids"])
 
         total = 0
         for batch in batches:
@@ -233,9 +232,9 @@ def scan_shard(shard: DataFrame, since: bytes, bits: int, scan: int, shards: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stamps, sums = unzipped(since, 1 << bits), np.zeros(2 << bits, np.uint8)
         for batch in batches:
-            for lang, words, hashes, ids in zip(*(batch.column(c) for c in ("lang", "words", "hashes", "ids"))):
+            for lang, words, ids in zip(*(batch.column(c) for c in ("lang", "words", "ids"))):
                 texts = [b"\n", b"", *unpacked(words.as_py()).split(b"\n")]
-                block = np.frombuffer(unpacked(ids.as_py()), np.int32), texts, np.frombuffer(unpacked(hashes.as_py()), np.uint64)
+                block = unpack(ids.as_py(), np.uint32)[0].astype(np.int32), texts, np.frombuffer(word_hashes(lang.as_py(), texts), np.uint64)
                 found, total = [], 0
                 for columns, n, cells in counted(*block, stamps, bits, scan, shards, longest):
                     add_capped(sums, cells + ((1 << bits) if len(columns) == longest else 0), n)
@@ -266,7 +265,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, s
     bits = min(CELL_BITS[1], max(CELL_BITS[0], total.bit_length() - 4))
     home = fresh_path(spark, "shards")
     word_blocks(rows, shards).write.partitionBy("shard").parquet(home)
-    written, progress = spark.read.schema("lang string, words binary, hashes binary, ids binary, shard int").parquet(home), Progress(bits)
+    written, progress = spark.read.schema("lang string, words binary, ids binary, shard int").parquet(home), Progress(bits)
     home_of_runs = fresh_path(spark, "phrases")
     for scan in range(1, longest * shards + 1):
         shard = written.filter(F.col("shard") == (scan - 1) % shards).drop("shard")
@@ -275,15 +274,18 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, s
         rows.write.partitionBy("cells").option("compression", "zstd").parquet(path)
         cells = spark.read.schema("part int, data binary, cells boolean").parquet(path).filter("cells").select("part", "data")
         progress.add(gather_parts(cells, 2 << bits, "sum"), scan, least)
+        del cells
         remove_path(spark, f"{path}/cells=true")
+        drop_exchanges(spark)
         if scan >= shards and not (progress.shorter() > scan + 1 - shards).any():
             break  # whatever became active has seen every shard
     remove_path(spark, home)
+    # Tasks that read more runs join more of them, as many as there are ranges.
     every = spark.read.schema("lang string, total long, run binary, scan int, cells boolean").parquet(home_of_runs).filter("run IS NOT NULL")
     sizes = settled(every.groupBy("lang").agg(F.sum("total").alias("n")))
     ranges, slices, counts = 1 + total // RANGE_BYTES, 1 + int(SLICES * progress.full()), []
     for part in range(slices):
-        dealt = every.select("lang", "run").mapInArrow(dealt_runs(packed(progress.since), bits, longest, slices * -(-ranges // slices), part, slices), "range int, lang string, run binary")
+        dealt = every.select("lang", "run").coalesce(ranges).mapInArrow(dealt_runs(packed(progress.since), bits, longest, slices * -(-ranges // slices), part, slices), "range int, lang string, run binary")
         exact = dealt.groupBy("range").applyInArrow(whole_range(least, longest), "lang string, phrase string, n long")
         counts.append(settled(exact.select("lang", "phrase", "n", F.size(F.split("phrase", " ")).alias("size"))))
         del dealt, exact
@@ -415,6 +417,27 @@ def summed(tables: list[pa.Table]) -> pa.Table:
     return pa.concat_tables(tables).group_by("phrase", use_threads=False).aggregate([("n", "sum")]).select(["phrase", "n_sum"]).rename_columns(["phrase", "n"])
 
 
+def best_of_task(kept: int):
+    """A function for ``mapInArrow``: the best ``kept`` phrases per language among those of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, pa.Table] = {}
+
+        def best(table: pa.Table) -> pa.Table:
+            return table.sort_by([("score", "descending"), ("a", "descending"), ("phrase", "ascending")]).slice(0, kept).combine_chunks()
+
+        for batch in batches:
+            for lang in batch.column("lang").unique().to_pylist():
+                own = pa.Table.from_batches([batch]).filter(pc.equal(batch.column("lang"), lang))
+                held[lang] = pa.concat_tables([held[lang], own]) if lang in held else own
+                if len(held[lang]) > 8 * kept:
+                    held[lang] = best(held[lang])
+        for table in held.values():
+            yield from best(table).to_batches()
+
+    return run
+
+
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, within_percent: int = WITHIN_PERCENT, kept: int = KEPT, shards: int = SHARDS) -> DataFrame:
     """The best ``kept`` phrases per language: ``lang``, ``rank``, ``phrase``, ``a`` (its occurrences), ``l`` and ``r``
     (those of the two parts at its weakest cut), ``n`` (words of the language) and ``score``. A null text is empty, a
@@ -439,6 +462,7 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, wi
     left = weakest.join(lookup_side(longer), (F.col("lang") == F.col("in")) & (F.col("phrase") == F.col("inside")), "left")
     left = left.filter(F.col("most").isNull() | (100 * F.col("most") < within_percent * F.col("a"))).drop("in", "inside", "most")
     best = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
+    left = left.select("lang", "phrase", "a", "l", "r", "score").mapInArrow(best_of_task(kept), "lang string, phrase string, a long, l long, r long, score long")
     salted = left.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
     some = salted.withColumn("place", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*best))).filter(F.col("place") <= kept)
     ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best)).cast("long")).filter(F.col("rank") <= kept)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ravelin.session import ensure_checkpoint_dir, materialise
 
-__all__ = ["WORD", "WORD_CACHE", "batches", "block_count", "fresh_path", "gather_parts", "materialise", "packed_part", "remove_path", "settled", "sha256", "split_words", "table", "table_parts", "text_rows", "unpacked_part", "word_ids", "words_of"]
+__all__ = ["WORD", "WORD_CACHE", "batches", "block_count", "drop_exchanges", "fresh_path", "gather_parts", "materialise", "packed_part", "remove_path", "settled", "sha256", "split_words", "table", "table_parts", "text_rows", "unpacked_part", "word_ids", "words_of"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_CACHE = 200_000  # distinct words a task remembers before it starts its dictionary anew
@@ -147,11 +147,16 @@ def settled(df: DataFrame) -> DataFrame:
     refers to them and garbage is collected, which a driver with a large heap may not do for long; so it is asked to."""
     out = materialise(df)
     del df
-    gc.collect()
-    out.sparkSession._jvm.System.gc()
+    drop_exchanges(out.sparkSession)
     return out
 
 
+def drop_exchanges(spark: SparkSession) -> None:
+    """Lets the files of exchanges go that nothing refers to."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Deletes a table that a later one has replaced."""
     jvm = spark._jvm

@@ -260,6 +260,20 @@ def test_runs_meet_before_they_are_rows(monkeypatch, deal_rows, merge_rows):
     assert len(collocations.whole_range(10**9, 3)(dealt)) == 0
 
 
+def test_each_task_sends_on_its_best_phrases_only():
+    """They are the first ``kept`` per language by score, count and bytes of the phrase."""
+    rng = random.Random(4)
+    rows = [(rng.choice(["en", "fr", "und"]), f"{rng.choice(['é', 'z', 'a', '\U0001f600', '\uffee'])} {i}", rng.randrange(10, 13), 20, 20, rng.randrange(4)) for i in range(900)]
+    schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), *((x, pa.int64()) for x in ("a", "l", "r", "score"))])
+    batches = [pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + 70]), schema)], schema=schema) for i in range(0, 900, 70)]
+    got = [tuple(r.values()) for b in collocations.best_of_task(20)(iter(batches)) for r in b.to_pylist()]
+    want = []
+    for lang in ("en", "fr", "und"):
+        want += sorted((r for r in rows if r[0] == lang), key=lambda r: (-r[5], -r[2], r[1].encode()))[:20]
+    assert sorted(got) == sorted(want)
+    assert list(collocations.best_of_task(20)(iter([]))) == []
+
+
 @pytest.mark.parametrize("share", [0, 1e-5, 0.004, 0.03, 0.2, 0.5, 1])
 def test_parts_of_tables_come_back_and_follow_what_they_hold(share):
     rng = np.random.default_rng(5)
