@@ -1,10 +1,13 @@
 """Revisits, graph search, classifier, BPE, packing and id blocks against plain versions."""
 
+import json
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ravelin.llm import bestfit, bpecodec, fmquality, graphann, rangecoder, revisits
@@ -296,6 +299,43 @@ def test_cached_tokenizer_equals_the_library(packed, tokenizer):
     assert rangecoder.CachedTokenizer(packed)(texts) == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_the_state_of_a_block_does_not_grow_with_the_vocabulary():
+    ids = (np.random.default_rng(7).zipf(1.2, 64 * 300) % 50_257).astype(np.uint32)
+    tracemalloc.start()
+    try:
+        blocks = rangecoder.encode_stream(ids, 50_257, 64)
+        assert (rangecoder.decode_stream(blocks) == ids).all()
+        assert tracemalloc.get_traced_memory()[1] < 40 << 20
+    finally:
+        tracemalloc.stop()
+    part = -(-rangecoder.PART_BYTES // 2 // rangecoder.BLOCK_IDS)  # blocks of a part with an id for every two bytes
+    assert len(rangecoder.groups(part)) == 1
+
+
+def test_a_block_does_not_depend_on_those_beside_it():
+    ids = (np.random.default_rng(8).zipf(1.2, 7_003) % 5_000).astype(np.uint32)
+    blocks = rangecoder.encode_stream(ids, 5_000, 1_500)
+    assert blocks == [b for a in range(0, len(ids), 1_500) for b in rangecoder.encode_stream(ids[a : a + 1_500], 5_000)]
+    mixed = [*blocks, *rangecoder.encode_stream(ids[:43], 5_000)]
+    assert (rangecoder.decode_stream(mixed) == np.concatenate([ids, ids[:43]])).all()
+
+
+def test_ids_by_rank_equal_the_library(packed, tokenizer):
+    texts = [*fuzz(5, 400), "", " ", "a", " a  b \n c\u2003d ", "x" * 3_000 + " y", "\U0001f642 \u1e9e <|endoftext|> z<|endoftext|>z", "\x1c a \x1cb", "caf\u00e9 \u4e2d\u6587 \u0e01\u0e33 1\u00bd"]
+    want = [[*e.ids, 0] for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    tokens = rangecoder.CachedTokenizer(packed)
+    assert tokens.fast
+    spec = json.loads(zlib.decompress(packed))
+    spec["model"]["merges"][300:302] = spec["model"]["merges"][301:299:-1]
+    spec["model"]["merges"][40_000], spec["model"]["merges"][5] = spec["model"]["merges"][5], spec["model"]["merges"][40_000]
+    other = zlib.compress(json.dumps(spec).encode())
+    slow = rangecoder.CachedTokenizer(other)
+    assert not slow.fast  # some tokens are not what their letters merge to
+    for coder, expected in ((tokens, want), (slow, [[*e.ids, 0] for e in slow.inner.encode_batch(texts, add_special_tokens=False)])):
+        ids, sizes = coder.encode(pa.array(texts), [0])
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == expected
+
+
 def test_columns_of_length_follow_the_text(spark):
     from ravelin.llm.stages import with_length
 
