@@ -57,6 +57,7 @@ _FLOOR, _ROOM, _TOLD, _STEP, _KEEP, _LEAVE = (np.array(float(x)) for x in (FLOOR
 _1 = np.array(1.0)
 _LOW, _SURE, _SOME, _ID, _CLASS = (np.array(x, np.int32) for x in ((1 << ID_SHIFT) - 1, (1 << SURE_BITS) - 1, 1, ID_SHIFT, SURE_BITS))
 _LESS = np.array(-1, np.int8)
+_CLASSES = (np.minimum(np.frexp(np.arange(RECENT + 1))[1], (1 << CLASS_BITS) - 1) << SURE_BITS).astype(np.int32)
 
 
 def _renewals(step: int) -> bool:
@@ -65,7 +66,7 @@ def _renewals(step: int) -> bool:
 
 def _marks(ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Ids as they are remembered, with the binary logarithm of their runs as class."""
-    return ids << ID_SHIFT | np.minimum(np.frexp(lengths.astype(np.float32))[1], (1 << CLASS_BITS) - 1) << SURE_BITS
+    return ids << ID_SHIFT | _CLASSES.take(lengths, mode="clip")
 
 
 class Shares:
@@ -87,20 +88,27 @@ class Shares:
         self.held, self.n = held, held.shape[1]
         begins = np.ones((m, self.n), bool)
         np.not_equal(held[:, 1:], held[:, :-1], out=begins[:, 1:])
-        starts = np.append(np.flatnonzero(begins), m * self.n)
-        self.lengths, starts = np.diff(starts), starts[:-1]  # of the runs of all lanes
+        starts = np.flatnonzero(begins).astype(np.int32)
+        self.lengths = np.diff(starts, append=np.int32(m * self.n))  # of the runs of all lanes
         self.ids, self.firsts = held.reshape(-1)[starts], starts % self.n
-        self.cuts = np.searchsorted(starts, np.arange(m + 1) * self.n).tolist()
+        self.cuts = np.searchsorted(starts, np.arange(m + 1, dtype=np.int32) * self.n).tolist()
 
     def places(self) -> np.ndarray:
         """Per lane and place the run there: its id's mark, first place and length in bits from 32, 16 and 0 on."""
-        return np.repeat(_marks(self.ids.astype(np.int64), self.lengths) << 32 | self.firsts << 16 | self.lengths, self.lengths)
+        out, m = np.empty(self.held.size, np.int64), len(self.held)
+        for a in range(0, m, 128):
+            b = min(m, a + 128)
+            some = slice(self.cuts[a], self.cuts[b])
+            lengths = self.lengths[some]
+            runs = _marks(self.ids[some].astype(np.int64), lengths) << 32 | (self.firsts[some] << 16 | lengths)
+            out[a * self.n : b * self.n] = np.repeat(runs, lengths)
+        return out
 
     def of(self, ids: np.ndarray, size: int) -> np.ndarray:
         """First place and length, in bits from 16 and 0 on, of the runs of ``ids`` (by lane and step); zero where an id
         was not seen."""
         out, known = np.empty(ids.shape, np.int32), np.zeros(size, np.int32)
-        runs = (self.firsts << 16 | self.lengths).astype(np.int32)
+        runs = self.firsts << 16 | self.lengths
         for k, own in enumerate(ids):
             some = slice(self.cuts[k], self.cuts[k + 1])
             known[self.ids[some]] = runs[some]
@@ -262,29 +270,30 @@ def _encode(blocks: list[np.ndarray], size: int) -> list[bytes]:
         if _renewals(begin):
             shares.renew(m, ids, begin)
         now = ids[begin:end, :m].astype(np.int32)
-        runs = shares.of(ids[begin:end, :m].T, size).T if shares.n else np.zeros_like(now)
-        first, length = runs >> 16, runs & ONE - 1
-        marks, new = _marks(now, length), length == 0
-        np.copyto(first, now >> 16 if large else now, where=new)
-        length[new] = 1
-        nexts, model.before = model.places(now, model.before)
+        runs = np.ascontiguousarray(shares.of(ids[begin:end, :m].T, size).T) if shares.n else np.zeros_like(now)
         totals, lane = _totals(m, shares.n, size), np.arange(m) + np.arange(BATCH)[:, None] * (5 * m)
         words, sent = np.zeros((end - begin << large, m), np.uint32), np.zeros((end - begin << large, m), bool)
         was, sure, old = np.zeros((3, BATCH, 2, m), np.int32)
         hits, by, hit_floats = np.zeros((BATCH, 2, m), bool), model.by, model.hits
         for a in range(0, end - begin, BATCH):
-            for j, k in enumerate(range(a, a + BATCH)):
+            own, run = now[a : a + BATCH], runs[a : a + BATCH]
+            first, length = run >> 16, run & ONE - 1
+            marks, new = _marks(own, length), length == 0
+            np.copyto(first, own >> 16 if large else own, where=new)
+            length += new
+            nexts, model.before = model.places(own, model.before)
+            for j in range(BATCH):
                 held = model.held.take(at, mode="clip")
                 was[j] = held
                 confident = np.bitwise_and(held, _SURE, out=sure[j])
-                hit = np.equal(np.right_shift(held, _ID, out=old[j]), now[k], out=hits[j])
+                hit = np.equal(np.right_shift(held, _ID, out=old[j]), own[j], out=hits[j])
                 told = held - confident
-                mark = np.where(hit[0], told[0], marks[k])
+                mark = np.where(hit[0], told[0], marks[j])
                 model.remember(at, held, confident, hit, np.where(hit[1], told[1], mark))
-                at = nexts[k]
+                at = nexts[j]
             edges = model.foretell(was, sure, old, 0, BATCH, shares.n > 0).reshape(-1)
             hit_floats[:, :2] = hits
-            by[:] = new[a : a + BATCH]
+            by[:] = new
             by += SEEN
             by[hits[:, 0]] = ORDER1
             by[hits[:, 1]] = ORDER2
@@ -295,8 +304,9 @@ def _encode(blocks: list[np.ndarray], size: int) -> list[bytes]:
             width = edges[m:].take(which, mode="clip")
             width -= start
             other = by > ORDER1
-            place = first[a : a + BATCH] * other
-            count = np.where(other, length[a : a + BATCH], 1).astype(np.float64)
+            place = first * other
+            length *= other
+            count = np.maximum(length, 1).astype(np.float64)
             for j in range(BATCH):
                 unit = span * _UNIT
                 np.floor(unit, out=unit)
@@ -310,7 +320,7 @@ def _encode(blocks: list[np.ndarray], size: int) -> list[bytes]:
                 if large:
                     some = by[j] == NEW
                     unit = np.floor(span[some] * _UNIT)
-                    low[some] += (now[a + j, some] & ONE - 1) * unit
+                    low[some] += (own[j, some] & ONE - 1) * unit
                     span[some] = unit
                     send(2 * (a + j) + 1)
             model.learn()
@@ -364,6 +374,7 @@ def _decode(blocks: list[bytes], sizes: np.ndarray, size: int) -> list[np.ndarra
             model.cut(m)
         if _renewals(begin):
             shares.renew(m, ids, begin)
+            del runs
             runs = shares.places()
         lane, totals = np.arange(m), _totals(m, shares.n, size)
         lasts, base, bits = totals - 1, lane * shares.n, np.array(ONE - 1)
@@ -402,7 +413,7 @@ def _decode(blocks: list[bytes], sizes: np.ndarray, size: int) -> list[np.ndarra
             run >>= 16
             np.bitwise_and(run, bits, out=firsts[SEEN])
             marks[:2] = (was - sure)[::-1]
-            mark = marks.take(which, mode="clip")
+            mark = marks.take(which, mode="clip").astype(np.int32)
             np.multiply(width, lengths.take(which, mode="clip"), out=span)
             width *= firsts.take(which, mode="clip")
             np.subtract(code, width, out=code)
@@ -414,7 +425,7 @@ def _decode(blocks: list[bytes], sizes: np.ndarray, size: int) -> list[np.ndarra
                 digit = np.minimum(np.floor(code[some] / unit), ONE - 1)
                 code[some] = np.minimum(code[some] - digit * unit, unit - 1)
                 span[some] = unit
-                mark[some] = np.minimum((mark[some] << 16) + (digit.astype(np.int64) << ID_SHIFT), size - 1 << ID_SHIFT)
+                mark[some] = np.minimum((mark[some] << 16) + (digit.astype(np.int32) << ID_SHIFT), size - 1 << ID_SHIFT)
                 fetch()
             now = mark >> _ID
             ids[step, :m] = now
